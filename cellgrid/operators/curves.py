@@ -77,7 +77,8 @@ def curve_mad_suggestion(fano: DataFrame, keys) -> DataFrame:
     mad = med.withColumn("_mad", F.median(F.abs(F.col("fano") - F.col("_med"))).over(_whole(keys)))
 
     def first(limit: Column) -> Column:
-        return F.coalesce(F.min(F.when(F.col("fano") <= limit, F.col("thr"))), F.min("thr"))
+        # compared at 1e-9 so that equal values do not depend on summation order
+        return F.coalesce(F.min(F.when(F.round("fano", 9) <= F.round(limit, 9), F.col("thr"))), F.min("thr"))
 
     return mad.groupBy(*keys).agg(((first(F.col("_med") - F.col("_mad")) + first(F.col("_med") + F.col("_mad"))) / 2)
                                   .alias("mad_sugg"))
@@ -118,7 +119,7 @@ def curve_two_piece_fit(curve: DataFrame, keys, x: str = "thr", y: str = "fano")
     turns = base.join(best, keys).withColumn("_s", sign)
     turns = turns.withColumn("_turn", F.lead("_s").over(_ordered(keys, "x")) != F.col("_s"))
     return turns.groupBy(*keys, "knot", "slope", "icept", "sse").agg(
-        F.greatest(F.col("knot"), F.coalesce(F.min(F.when(F.col("_turn"), F.col("x"))), F.col("knot"))).alias("cross"))
+        F.greatest(F.col("knot"), F.coalesce(F.min(F.when(F.col("_turn"), F.col("x"))), F.col("knot"))).alias("crossing"))
 
 
 def suggest_threshold(curve: DataFrame, keys, windows=FANO_WINDOWS) -> DataFrame:
@@ -126,7 +127,7 @@ def suggest_threshold(curve: DataFrame, keys, windows=FANO_WINDOWS) -> DataFrame
     by_window = [*keys, "win"]
     fano = curve_fano(curve_derivative(curve, keys), keys, windows)
     both = curve_mad_suggestion(fano, by_window).join(curve_two_piece_fit(fano, by_window), by_window)
-    one = (F.col("mad_sugg") + F.col("knot") + F.col("cross")) / 3.0
+    one = (F.col("mad_sugg") + F.col("knot") + F.col("crossing")) / 3.0
     return both.groupBy(*keys).agg(F.avg(one).alias("suggestion")).withColumn("thr", F.rint(F.round("suggestion", 6)))
 
 
@@ -187,7 +188,7 @@ def depth_attenuation(dense: DataFrame, sigma: float | None = None, seed: int =
         steps = F.greatest(F.ceil(F.ln(65535.0 / F.col("_top")) / F.ln(F.lit(0.99))), F.lit(0))
         scale = F.when(F.col("_top") > 65535, F.pow(F.lit(0.99), steps)).otherwise(1.0)
         fixed = fixed.join(top, keys).withColumn("v", F.col("v") * scale).drop("_top")
-    return fixed.withColumn("v", F.rint("v"))
+    return fixed.withColumn("v", F.rint(F.round("v", 9)))
 
 
 def _solve_rows(batches, keys, degree):

@@ -20,7 +20,7 @@ def spots_threshold(maxima: DataFrame, thresholds: DataFrame, on: list[str]) ->
 def spot_count_curve(maxima: DataFrame, start: float, step: float, n: int, keys=("gene", "z")) -> DataFrame:
     """Spots above each of n thresholds in one pass: bucket once, then a reverse running sum."""
     keys = list(keys)
-    passed = clip(F.ceil((F.col("v") - start) / step), 0, n).cast("int")  # thresholds below v
+    passed = clip(F.ceil(F.round((F.col("v") - start) / step, 9)), 0, n).cast("int")  # thresholds below v
     hist = maxima.groupBy(*keys, (passed - 1).alias("k")).agg(F.count(F.lit(1)).alias("c"))
     filler = hist.select(*keys).distinct().select(
         *keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), F.lit(0).cast("long").alias("c"))
@@ -34,7 +34,7 @@ def spot_count_curve_at(maxima: DataFrame, thresholds: DataFrame, keys, n: int)
     keys = list(keys)
     ends = thresholds.groupBy(*keys).agg(F.min("thr").alias("_lo"), F.max("thr").alias("_hi"))
     step = (F.col("_hi") - F.col("_lo")) / (n - 1)
-    passed = clip(F.ceil(F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), step), F.lit(0.0))), 0, n).cast("int")
+    passed = clip(F.ceil(F.round(F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), step), F.lit(0.0)), 9)), 0, n).cast("int")
     plane = [*keys, "z"]
     hist = (maxima.join(ends, keys).groupBy(*plane, (passed - 1).alias("k")).agg(F.count(F.lit(1)).alias("c")))
     filler = (maxima.select(*plane).distinct().join(thresholds.select(*keys, "k"), keys)

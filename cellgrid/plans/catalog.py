@@ -12,6 +12,9 @@ from cellgrid.plans.bindings import Inputs, with_bindings
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: moves exact decimal ties off the rounding boundary, where summation order would decide
+NUDGE = 3.7e-10
+
 
 def query(name: str, sql: str | None = None, d: str = "", i: str = "", digits: int = 6):
     """Register ``fn(inputs) -> DataFrame``.
@@ -27,7 +30,7 @@ def query(name: str, sql: str | None = None, d: str = "", i: str = "", digits: i
             cols = []
             for c in out.columns:
                 if c in doubles:
-                    cols.append((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c))
+                    cols.append((F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c))
                 elif c in ints:
                     cols.append(F.col(c).cast("bigint").alias(c))
                 else:
@@ -37,7 +40,7 @@ def query(name: str, sql: str | None = None, d: str = "", i: str = "", digits: i
         assert name not in QUERIES, name
         QUERIES[name] = run
         if sql:
-            swaps = [f"(round(({c})::double, {digits}) + 0.0) AS {c}" for c in doubles]
+            swaps = [f"(round(({c})::double + {NUDGE}::double, {digits}) + 0.0) AS {c}" for c in doubles]
             swaps += [f"({c})::bigint AS {c}" for c in ints]
             body = with_bindings(sql.strip())
             ORACLES[name] = f"SELECT * REPLACE ({', '.join(swaps)}) FROM (\n{body}\n)" if swaps else body

@@ -18,7 +18,7 @@ FANO = DERIV + """, fano as (select a.gene, a.z, a.i, a.thr, s.win, case when av
   group by all having count(*)=s.win)"""
 MAD = FANO + """, md as (select gene, z, win, median(fano) m from fano group by all),
 mm as (select gene, z, win, m, median(abs(fano-m)) d from fano join md using (gene, z, win) group by all),
-madsugg as (select gene, z, win, (coalesce(min(thr) filter (where fano<=m-d),min(thr)) + coalesce(min(thr) filter (where fano<=m+d),min(thr)))/2 as mad_sugg
+madsugg as (select gene, z, win, (coalesce(min(thr) filter (where round(fano,9)<=round(m-d,9)),min(thr)) + coalesce(min(thr) filter (where round(fano,9)<=round(m+d,9)),min(thr)))/2 as mad_sugg
   from fano join mm using (gene, z, win) group by all)"""
 
 
@@ -36,7 +36,7 @@ def two_piece(src: str, out: str, keys: str, x: str, y: str) -> str:
 {out}_m as (select * from {out}_k qualify row_number() over (partition by {keys} order by sse, knot)=1),
 {out}_s as (select b.*, knot, slope, icept, sse, sign(round(y-(slope*x+icept),6)) as sg from {out}_b b join {out}_m using ({keys})),
 {out}_t as (select *, lead(sg) over (partition by {keys} order by x) <> sg as turn from {out}_s),
-{out} as (select {keys}, knot, slope, icept, sse, greatest(knot, coalesce(min(x) filter (where turn), knot)) as "cross" from {out}_t
+{out} as (select {keys}, knot, slope, icept, sse, greatest(knot, coalesce(min(x) filter (where turn), knot)) as crossing from {out}_t
   group by {keys}, knot, slope, icept, sse)"""
 
 
@@ -56,13 +56,13 @@ def _(t):
 
 
 @query("curve_two_piece_fit", f"""with {two_piece('curve', 'tp', 'gene, z', 'thr', 'n')} select * from tp""",
-       d="knot slope icept sse cross", i="z", digits=4)
+       d="knot slope icept sse crossing", i="z", digits=4)
 def _(t):
     return cv.curve_two_piece_fit(t.curve, K, "thr", "n")
 
 
 @query("suggest_threshold", f"""with {MAD}, {two_piece('fano', 'tp', 'gene, z, win', 'thr', 'fano')}
-    select gene, z, avg((mad_sugg+knot+"cross")/3.0) as suggestion, round_even(round(avg((mad_sugg+knot+"cross")/3.0),6),0) as thr
+    select gene, z, avg((mad_sugg+knot+crossing)/3.0) as suggestion, round_even(round(avg((mad_sugg+knot+crossing)/3.0),6),0) as thr
     from madsugg join tp using (gene, z, win) group by all""", d="suggestion thr", i="z")
 def _(t):
     return cv.suggest_threshold(t.curve, K)
@@ -115,10 +115,10 @@ def _(t):
     return cv.poly_fit_purge(p, ["gene"])
 
 
-@query("exp_decay_fit", """with g as (select *, 0.01::double + k.range*(0.99::double/99) as b from (select gene, z, thr/30 as x, n::double y from curve), range(100) k),
-    f as (select gene, z, b, range, regr_slope(y,exp(-b*x)) a, regr_intercept(y,exp(-b*x)) c,
+@query("exp_decay_fit", """with g as (select *, 0.01::double + k.range*(0.99::double/99) as b, k.range as kk from (select gene, z, thr/30 as x, n::double y from curve), range(100) k),
+    f as (select gene, z, b, kk, regr_slope(y,exp(-b*x)) a, regr_intercept(y,exp(-b*x)) c,
       regr_syy(y,exp(-b*x))-regr_sxy(y,exp(-b*x))*regr_sxy(y,exp(-b*x))/regr_sxx(y,exp(-b*x)) sse from g group by all)
-    select gene, z, a, b, c from f qualify row_number() over (partition by gene, z order by round(sse,6), range)=1""", d="a b c", i="z", digits=4)
+    select gene, z, a, b, c from f qualify row_number() over (partition by gene, z order by round(sse,6), kk)=1""", d="a b c", i="z", digits=4)
 def _(t):
     p = t.curve.withColumn("x", F.col("thr") / 30)
     return cv.exp_decay_fit(p, K, "x", "n").drop("sse")

@@ -6,6 +6,7 @@ from cellgrid.functions.exprs import gaussian_weights, psf_sigma
 from cellgrid.operators import curves, regions as rg, spots as sp, voxels as vx
 from cellgrid.plans.bindings import GENES, NX, NY, NZ, SHIFTS, UNMIX
 from cellgrid.plans.catalog import query
+from cellgrid.plans.q_curves import LOGMED, line_sql, two_piece
 from cellgrid.plans.sqlkit import line_sums, nearest, reflect, weighted
 
 CH = ["A", "N", "R"]
@@ -295,7 +296,12 @@ def _(t):
     return sp.spots_per_plane(t.spots, t.sections)
 
 
-@query("plane_thresholds", None, d="thr smooth", i="z k section")
+@query("plane_thresholds", f"""with lm as ({LM_SQL}), p as (select section, channel, z, quantile_cont(v,0.95) a, quantile_cont(v,0.999999) b from dense group by all),
+    e as (select section, channel, median(a) lo, median(b) hi from p group by all),
+    pc as (select section, channel, z, lo+(hi-lo)*k.range/99.0::double as thr, count(*) filter (where round((v-lo)/((hi-lo)/99),9) > k.range) as n
+      from lm join e using (section, channel), range(100) k group by all), {two_piece('pc', 'tp', 'section, channel, z', 'thr', 'n')}
+    select section, channel, z, knot as thr, avg(knot) over (partition by section, channel order by z rows between 1 preceding and 1 following) as smooth from tp""",
+       d="thr smooth", i="z section")
 def _(t):
     return curves.plane_thresholds(vx.local_maxima(t.dense, 1), t.dense, 100)
 
@@ -319,7 +325,9 @@ def _(t):
     return rg.crop_bounds(t.masks, t.sections, 2)
 
 
-@query("depth_attenuation", None, **L)
+@query("depth_attenuation", f"""with {LOGMED}, {line_sql('lm', 'rl', 'section, channel', 42)}
+    select section, channel, z, y, count(*) as n, sum(w) as s, sum(w*(x+1)) as sx from
+    (select *, round_even(round(v*exp(-slope*z),9),0) as w from dense join rl using (section, channel)) group by all""", **L)
 def _(t):
     return lsum(curves.depth_attenuation(t.dense, sigma=SIG, seed=42))
 
@@ -463,11 +471,12 @@ def _resize(size, method):
         near = lambda a, n: f"{nearest(f'floor(s{a}+0.5)', n)}"
         return f"""with {pts} select p.section, p.channel, p.z, p.y, p.x, d.v from pts p join dense d on d.section=p.section and d.channel=p.channel
           and d.z={near('z', NZ)} and d.y={near('y', NY)} and d.x={near('x', NX)}"""
-    tap = lambda a, n: f"d.{a}={nearest(f'(floor(s{a})+o{a}.range)', n)}"
+    tap = lambda a, n: f"{nearest(f'(floor(s{a})+o{a}.range)', n)}::int as j{a}"
     w = lambda a: f"(case when o{a}.range=1 then s{a}-floor(s{a}) else 1-(s{a}-floor(s{a})) end)"
-    return f"""with {pts} select p.section, p.channel, p.z, p.y, p.x, sum({w('z')}*{w('y')}*{w('x')}*d.v) as v from pts p, range(2) oz, range(2) oy,
-      range(2) ox, dense d where d.section=p.section and d.channel=p.channel and {tap('z', NZ)} and {tap('y', NY)} and {tap('x', NX)}
-      group by p.section, p.channel, p.z, p.y, p.x"""
+    return f"""with {pts}, tp as (select section, channel, z, y, x, {tap('z', NZ)}, {tap('y', NY)}, {tap('x', NX)}, {w('z')}*{w('y')}*{w('x')} as w
+      from pts, range(2) oz, range(2) oy, range(2) ox)
+      select p.section, p.channel, p.z, p.y, p.x, sum(w*d.v) as v from tp p join dense d on d.section=p.section and d.channel=p.channel and d.z=jz
+      and d.y=jy and d.x=jx group by p.section, p.channel, p.z, p.y, p.x"""
 
 
 @query("resize_volume", line_sums(_resize((4, 20, 24), "linear")), **L)
