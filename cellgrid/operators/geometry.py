@@ -50,6 +50,10 @@ def affine_fit(fiducials: DataFrame, axes=AX3, keys=KEY) -> DataFrame:
         *[F.covar_pop(f"m{a}", f"m{b}").alias(f"_c{a}{b}") for a in axes for b in axes],
         *[F.covar_pop(f"m{a}", f"f{b}").alias(f"_k{a}{b}") for a in axes for b in axes]).where("_n >= 3")
     adj, det = _cofactors({(a, b): F.col(f"_c{a}{b}") for a in axes for b in axes}, axes)
+    size = F.lit(1.0)
+    for a in axes:
+        size = size * F.col(f"_c{a}{a}")
+    det = F.when(det > size * 1e-9, det)  # collinear or coplanar points have no unique fit: NULL
     m = m.withColumns({"_det": det, **{f"_a{a}{b}": adj[a, b] for a in axes for b in axes}})
     coef = {f"{o}{i}": F.try_divide(sum([F.col(f"_a{i}{j}") * F.col(f"_k{j}{o}") for j in axes], F.lit(0.0)), F.col("_det"))
             for o in axes for i in axes}
@@ -66,7 +70,7 @@ def affine_apply(points: DataFrame, affine: DataFrame, inverse: bool = False, ax
     m = {(o, i): F.col(f"{o}{i}") for o in axes for i in axes}
     if inverse:
         adj, det = _cofactors(m, axes)
-        out = {o: sum([adj[o, i] * (p[i] - F.col(f"{i}t")) for i in axes], F.lit(0.0)) / det for o in axes}
+        out = {o: F.try_divide(sum([adj[o, i] * (p[i] - F.col(f"{i}t")) for i in axes], F.lit(0.0)), det) for o in axes}
     else:
         out = {o: sum([m[o, i] * p[i] for i in axes], F.col(f"{o}t")) for o in axes}
     drop = [c for c in affine.columns if c not in keys]
@@ -248,7 +252,9 @@ def point_registration(pairs: DataFrame, size: dict[str, int], max_ref: int = 5,
     Spark job whose result is checkpointed; the driver holds only the level counter.
     """
     axes = list(size)
+    pairs = cut_lineage(pairs)
     sections = pairs.select(*keys).distinct().withColumns({f"n_{a}": F.lit(n) for a, n in size.items()})
+    sections = cut_lineage(sections)
     spacing = {a: float(start_spacing(tuple(size.values()))) for a in axes}
     ref = bspline_init_grid(sections, spacing, keys=keys)
     add = ref.withColumns({f"o{a}": F.lit(0.0) for a in axes})

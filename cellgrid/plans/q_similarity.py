@@ -50,8 +50,9 @@ def sobel_sql(src, out, col, ndim):
     else:
         sel = (f"sum(b.{col}*{k3('dx', 'dy', 'dz')}) as gx, sum(b.{col}*{k3('dy', 'dx', 'dz')}) as gy, sum(b.{col}*{k3('dz', 'dy', 'dx')}) as gz")
         offs = "range(-1,2) p(dy), range(-1,2) q(dx), range(-1,2) r(dz)"
-    return f"""{out} as (select a.section, a.z, a.y, a.x, {sel} from {src} a, {offs}, {src} b where b.section=a.section and b.z=a.z+dz
-  and b.y=a.y+dy and b.x=a.x+dx group by a.section, a.z, a.y, a.x)"""
+    return f"""{out}_t as materialized (select section, z, y, x, dz, dy, dx, z+dz as jz, y+dy as jy, x+dx as jx from {src}, {offs}),
+{out} as (select a.section, a.z, a.y, a.x, {sel} from {out}_t a join {src} b on b.section=a.section and b.z=jz
+  and b.y=jy and b.x=jx group by a.section, a.z, a.y, a.x)"""
 
 
 EPS = "2.220446049250313e-16::double"
@@ -83,8 +84,10 @@ for name, fn, sql in (("sim_gd", sm.sim_gd, gd_sql), ("sim_gc", sm.sim_gc, gc_sq
 
 @query("sim_pi", f"""with {PAIR}, m as (select section, avg(v) mv, avg(u) mu, count(*) n from pr group by 1),
     d as (select section, z, y, x, n, v/(mv+1e-5::double)-u/(mu+1e-5::double) as d from pr join m using (section)),
-    s as (select a.section, a.n, a.z, a.y, a.x, avg(0.09::double/(0.09::double+(a.d-b.d)*(a.d-b.d))) s from d a, range(-3,4) p(dy), range(-3,4) q(dx), d b
-      where a.section=b.section and a.z=b.z and b.y=a.y+dy and b.x=a.x+dx and dy*dy+dx*dx<=9 and a.y between 3 and {NY - 4} and a.x between 3 and {NX - 4} group by all)
+    t as materialized (select *, y+dy as jy, x+dx as jx from d, range(-3,4) p(dy), range(-3,4) q(dx) where dy*dy+dx*dx<=9
+      and y between 3 and {NY - 4} and x between 3 and {NX - 4}),
+    s as (select a.section, a.n, a.z, a.y, a.x, avg(0.09::double/(0.09::double+(a.d-b.d)*(a.d-b.d))) s from t a join d b
+      on a.section=b.section and a.z=b.z and b.y=a.jy and b.x=a.jx group by all)
     select section, 1-sum(s)/max(n) as t from s group by 1""", **T)
 def _(t):
     return sm.sim_pi(*pair(t), radius=3)
@@ -110,8 +113,9 @@ def mi_sql(src, out, bins, keys):
     return f"""{hist_sql(src, out + '_h', bins, keys)},
 {out}_g as (select k.*, gi.range as i, gj.range as j, coalesce(p,0) as p from (select distinct {keys} from {out}_h) k cross join range({bins}) gi cross join range({bins}) gj
   left join {out}_h h on {' and '.join(f'h.{k}=k.{k}' for k in keys.split(', '))} and h.i=gi.range and h.j=gj.range),
-{out}_x as (select {cols('a')}, a.i, a.j, sum(w.w*b.p) p from {out}_g a, (values {vals}) w(o,w), {out}_g b where {same} and b.j=a.j and b.i={c('(a.i+w.o)')} group by all),
-{out}_y as (select {cols('a')}, a.i, a.j, sum(w.w*b.p) p from {out}_x a, (values {vals}) w(o,w), {out}_x b where {same} and b.i=a.i and b.j={c('(a.j+w.o)')} group by all),
+{out}_k as materialized (select a.*, w.w, {c('(a.i+w.o)')} as ji, {c('(a.j+w.o)')} as jj from {out}_g a, (values {vals}) w(o,w)),
+{out}_x as (select {cols('a')}, a.i, a.j, sum(a.w*b.p) p from {out}_k a join {out}_g b on {same} and b.j=a.j and b.i=a.ji group by all),
+{out}_y as (select {cols('a')}, a.i, a.j, sum(a.w*b.p) p from {out}_k a join {out}_x b on {same} and b.i=a.i and b.j=a.jj group by all),
 {out}_1 as (select {keys}, i, sum(p) p from {out}_g group by {keys}, i), {out}_2 as (select {keys}, j as i, sum(p) p from {out}_g group by {keys}, j),
 {out}_1s as (select {cols('a')}, a.i, sum(w.w*b.p) p from {out}_1 a, (values {vals}) w(o,w), {out}_1 b where {same} and b.i={c('(a.i+w.o)')} group by all),
 {out}_2s as (select {cols('a')}, a.i, sum(w.w*b.p) p from {out}_2 a, (values {vals}) w(o,w), {out}_2 b where {same} and b.i={c('(a.i+w.o)')} group by all),

@@ -24,8 +24,10 @@ def weighted(src: str, axis: str, weights: list[float], cols: dict[str, str], ed
     same = " and ".join(f"b.{a}=a.{a}" for a in ("section", "channel", "z", "y", "x") if a != axis)
     size = n or f"a.n_{axis}"
     outs = ", ".join(f"sum(k.w*b.{c}) as {o}" for o, c in cols.items())
-    return f"""select a.section, a.channel, a.z, a.y, a.x, {outs} from {src} a, (values {vals}) k(o,w), {src} b
-        where {same} and b.{axis} = {edge(f'(a.{axis}+k.o)', size)} group by a.section, a.channel, a.z, a.y, a.x"""
+    return f"""with tgt as materialized (select a.section, a.channel, a.z, a.y, a.x, k.w, ({edge(f'(a.{axis}+k.o)', size)})::int as j
+          from {src} a, (values {vals}) k(o,w))
+        select a.section, a.channel, a.z, a.y, a.x, {outs.replace('k.w*', 'a.w*')} from tgt a join {src} b
+        on {same} and b.{axis} = a.j group by a.section, a.channel, a.z, a.y, a.x"""
 
 
 def hash32(*parts: str) -> str:

@@ -71,7 +71,9 @@ def main(module_names, sf="0.001", only=()):
         importlib.import_module(f"cellgrid.plans.{m}")
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
+    import logging
+    logging.disable(logging.CRITICAL)
     sf_dir = f"/root/testdata/sf{sf}"
     con = duck(sf_dir)
     bad = 0
@@ -83,7 +85,7 @@ def main(module_names, sf="0.001", only=()):
             msg = compare(spark, con, name, q, ORACLES.get(name), sf_dir)
         except Exception as e:  # report and go on
             text = str(e) or traceback.format_exc()
-            msg = "ERROR " + text[:700]
+            msg = "ERROR " + text[:400]
         spent = time.time() - t
         ok = msg.startswith(("ok", "rows-only"))
         bad += not ok
