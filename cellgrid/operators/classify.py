@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrid.operators import expression as ex, sampling as sa, taxonomy as tx
-from cellgrid.operators.neighbours import knn_classify
+from cellgrid.operators.neighbours import knn_classify, knn_join
 from cellgrid.session import cut_lineage
 
 
@@ -119,8 +119,12 @@ def preprocess_splits(boots: DataFrame, mapping: DataFrame | None = None, keys=(
     return out
 
 
-def classify_splits(data: DataFrame, keys=("split",), n_comps: int | None = 50, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """All splits in one job (split is a key): vectors -> components (train fit) -> kNN; returns (keys, cell_id, label, pred)."""
+def split_neighbours(data: DataFrame, keys=("split",), n_comps: int | None = 50, k: int = 5, metric: str = "cosine") -> DataFrame:
+    """All splits in one job (split is a key): vectors -> components (train fit) -> k neighbours.
+
+    Returns (keys, cell_id, label, ref_label), k rows per test cell. Labels play no part in
+    the search, so merged labels can be voted on again without a new search.
+    """
     keys = list(keys)
     vec = ex.cell_vectors(data, [*keys, "part", "cell_id", "label"])
     if n_comps:
@@ -128,8 +132,26 @@ def classify_splits(data: DataFrame, keys=("split",), n_comps: int | None = 50,
         model = ex.pca_fit(vec.where("part = 'train'"), n_comps, keys)
         vec = ex.pca_apply(vec, model, keys)
     train, test = vec.where("part = 'train'"), vec.where("part = 'test'")
-    pred = knn_classify(test, train, k, metric, keys)
-    return test.select(*keys, "cell_id", "label").join(pred, [*keys, "cell_id"])
+    found = knn_join(test.select(*keys, F.col("cell_id").alias("query_id"), "vec"),
+                     train.select(*keys, F.col("cell_id").alias("ref_id"), "label", "vec"), k, metric, keys)
+    near = found.select(*keys, F.col("query_id").alias("cell_id"), F.col("label").alias("ref_label"))
+    return test.select(*keys, "cell_id", "label").join(near, [*keys, "cell_id"])
+
+
+def vote(near: DataFrame, mapping: DataFrame | None = None, keys=("split",)) -> DataFrame:
+    """Majority of the neighbours' labels (after the mapping), ties to the smallest: (keys, cell_id, label, pred)."""
+    keys = list(keys)
+    if mapping is not None:
+        for c in ("label", "ref_label"):
+            m = mapping.select(F.col("label").alias(c), F.col("name").alias("_name"))
+            near = near.join(m, c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+    n = near.groupBy(*keys, "cell_id", "label", "ref_label").agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*keys, "cell_id", "label").agg(
+        F.min_by("ref_label", F.struct(-F.col("_n"), F.col("ref_label"))).alias("pred"))
+
+
+def classify_splits(data: DataFrame, keys=("split",), n_comps: int | None = 50, k: int = 5, metric: str = "cosine") -> DataFrame:
+    return vote(split_neighbours(data, keys, n_comps, k, metric), None, keys)
 
 
 def fold_table(expr: DataFrame, meta: DataFrame, folds: DataFrame, n_splits: int, level: str = "cluster") -> DataFrame:
@@ -171,14 +193,15 @@ def iterative_recombination(boots: DataFrame, freqs: DataFrame, acc_thresh: floa
                             n_comps: int | None = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cross-validate, merge the most confused labels, repeat until accurate enough or one label is left.
 
-    Returns (history, final label mapping, final confusion shares). Each round is a set of
-    Spark jobs whose label-sized results are checkpointed; the driver keeps three numbers a round.
+    Returns (history, final label mapping, final confusion shares). The neighbour search does
+    not depend on labels, so it runs once; a round only maps labels, votes and merges
+    label-sized tables. The driver keeps four numbers a round.
     """
     spark = boots.sparkSession
-    boots = cut_lineage(boots)
+    near = cut_lineage(split_neighbours(preprocess_splits(boots), n_comps=n_comps))
     mapping, history = None, []
     for rnd in range(1, max_rounds + 1):
-        pred = cut_lineage(classify_splits(preprocess_splits(boots, mapping), n_comps=n_comps))
+        pred = cut_lineage(vote(near, mapping))
         acc = accuracy(pred, ["split"]).agg(F.avg("accuracy").alias("a")).first()["a"]
         names = pred.select("label").distinct()
         n_labels = names.count()

@@ -265,8 +265,11 @@ SPC = """with pp as (select m.* from masks m join good_cells c on m.section=c.se
           join pp using (section, z, y, x) group by all)"""
 
 
-@query("spots_per_cell", f"""{SPC} select g.section, g.mask_id, {','.join(f"coalesce(max(c) filter (where gene='{c}'),0) as {c}" for c in CH)}
-    from good_cells g left join h using (section, mask_id) group by all""", i="section mask_id A N R")
+SPC_SQL = f"""{SPC} select g.section, g.mask_id, {','.join(f"coalesce(max(c) filter (where gene='{c}'),0) as {c}" for c in CH)}
+    from good_cells g left join h using (section, mask_id) group by all"""
+
+
+@query("spots_per_cell", SPC_SQL, i="section mask_id A N R")
 def _(t):
     pp = rg.principal_plane_masks(t.masks, t.good_cells)
     return sp.spots_per_cell(t.spots, pp, t.good_cells, CH)
