@@ -239,7 +239,7 @@ def _(t):
 
 
 def _rot(axis, deg, p):
-    c, s = repr(math.cos(math.radians(deg))) + "::double", repr(math.sin(math.radians(deg))) + "::double"
+    c, s = (f"({f(math.radians(deg))!r}::double)" for f in (math.cos, math.sin))
     if axis == "x":
         return {"x": p["x"], "y": f"({c}*{p['y']}-{s}*{p['z']})", "z": f"({s}*{p['y']}+{c}*{p['z']})"}
     if axis == "y":

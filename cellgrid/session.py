@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, visible to all executors."""
+    return f"{ensure_checkpoint_dir(spark)}/cellgrid-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the reliable checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame as a table in the shared checkpoint folder and read it back.
+
+    The result survives lost executors. Unlike ``checkpoint()`` it carries the true size
+    (so small tables are broadcast) and none of the old plan's inferred constraints, which
+    would grow from round to round in loops.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

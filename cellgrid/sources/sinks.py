@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.ranking import bucketed_row_number
 from cellgrid.schema import SchemaMismatch
-from cellgrid.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the checkpoints, shared by all executors."""
-    return f"{ensure_checkpoint_dir(spark)}/cellgrid-{name}-{uuid.uuid4().hex}"
+from cellgrid.session import shared_path as scratch_path  # noqa: F401
 
 
 def sink_cells_csv(cells: DataFrame, path: str) -> None:
