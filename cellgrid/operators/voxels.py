@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from cellgrid.functions import lines
 from cellgrid.functions.exprs import clip, finite_or_zero, gaussian_weights, non_negative
 from cellgrid.functions.ranking import exact_percentiles
+from cellgrid.session import cut_lineage
 
 KEYS = ["section", "channel"]
 ZYX = ["z", "y", "x"]
@@ -154,6 +155,18 @@ def _middle(arr: Column) -> Column:
     return (F.element_at(arr, F.floor((n + 1) / 2).cast("int")) + F.element_at(arr, F.floor(n / 2 + 1).cast("int"))) / 2.0
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with ``value`` evaluated once per row, not once per array element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _clip_round(a: Column, clip_sigma: float) -> Column:
+    """Drop array values further than clip_sigma standard deviations from the median."""
+    sd = _let(_mean(a), lambda mu: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, e: s + (e - mu) * (e - mu)) / F.size(a)))
+    return _let(F.struct(_middle(a).alias("m"), sd.alias("sd")), lambda s: F.filter(
+        a, lambda e: F.abs(e - s["m"]) <= clip_sigma * s["sd"] + 1e-12))
+
+
 def background_boxes(dense: DataFrame, box: int = 50, clip_sigma: float = 3.0, rounds: int = 5, keys=KEYS) -> DataFrame:
     """Clipped box medians after a 3x3 median over neighbouring boxes."""
     cells = dense.groupBy(*keys, "z", F.floor(F.col("y") / box).cast("int").alias("by"),
@@ -162,11 +175,7 @@ def background_boxes(dense: DataFrame, box: int = 50, clip_sigma: float = 3.0, r
                           F.ceil(F.col("n_x") / box).cast("int").alias("nbx")).agg(
         F.sort_array(F.collect_list("v")).alias("a"))  # at most box*box values
     for _ in range(rounds):
-        cells = cells.withColumn("m", _middle(F.col("a"))).withColumn("mu", _mean(F.col("a")))
-        cells = cells.withColumn("sd", F.sqrt(F.aggregate(
-            "a", F.lit(0.0), lambda s, e: s + (e - F.col("mu")) * (e - F.col("mu"))) / F.size("a")))
-        cells = cells.withColumn("a", F.filter(
-            "a", lambda e: F.abs(e - F.col("m")) <= clip_sigma * F.col("sd") + 1e-12))
+        cells = cells.withColumn("a", _clip_round(F.col("a"), clip_sigma))
     boxes = cells.select(*keys, "z", "by", "bx", "nby", "nbx", _middle(F.col("a")).alias("m"))
     near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     spread = (boxes.withColumn("o", F.explode(near)).withColumn("by", F.col("by") + F.col("o.dy"))
@@ -293,8 +302,9 @@ def rolling_ball_subtract(dense: DataFrame, radius: int, scale_radius: bool = Fa
 
 def preprocess_registration(dense: DataFrame, wide: int = 400, ball: int = 50, narrow: int = 50, factor: float = 3.0,
                             keys=KEYS) -> DataFrame:
-    out = local_contrast(dense, wide, wide, factor, True, False, keys)
-    out = rolling_ball_subtract(out, ball, keys=keys)
+    # each stage reads its input more than once, so the stages are written, not recomputed
+    out = cut_lineage(local_contrast(dense, wide, wide, factor, True, False, keys))
+    out = cut_lineage(rolling_ball_subtract(out, ball, keys=keys))
     out = local_contrast(out, narrow, narrow, factor, False, True, keys)
     return nan_to_zero(out, ["v"])
 
