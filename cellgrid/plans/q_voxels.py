@@ -391,8 +391,9 @@ def _(t):
     return rg.region_perimeter(t.annotation, region_ids(t))
 
 
-@query("majority_filter", f"""select section, z, y+a as y, x+b as x from (select distinct section,z,y,x from voxels) v,
-    (values (-1),(0),(1)) p(a), (values (-1),(0),(1)) q(b) group by all having count(*)>=5 and (y+a) between 0 and {NY - 1} and (x+b) between 0 and {NX - 1}""",
+@query("majority_filter", f"""select section, z, yy as y, xx as x from (select section, z, y+a as yy, x+b as xx
+      from (select distinct section,z,y,x from voxels) v, (values (-1),(0),(1)) p(a), (values (-1),(0),(1)) q(b))
+    where yy between 0 and {NY - 1} and xx between 0 and {NX - 1} group by section, z, yy, xx having count(*)>=5""",
        i="section z y x")
 def _(t):
     return rg.majority(t.voxels.select("section", "z", "y", "x").distinct(), t.sections)
