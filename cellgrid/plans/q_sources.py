@@ -89,9 +89,11 @@ def _(t):
 
 @query("scan_mapping_results", "select cell_id::varchar as cell_id, class as class_name, subclass as subclass_name from meta")
 def _(t):
-    rows = t.meta.select(F.col("cell_id").cast("string"), F.col("class").alias("class_name"), F.col("subclass").alias("subclass_name"))
-    notes = rows.select(F.concat(F.lit("# mapped "), "cell_id").alias("cell_id"), F.lit("").alias("class_name"), F.lit("").alias("subclass_name"))
-    return sc.scan_mapping_results(t.spark, written(t, rows.unionByName(notes), "map"))
+    cols = [F.col("cell_id").cast("string"), F.col("class").alias("class_name"), F.col("subclass").alias("subclass_name")]
+    path = written(t, t.meta.select(*cols), "map")
+    # comment lines as the mapper writes them, in a file of their own beside the data
+    t.meta.select(F.concat(F.lit("# mapped "), F.col("cell_id")).alias("value")).write.mode("append").text(path)
+    return sc.scan_mapping_results(t.spark, path)
 
 
 @query("matrix_genes_by_rows", f"""select 'cell'||(cell_id%5) as cell_id, 'Sym'||substr(gene,2) as gene, sum(value) as value from expr group by all""", d="value")
