@@ -6,10 +6,12 @@ from cellgrid.llm import (
     q_bpe,
     q_fingerprints,
     q_line_dedup,
+    q_near_dedup,
+    q_packing,
     q_quality,
 )
 
-MODULES = (q_line_dedup, q_bpe, q_quality, q_fingerprints)
+MODULES = (q_line_dedup, q_bpe, q_quality, q_packing, q_fingerprints, q_near_dedup)
 
 QUERIES = {m.NAME: m.run for m in MODULES}
 ORACLES = {m.NAME: m.SQL for m in MODULES if m.SQL}
