@@ -32,7 +32,7 @@ from cellgrid.llm.common import chunks, ragged
 from cellgrid.session import cut_lineage
 
 #: words a worker remembers between blocks; the memory is emptied when full
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 class _Words(dict):
@@ -74,24 +74,20 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self._words = _Words()
-        self._plain: dict[str, list[int]] = {}
         self._lengths, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(words)
         other = []
-        model, letters, plain = self.tokenizer.model, self._letters, self._plain
+        model, letters = self.tokenizer.model, self._letters
         for i, word in enumerate(words):
             m = _PLAIN.fullmatch(word)
             if m is None:
                 other.append(i)
                 continue
             base = m[1].lower()
-            ids = plain.get(base)
-            if ids is None:
-                form = base if base.isascii() else base.encode().decode("latin-1").translate(letters)
-                ids = plain[base] = [t.id for t in model.tokenize(form)]
-            out[i] = ids + self._mark[m[2]] if m[2] else ids
+            form = base if base.isascii() else base.encode().decode("latin-1").translate(letters)
+            out[i] = [t.id for t in model.tokenize(form)] + self._mark[m[2]]
         for i, got in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
             out[i] = got.ids
         return out
