@@ -10,9 +10,10 @@ from cellgrid.llm import (
     q_near_dedup,
     q_packing,
     q_quality,
+    q_suffix_dedup,
 )
 
-MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_packing, q_fingerprints, q_near_dedup)
+MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_suffix_dedup, q_packing, q_fingerprints, q_near_dedup)
 
 QUERIES = {m.NAME: m.run for m in MODULES}
 ORACLES = {m.NAME: m.SQL for m in MODULES if m.SQL}
