@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cellgrid.llm import (
     q_bpe,
+    q_class_lm,
     q_fingerprints,
     q_language_id,
     q_line_dedup,
@@ -13,7 +14,7 @@ from cellgrid.llm import (
     q_suffix_dedup,
 )
 
-MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_suffix_dedup, q_packing, q_fingerprints, q_near_dedup)
+MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_suffix_dedup, q_class_lm, q_packing, q_fingerprints, q_near_dedup)
 
 QUERIES = {m.NAME: m.run for m in MODULES}
 ORACLES = {m.NAME: m.SQL for m in MODULES if m.SQL}

@@ -121,3 +121,57 @@ class SubstringHash:
         with np.errstate(over="ignore"):
             raw = (self._sum[ends] - self._sum[starts]) * self._up[starts]
             return mix(raw + (ends - starts).astype(np.uint64))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, all else as it is."""
+    return _LOWER[data]
+
+
+def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, row) of the words [^\\x20\\x09-\\x0D]+ of every row of a byte view."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    word = ~_BLANK[data]
+    begins = np.flatnonzero(word & (~np.concatenate([[False], word])[:len(data)] | edge[:len(data)]))
+    ends = np.flatnonzero(word & (~np.concatenate([word, [False]])[1:] | edge[1:])) + 1
+    return begins, ends, np.searchsorted(offs, begins, "right") - 1
+
+
+class HashIndex:
+    """Position of 64-bit keys in a list of distinct ones, by an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length() + 1)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._place = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int64)
+        place = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(place):
+            free = self._place[at] < 0
+            self._place[at[free]] = place[free]
+            won = self._place[at] == place
+            self._keys[at[won]] = keys[place[won]]
+            place, at = place[~won], (at[~won] + 1) & self._mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where a key is not in the list."""
+        out = self._place[at := self._slot(keys)]
+        todo = np.flatnonzero((out >= 0) & (self._keys[at] != keys))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self._mask
+            out[todo] = self._place[at]
+            on = (out[todo] >= 0) & (self._keys[at] != keys[todo])
+            todo, at = todo[on], at[on]
+        return out
