@@ -441,3 +441,34 @@ def repeat_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     return full.select("_doc", "_z", "r").mapInArrow(
         run, "_doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("_doc", doc_id)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every repeated byte taken out of its texts; a null text stays null.
+
+    Where a repeat begins or ends inside a character, the character's remaining bytes go too.
+    """
+    names = docs.columns
+    ranges = repeated_ranges(docs, doc_id, text)
+    rest = [c for c in names if c != text]
+    whole = docs.select(F.struct(*[docs[c] for c in rest], docs[text].isNull().alias("_void")).alias("_row"),
+                        F.coalesce(docs[doc_id], F.lit(0)).cast("long").alias("_id"),
+                        F.xxhash64(docs[doc_id], docs[text]).alias("_th"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    row = whole.schema["_row"].dataType.simpleString()
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for part in chunks(batches, "_text"):
+            z = [squeeze.compress(t.as_buffer()) for t in part.column("_text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "_id", "_th")), pa.array(z, pa.binary())],
+                                             ["_row", "_id", "_th", "_z"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "_z", 1 << 20):
+            texts = [without(t, merged(r)).decode("utf-8", "ignore")
+                     for t, r in zip(_unpacked(part.column("_z")), part.column("r").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(texts, pa.string())], ["_row", "_text"])
+
+    joined = whole.mapInArrow(press, f"_row {row}, _id bigint, _th bigint, _z binary").join(ranges, ["_id", "_th"], "left")
+    kept = joined.select("_row", "_z", "r").mapInArrow(cut, f"_row {row}, _text string")
+    return kept.select(*[F.when(~F.col("_row._void"), F.col("_text")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names])
