@@ -7,12 +7,15 @@ shingle stops once its next arrival is later than all that the text still waits
 texts agree in a component with the probability of their probability Jaccard similarity.
 
 Texts with the same shingle multiset are one node. Nodes sharing a band of the signature are
-candidates; their similarity is then computed exactly from both whole texts. A bucket is
-never expanded into all its pairs: its least node is compared with every other, which joins
-most of a group at once; as long as a bucket still holds several components, its next node
-is compared with those outside its own component. Only a bucket with no more than
-``SMALL`` nodes left is compared pair by pair. So no candidate link between different
-components is left untested, and each round is linear in the bucket.
+candidates; a link is a candidate pair whose similarity, computed exactly from both whole
+texts, reaches the threshold. A bucket is never expanded into all its pairs. First every
+node is compared with its bucket's centre, the node that meets most others over all bands,
+which joins most of a group at once. Then, in each bucket, only nodes outside the bucket's
+largest component are left: they are matched with the whole bucket in blocks of bounded
+size, by their signatures, and pairs that agree in at least ``AGREE`` components are compared:
+each such node's ``BEST`` likeliest partners first, and all of them if it then still stands
+apart. A pair at the threshold fails to share a band with probability 2e-5 and fails to
+agree so often with probability 4e-6; nothing else is left out.
 
 Defined results: null and empty texts, and texts of blanks, have no shingle and are alone in
 their class; rows equal in id and text share one class; a null id ranks as 0; empty tables
@@ -34,9 +37,12 @@ from cellgrid.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
-#: bands times rows; a pair at the threshold misses all bands with probability 3e-6
-BANDS, ROWS = 24, 4
-SMALL = 16
+#: bands times rows of the signature
+BANDS, ROWS = 36, 6
+#: components (of all BANDS * ROWS) in which a pair must agree to be compared: 4.5 standard deviations below the threshold
+AGREE = 147
+#: partners of a node that are compared before all others, and nodes in a block
+BEST, BLOCK = 6, 256
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS.encode())] = True
@@ -120,7 +126,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_id, _th, _doc, _fa, _fb, _n, _bands): multiset fingerprint, shingle count and band keys per row."""
+    """(_id, _th, _doc, _fa, _fb, _n, _bands, _sig): multiset fingerprint, shingle count, band keys and a byte per component."""
     size = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +144,16 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     key = mix(key + sig[:, :, i])
                 key = mix(key + np.arange(BANDS, dtype=np.uint64))
             total = np.bincount(row, weights=count, minlength=n).astype(np.int64)
+            short = (mix(sig) & np.uint64(255)).astype(np.uint8).reshape(n, size)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)),
                                              pa.array(key.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("_id"), part.column("_th"), part.column("_doc"), pa.array(fa.view(np.int64)),
-                 pa.array(fb.view(np.int64)), pa.array(total), lists],
-                ["_id", "_th", "_doc", "_fa", "_fb", "_n", "_bands"])
+                 pa.array(fb.view(np.int64)), pa.array(total), lists, pa.array([x.tobytes() for x in short], pa.binary())],
+                ["_id", "_th", "_doc", "_fa", "_fb", "_n", "_bands", "_sig"])
 
     return keyed(docs, doc_id, text).mapInArrow(
-        run, "_id bigint, _th bigint, _doc bigint, _fa bigint, _fb bigint, _n bigint, _bands array<bigint>")
+        run, "_id bigint, _th bigint, _doc bigint, _fa bigint, _fb bigint, _n bigint, _bands array<bigint>, _sig binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -173,44 +180,109 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 same = [probability_jaccard(x, y) for x, y in zip(sets(part.column("_ta")), sets(part.column("_tb")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(same, pa.float64())], ["a", "b", "similarity"])
 
-    node = "struct<_id:bigint,_th:bigint>"
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(run, f"a {node}, b {node}, similarity double").where(
+    return both.select("a", "b", "_ta", "_tb").mapInArrow(run, f"a {_NODE}, b {_NODE}, similarity double").where(
         F.col("similarity") >= THRESHOLD - 1e-12)
 
 
+_NODE = "struct<_id:bigint,_th:bigint>"
+
+
+def likely_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, best: int | None) -> DataFrame:
+    """(a, b): pairs of one bucket but different components whose signatures agree often enough.
+
+    Of each node outside its bucket's largest component, the ``best`` likeliest partners in
+    a block, or all. Both sides of a bucket are dealt to a grid of blocks.
+    """
+    tagged = cut_lineage(held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    per_label = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = per_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
+    grid = largest.select("key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"),
+                          F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("na"))
+    unsettled = cut_lineage(tagged.join(grid, "key").join(nodes.select("node", "_sig"), "node"))
+
+    def dealt(side: int, own: str, other: str) -> DataFrame:
+        """Each node in its block of one side, for every block of the other side."""
+        rows = unsettled.where("label != main") if side == 0 else unsettled
+        rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn(
+            "_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        ba, bb = ("_own", "_other") if side == 0 else ("_other", "_own")
+        return rows.select("key", F.col(ba).alias("ba"), F.col(bb).alias("bb"), F.lit(side).alias("side"), "node", "label", "_sig")
+
+    both = dealt(0, "na", "nb").union(dealt(1, "nb", "na"))
+    sorted_blocks = both.repartition("key", "ba", "bb").sortWithinPartitions("key", "ba", "bb", "side")
+    numbered = sorted_blocks.select(F.xxhash64("key", "ba", "bb").alias("g"), "side", "node", F.xxhash64("label").alias("l"), "_sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[pa.RecordBatch] = []
+        for batch in batches:
+            held_rows.append(batch)
+            table = pa.Table.from_batches(held_rows).combine_chunks()
+            group = table.column("g").to_numpy()
+            new = np.flatnonzero(group[1:] != group[:-1]) + 1
+            if len(new):
+                yield from matched(table.slice(0, int(new[-1])))
+                held_rows = table.slice(int(new[-1])).combine_chunks().to_batches()
+            else:
+                held_rows = table.to_batches()
+        if held_rows:
+            yield from matched(pa.Table.from_batches(held_rows))
+
+    def matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        group, side, label = (table.column(c).to_numpy() for c in ("g", "side", "l"))
+        sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint8).reshape(len(group), -1)
+        bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        left, right = [], []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if s == e:
+                continue
+            at = np.arange(s, e)
+            ours, theirs = at[side[s:e] == 0], at[side[s:e] == 1]
+            for i in ours:
+                agree = (sig[theirs] == sig[i]).sum(axis=1)
+                agree[label[theirs] == label[i]] = 0
+                picked = np.flatnonzero(agree >= AGREE)
+                if best is not None and len(picked) > best:
+                    picked = picked[np.argsort(-agree[picked], kind="stable")[:best]]
+                left += [i] * len(picked)
+                right.append(theirs[picked])
+        node = table.column("node")
+        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
+        right_at = np.concatenate([np.zeros(0, np.int64), *right])
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(left, pa.int64())), node.take(pa.array(right_at))], ["a", "b"])
+
+    found = numbered.mapInArrow(run, f"a {_NODE}, b {_NODE}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, _doc, _label, _links): one row per row of ``docs``, labelled by the least node of its class."""
     rows = keyed(docs, doc_id, text)
     signed_rows = cut_lineage(signed(docs, doc_id, text))
     nodes = cut_lineage(signed_rows.where("_n > 0").groupBy("_fa", "_fb").agg(
-        F.min(F.struct("_id", "_th")).alias("node"), F.first("_bands").alias("_bands")))
+        F.min(F.struct("_id", "_th")).alias("node"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")))
     members = nodes.select("node", F.explode("_bands").alias("key"))
-    full = members.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # every member of a bucket with its least node, which it is compared with first
-    held = cut_lineage(members.join(full, "key").select("key", "node", "a"))
-    links = None
-    labels = None
-    pairs = held.where("node != a").select("a", F.col("node").alias("b")).distinct()
-    left = held.where("node != a").select("key", "node")
-    while True:
-        pairs = cut_lineage(pairs)
+    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut_lineage(members.join(full, "key"))
+    # the centre of a bucket is its node with most company over all bands
+    company = held.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = held.select("key", "node").join(company, "node")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("c")).select("key", F.col("c.node").alias("a"))
+    pairs = held.join(centres, "key").where("node != a").select(
+        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    held = held.select("key", "node")
+    links = labels = None
+    tested: DataFrame | None = None
+    for best in (BEST, None, 0):  # centres, then the likeliest partners, then all others
+        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        found = cut_lineage(verified(pairs, rows))
-        links = found if links is None else cut_lineage(links.union(found))
+        tested = pairs if tested is None else cut_lineage(tested.union(pairs))
+        found = verified(pairs, rows)
+        links = cut_lineage(found if links is None else links.union(found))
         labels = cut_lineage(components(links))
-        tagged = left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        tagged = cut_lineage(tagged)
-        open_keys = tagged.groupBy("key").agg(
-            F.min("node").alias("a"), F.min_by("label", "node").alias("la"), F.min("label").alias("lo"),
-            F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "a", "la", "n")
-        still = cut_lineage(tagged.join(open_keys, "key"))
-        big = still.where(F.col("n") > SMALL)
-        few = still.where(F.col("n") <= SMALL)
-        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = (big.where("label != la").select("a", F.col("node").alias("b"))
-                 .union(few.join(other, "key").where("node < b and label != lb").select(F.col("node").alias("a"), "b"))).distinct()
-        left = big.where("node != a").select("key", "node")
+        if best != 0:
+            pairs = likely_pairs(held, nodes, labels, best)
     if labels is None:
         labelled = nodes.select("_fa", "_fb", F.col("node").alias("_label"), F.lit(0).cast("bigint").alias("_links"))
     else:
