@@ -37,16 +37,19 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def _sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Piece count ``_n`` and lane values ``_lanes`` (low halves before high halves, modulo 2^16) per key."""
-    each = rows.select(*keys, F.explode_outer(pieces(F.col(text))).alias("_p"))
+def _sums(rows: DataFrame, keys: list[str], text: str, along: tuple[str, ...] = ()) -> DataFrame:
+    """Piece count ``_n`` and lane values ``_lanes`` (low halves before high halves, modulo 2^16) per key.
+
+    ``along`` names columns that depend on the key and are handed on.
+    """
+    each = rows.select(*keys, *along, F.explode_outer(pieces(F.col(text))).alias("_p"))
     real = F.col("_p").isNotNull()
-    each = each.select(*keys, real.cast("long").alias("_is"), F.when(real, F.xxhash64("_p")).otherwise(F.lit(0)).alias("_a"),
+    each = each.select(*keys, *along, real.cast("long").alias("_is"), F.when(real, F.xxhash64("_p")).otherwise(F.lit(0)).alias("_a"),
                        F.when(real, F.xxhash64("_p", F.lit(1))).otherwise(F.lit(0)).alias("_b"))
-    sums = each.groupBy(*keys).agg(F.sum("_is").alias("_n"), *[
+    sums = each.groupBy(*keys).agg(F.sum("_is").alias("_n"), *[F.first(c).alias(c) for c in along], *[
         F.sum(F.shiftright(F.col(h), i).bitwiseAND(F.lit(_PAIR))).alias(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)])
     cells = [F.col(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)]
-    return sums.select(*keys, "_n", F.array(*[c.bitwiseAND(F.lit(0xFFFF)).cast("int") for c in cells], *[
+    return sums.select(*keys, *along, "_n", F.array(*[c.bitwiseAND(F.lit(0xFFFF)).cast("int") for c in cells], *[
         F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(0xFFFF)).cast("int") for c in cells]).alias("_lanes"))
 
 
@@ -147,19 +150,20 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                           F.col("_id").alias("_to_id"), F.col("_th").alias("_to_th"), half.alias("_take"))
     heads = texts.join(wanted, key).select(
         F.col("_to_id").alias("_id"), F.col("_to_th").alias("_th"), F.expr("substring(_text, 1, _take)").alias("_head"))
-    own = chain.select(*key, "_chars")
-    both = texts.join(own, key).join(heads, key).select(
-        *key, "_text", F.concat(F.substring("_text", F.lit(1), F.col("_chars") - half), F.col("_head")).alias("_edited"))
-    forms = both.select(*key, F.sha2("_edited", 256).alias("_sha"), F.explode(F.array(
+    along = ("_doc", "_chars", "_copies", "_next_id", "_next_th")
+    both = texts.join(chain, key).join(heads, key).select(
+        *key, *along, "_text", F.concat(F.substring("_text", F.lit(1), F.col("_chars") - half), F.col("_head")).alias("_edited"))
+    forms = both.select(*key, *along, F.sha2("_edited", 256).alias("_sha"), F.explode(F.array(
         F.struct(F.lit(0).alias("_form"), F.col("_text")), F.struct(F.lit(1).alias("_form"), F.col("_edited").alias("_text")))).alias("_f"))
-    sums = _sums(forms.select(*key, "_sha", "_f.*"), [*key, "_sha", "_form"], "_text")
+    sums = _sums(forms.select(*key, *along, "_sha", "_f.*"), [*key, "_sha", "_form"], "_text", along)
 
     def of(form: int) -> Column:
         return F.max(F.when(F.col("_form") == form, F.struct("_n", "_lanes")))
 
-    marks = cut_lineage(sums.groupBy(*key, "_sha").agg(of(0).alias("_own"), of(1).alias("_edit")))
+    marks = cut_lineage(sums.groupBy(*key, "_sha").agg(
+        *[F.first(c).alias(c) for c in along], of(0).alias("_own"), of(1).alias("_edit")))
     after = marks.select(F.col("_id").alias("_next_id"), F.col("_th").alias("_next_th"), F.col("_own").alias("_after"))
-    out = marks.join(chain, key).join(after, ["_next_id", "_next_th"])
+    out = marks.join(after, ["_next_id", "_next_th"])
 
     def like(a: str, b: str) -> Column:
         return likeness_of(F.col(f"{a}._lanes"), F.col(f"{a}._n"), F.col(f"{b}._lanes"), F.col(f"{b}._n"))
