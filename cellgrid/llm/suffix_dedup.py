@@ -398,7 +398,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             F.col("pkey").alias("key"), F.col("pctx").alias("ctx"), F.col("pm").alias("m"),
             F.transform("r", lambda x: F.struct((x.a + F.col("s")).alias("a"), (x.b + F.col("s")).alias("b"))).alias("r"))
         result = cut_lineage(own.unionByName(up))
-    # a context that met finer levels has one row per child, so starts and not contexts are joined on
+    # a context that met finer levels has one row per child; occurrences meet one row per context
+    result = result.groupBy(*_CONTEXT).agg(F.flatten(F.collect_list("r")).alias("r"))
     hits = seen.join(result, _CONTEXT).select("_rid", F.explode("r").alias("x"), "s").select(
         "_rid", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b") + SPAN - 1).alias("b"))
     return hits.groupBy("_rid").agg(F.collect_list(F.struct("a", "b")).alias("r")).join(
