@@ -42,16 +42,19 @@ BUCKETS = 1 << 18
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "liar", "loser", "moron",
            "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
 #: rates of a text used beside its words
-RATES = ("symbols", "bangs", "repeats", "duplicate_lines", "word_length", "shouting", "short", "few")
+RATES = ("symbols", "bangs", "repeats", "duplicate_lines", "word_length", "shouting", "short", "few",
+         "many_symbols", "many_bangs", "many_repeats", "some_repeats")
 
 #: labeller -> vote over the measurements: 1 good or toxic, 0 the opposite, null abstains
 QUALITY_VOTES = {
-    "symbols": "CASE WHEN 100 * n_symbols > 10 * n_words THEN 0 WHEN n_symbols = 0 AND n_words >= 20 THEN 1 END",
+    "symbols": "CASE WHEN 100 * n_symbols > 10 * n_words THEN 0 END",
     "bangs": "CASE WHEN 100 * n_bangs > 30 * n_words THEN 0 END",
-    "repeats": "CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 0 WHEN 100 * n_repeat_words < 20 * n_words THEN 1 END",
+    "repeats": "CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 0 END",
     "duplicate_lines": "CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 0 END",
-    "length": "CASE WHEN n_words < 4 THEN 0 WHEN n_words >= 100 THEN 1 END",
+    "length": "CASE WHEN n_words < 4 THEN 0 END",
     "word_length": "CASE WHEN word_chars > 12 * n_words OR word_chars < 2 * n_words THEN 0 END",
+    "plain": "CASE WHEN n_words >= 20 AND 100 * n_symbols <= 2 * n_words AND 100 * n_bangs <= 5 * n_words "
+             "AND 100 * n_repeat_words <= 20 * n_words THEN 1 END",
     "rated": "quality",
 }
 TOXIC_VOTES = {
@@ -92,7 +95,9 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray],
     rates = np.stack([
         np.minimum(found["n_symbols"] / words, 1), np.minimum(found["n_bangs"] / words, 1), found["n_repeat_words"] / words,
         found["n_dup_lines"] / np.maximum(found["n_lines"], 1), np.minimum(found["word_chars"] / words / 10, 3),
-        (upper[offs[1:]] - upper[offs[:-1]]) / np.maximum(np.diff(offs), 1), found["n_words"] < 50, found["n_words"] < 4], axis=1).astype(np.float64)
+        (upper[offs[1:]] - upper[offs[:-1]]) / np.maximum(np.diff(offs), 1), found["n_words"] < 50, found["n_words"] < 4,
+        found["n_symbols"] > 0.1 * words, found["n_bangs"] > 0.3 * words, found["n_repeat_words"] > 0.5 * words,
+        found["n_repeat_words"] > 0.2 * words], axis=1).astype(np.float64)
     bucket = (mix(key) % np.uint64(BUCKETS)).astype(np.int64)
     pair = np.unique(row * np.int64(BUCKETS) + bucket)
     return found, rates, pair // BUCKETS, pair % BUCKETS
