@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,14 +98,18 @@ def manual_merge(labels: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def label_mapping(groups: DataFrame) -> DataFrame:
-    """(label, group) -> (label, name): name lists the members as 'a, b'.
+    """(label, group) -> (label, name): name lists the members as 'a, b'."""
+    named = groups.groupBy("group").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("name"))
+    return groups.join(named, "group").select("label", "name").distinct()
+
 
-    Labels that are merged names themselves also map their parts to the new name.
+def compose_mapping(mapping: DataFrame, groups: DataFrame) -> DataFrame:
+    """Base labels through ``mapping`` (label, name), then through groups of those names: (label, name) by base members.
+
+    Members travel as rows, so a comma inside a label does no harm.
     """
-    named = groups.groupBy("group").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("name"))
-    j = groups.join(named, "group")
-    parts = F.array_distinct(F.concat(F.array("label"), F.split("label", ", ")))
-    return j.select(F.explode(parts).alias("label"), "name").distinct()
+    moved = mapping.join(groups.withColumnRenamed("label", "name"), "name").select("label", "group")
+    return label_mapping(moved)
 
 
 # ---- splits, cross-validation ---------------------------------------------------------------------
@@ -189,34 +195,35 @@ def bootstrap_test(expr: DataFrame, meta: DataFrame, folds: DataFrame, freqs: Da
     return per.agg(F.avg("accuracy").alias("accuracy"), F.avg("sparsity").alias("sparsity"), F.count(F.lit(1)).alias("splits"))
 
 
-def iterative_recombination(boots: DataFrame, freqs: DataFrame, acc_thresh: float = 0.99, max_rounds: int = 50,
+def iterative_recombination(boots: DataFrame, freqs: DataFrame, acc_thresh: float = 0.99,
                             n_comps: int | None = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cross-validate, merge the most confused labels, repeat until accurate enough or one label is left.
 
     Returns (history, final label mapping, final confusion shares). The neighbour search does
     not depend on labels, so it runs once; a round only maps labels, votes and merges
-    label-sized tables. The driver keeps four numbers a round.
+    label-sized tables. The driver keeps four numbers a round. Each round merges at least two
+    labels; one that does not is an error, not an end.
     """
     spark = boots.sparkSession
     near = cut_lineage(split_neighbours(preprocess_splits(boots), n_comps=n_comps))
-    mapping, history = None, []
-    for rnd in range(1, max_rounds + 1):
+    mapping, history, rnd = None, [], 0
+    while True:
+        rnd += 1
         pred = cut_lineage(vote(near, mapping))
         acc = accuracy(pred, ["split"]).agg(F.avg("accuracy").alias("a")).first()["a"]
         names = pred.select("label").distinct()
         n_labels = names.count()
         named = freqs if mapping is None else tx.freqs_for_groups(freqs, mapping.select("name").distinct())
         bits = tx.entropy_bits(named).first()["bits"]
+        if history and n_labels >= history[-1][2]:
+            raise RuntimeError(f"round {rnd} merged no labels: {n_labels} are left at accuracy {acc}")
         history.append((rnd, float(acc), int(n_labels), float(bits)))
         shares = cut_lineage(confusion_rows_pct(confusion_matrix(pred)))
         if acc >= acc_thresh or n_labels <= 1:
             break
         groups = merge_closest(confusion_to_distance(shares))
-        fresh = label_mapping(groups)
-        # base labels keep pointing at the newest name
-        mapping = cut_lineage(fresh.where(~F.col("label").contains(", ")))
-        if mapping.select("name").distinct().count() <= 1:
-            break
+        base = names.select("label", F.col("label").alias("name")) if mapping is None else mapping
+        mapping = cut_lineage(compose_mapping(base, groups))
     hist = spark.createDataFrame(history, "round int, accuracy double, n_labels int, bits double")
     if mapping is None:
         mapping = names.withColumn("name", F.col("label"))
@@ -271,20 +278,25 @@ def assign_cell_types(expr: DataFrame, cells: DataFrame, atlas_expr: DataFrame,
     return pred.select("nt_group", "cell_id", F.col("pred").alias(level))
 
 
-def graph_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation on an undirected graph for a fixed number of rounds: (node, community).
+def graph_communities(edges: DataFrame) -> DataFrame:
+    """Label propagation on an undirected graph until labels settle: (node, community).
 
     Votes are pre-aggregated per (node, label), so a hub with very many edges is one row per
-    distinct label. Ties go to the smallest label.
+    distinct label. Ties go to the smallest label. All nodes change at once, so labels may
+    come round in a cycle instead of settling; then each node takes its smallest label of
+    the cycle.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for r in range(rounds):
+    states, marks = [], []
+    while True:
         votes = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community")
                  .agg(F.count(F.lit(1)).alias("_n")))
-        top = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("_n"), F.col("community"))).alias("community"))
-        labels = cut_lineage(top) if r % 3 == 2 else top
-    return labels
-
-
+        labels = cut_lineage(votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("_n"), F.col("community"))).alias("community")))
+        mark = labels.agg(F.sum(F.xxhash64("node", "community").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("community", "node"))).first()
+        if mark in marks:
+            cycle = states[marks.index(mark):]
+            return reduce(DataFrame.unionByName, cycle).groupBy("node").agg(F.min("community").alias("community"))
+        states.append(labels)
+        marks.append(mark)

@@ -85,10 +85,11 @@ def curve_mad_suggestion(fano: DataFrame, keys) -> DataFrame:
 
 
 def curve_two_piece_fit(curve: DataFrame, keys, x: str = "thr", y: str = "fano") -> DataFrame:
-    """Best two separate line segments by exact search over the grid of knots.
+    """Best continuous line of two segments by exact search over the grid of knots.
 
-    Running sums give both segments' squared error at every knot. Returns the knot, the
-    right segment's line, and the first crossing of that line (not before the knot).
+    The line is b0 + b1 x + b2 max(x - knot, 0); running sums give its squared error at every
+    knot. Returns the knot, the right segment's line, and the first crossing of that line
+    (not before the knot).
     """
     keys = list(keys)
     base = curve.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -100,18 +101,18 @@ def curve_two_piece_fit(curve: DataFrame, keys, x: str = "thr", y: str = "fano")
     p = p.select(*keys, "x", "y", *[F.col(f"l_{k}") for k in sums],
                  *[(F.col(f"t_{k}") - F.col(f"l_{k}")).alias(f"r_{k}") for k in sums])
 
-    def parts(s: str):
-        n = F.col(f"{s}_n")
-        vxx = F.col(f"{s}_sxx") - F.col(f"{s}_sx") * F.col(f"{s}_sx") / n
-        vxy = F.col(f"{s}_sxy") - F.col(f"{s}_sx") * F.col(f"{s}_sy") / n
-        vyy = F.col(f"{s}_syy") - F.col(f"{s}_sy") * F.col(f"{s}_sy") / n
-        return n, vxx, vxy, vyy
-
-    ln, lxx, lxy, lyy = parts("l")
-    rn, rxx, rxy, ryy = parts("r")
-    knots = p.where("l_n >= 2 and r_n >= 2").withColumn("sse", F.round(
-        lyy - lxy * lxy / lxx + ryy - rxy * rxy / rxx, 6)).withColumn("_slope", rxy / rxx)
-    knots = knots.withColumn("_icept", (F.col("r_sy") - F.col("_slope") * F.col("r_sx")) / rn)
+    total = {k: F.col(f"l_{k}") + F.col(f"r_{k}") for k in sums}
+    n, c = total["n"], F.col("x")
+    h = F.col("r_sx") - c * F.col("r_n")  # sums over max(x - knot, 0)
+    hh = F.col("r_sxx") - 2 * c * F.col("r_sx") + c * c * F.col("r_n")
+    xx, yy = total["sxx"] - total["sx"] * total["sx"] / n, total["syy"] - total["sy"] * total["sy"] / n
+    xy, vh = total["sxy"] - total["sx"] * total["sy"] / n, hh - h * h / n
+    xh = F.col("r_sxx") - c * F.col("r_sx") - total["sx"] * h / n
+    yh = F.col("r_sxy") - c * F.col("r_sy") - total["sy"] * h / n
+    det = xx * vh - xh * xh
+    knots = p.where("l_n >= 2 and r_n >= 2").withColumn("_b1", (xy * vh - yh * xh) / det).withColumn("_b2", (yh * xx - xy * xh) / det)
+    knots = knots.withColumn("sse", F.round(yy - F.col("_b1") * xy - F.col("_b2") * yh, 6)).withColumn("_slope", F.col("_b1") + F.col("_b2"))
+    knots = knots.withColumn("_icept", (total["sy"] - F.col("_b1") * total["sx"] - F.col("_b2") * h) / n - F.col("_b2") * c)
     best = knots.groupBy(*keys).agg(F.min_by(
         F.struct(F.col("x").alias("knot"), F.col("_slope").alias("slope"), F.col("_icept").alias("icept"), "sse"),
         F.struct("sse", "x")).alias("b")).select(*keys, "b.*")
@@ -216,13 +217,15 @@ def poly_value(x: Column) -> Column:
     return F.aggregate(F.reverse("coef"), F.lit(0.0), lambda acc, c: acc * x + c)
 
 
-def poly_fit_purge(points: DataFrame, keys, x: str = "z", y: str = "y", degree: int = 4, tol: float = 0.2,
-                   max_rounds: int = 20) -> DataFrame:
-    """Drop points whose relative residual exceeds ``tol`` and refit until none does; returns fitted values."""
+def poly_fit_purge(points: DataFrame, keys, x: str = "z", y: str = "y", degree: int = 4, tol: float = 0.2) -> DataFrame:
+    """Drop points whose relative residual exceeds ``tol`` and refit until none does; returns fitted values.
+
+    Every round but the last drops a point, so the loop ends.
+    """
     keys = list(keys)
     scaled = points.withColumn("_t", F.col(x) / F.greatest(F.max(F.abs(F.col(x))).over(_whole(keys)), F.lit(1)))
     kept = cut_lineage(scaled.withColumn("_drop", F.lit(False)))
-    for _ in range(max_rounds):
+    while True:
         coef = poly_coefficients(kept.where("not _drop"), keys, "_t", y, degree)
         pred = poly_value(F.col("_t"))
         judged = kept.join(coef, keys).withColumn("fit", pred)

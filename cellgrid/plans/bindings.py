@@ -171,7 +171,7 @@ class Inputs:
             F.lit("2024-12-20_EXP-"), k % 3, F.lit("/2024-12-2"), k % 4, F.lit("_r"), k % 4, F.lit("_HCR/s"),
             F.lpad((k % 10).cast("string"), 2, "0"), F.lit("p"), k, F.lit("__"), words[0], F.lit("488_"), words[1],
             F.lit("594__"), F.element_at(F.array(*[F.lit(s) for s in (
-                "HCR.tif", "PP_mask.tif", "Binary.csv", "registered.tif", "masks_reg.nii", "Curated_mask.tif")]),
+                "HCR.tif", "uncurated_masks.csv", "Binary.csv", "NT.tif", "masks_qc_final.nii", "final_qc_masks.csv")]),
                 (k % 6 + 1).cast("int"))).alias("path"))
 
     @cached_property
@@ -230,7 +230,7 @@ SQL = {
         from nation join region on n_regionkey=r_regionkey""",
     "files": """select '2024-12-20_EXP-'||(p_partkey%3)||'/2024-12-2'||(p_partkey%4)||'_r'||(p_partkey%4)||'_HCR/s'
         ||lpad((p_partkey%10)::varchar,2,'0')||'p'||p_partkey||'__'||split(p_name,' ')[1]||'488_'||split(p_name,' ')[2]
-        ||'594__'||(['HCR.tif','PP_mask.tif','Binary.csv','registered.tif','masks_reg.nii','Curated_mask.tif'])[p_partkey%6+1]
+        ||'594__'||(['HCR.tif','uncurated_masks.csv','Binary.csv','NT.tif','masks_qc_final.nii','final_qc_masks.csv'])[p_partkey%6+1]
         as path from part""",
     "work_log": """select 'f'||(o_orderkey//4) as path, (['stitch','unmix','register','quantify'])[o_orderkey%4+1] as operation,
         o_orderkey%11<>0 as enabled, o_orderstatus='F' as done from orders""",

@@ -99,7 +99,7 @@ def _(t):
 
 @query("bootstrap_test", None, d="accuracy sparsity", i="splits")
 def _(t):
-    return cl.bootstrap_test(t.expr, t.meta, folds(t), t.freqs, 5, 500, 42)
+    return cl.bootstrap_test(t.expr, t.meta, folds(t), t.freqs, 5, 5000, 42)
 
 
 SHARES = f"""{CM}, sh as (select "true", pred, coalesce(n/nullif(sum(n) over (partition by "true"),0)::double,0) as share from cm)"""
@@ -133,7 +133,7 @@ def _(t):
 
 @query("merge_closest", None)
 def _(t):
-    return cl.merge_closest(cl.confusion_to_distance(shares(t)), 0.05)
+    return cl.merge_closest(cl.confusion_to_distance(shares(t)))
 
 
 @query("manual_merge", """select distinct 'c'||label as label, case when label in (1,2) then 'early' when label in (5,6,7) then 'late' else 'c'||label end as "group" from embeddings""")
@@ -151,7 +151,7 @@ def _(t):
 
 @query("iterative_recombination", None, d="accuracy bits", i="round n_labels")
 def _(t):
-    return cl.iterative_recombination(fold_data(t), t.freqs, 0.99, max_rounds=4, n_comps=20)[0]
+    return cl.iterative_recombination(fold_data(t), t.freqs, 0.99, n_comps=20)[0]
 
 
 @query("assign_cell_types", None)
@@ -189,11 +189,12 @@ def rounds_sql(n):
     for r in range(n):
         text += f""", v{r} as (select e2.a as node, c, count(*) n from e2 join l{r} on l{r}.node=e2.b group by all),
 l{r + 1} as materialized (select node, c from v{r} qualify row_number() over (partition by node order by n desc, c)=1)"""
-    return f"with {text} select node, c as community from l{n}"
+    # settled, or in a cycle of two: then the smaller of both labels
+    return f"with {text} select x.node, least(x.c, y.c) as community from l{n} x join l{n - 1} y using (node)"
 
 
-@query("graph_communities", rounds_sql(5), i="node community")
+@query("graph_communities", rounds_sql(24), i="node community")
 def _(t):
-    return cl.graph_communities(graph(t), 5)
+    return cl.graph_communities(graph(t))
 
 

@@ -25,14 +25,14 @@ madsugg as (select gene, z, win, (coalesce(min(thr) filter (where round(fano,9)<
 def two_piece(src: str, out: str, keys: str, x: str, y: str) -> str:
     """CTEs ``out``(keys, knot, slope, icept, sse, cross)."""
     sums = {"n": "1.0::double", "sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y"}
-    sse = lambda p: f"({p}syy-{p}sy*{p}sy/{p}n) - ({p}sxy-{p}sx*{p}sy/{p}n)*({p}sxy-{p}sx*{p}sy/{p}n)/({p}sxx-{p}sx*{p}sx/{p}n)"
-    slope = "(rsxy-rsx*rsy/rn)/(rsxx-rsx*rsx/rn)"
     return f"""{out}_b as (select {keys}, {x}::double as x, {y}::double as y from {src}),
 {out}_l as (select *, {', '.join(f'sum({e}) over w as l{k}, sum({e}) over v as t{k}' for k, e in sums.items())} from {out}_b
   window w as (partition by {keys} order by x rows unbounded preceding), v as (partition by {keys})),
 {out}_r as (select *, {', '.join(f't{k}-l{k} as r{k}' for k in sums)} from {out}_l),
-{out}_k as (select {keys}, x as knot, {slope} as slope, (rsy-{slope}*rsx)/rn as icept, round({sse('l')} + {sse('r')}, 6) as sse
-  from {out}_r where ln>=2 and rn>=2),
+{out}_h as (select *, rsx-x*rn as h, rsxx-2*x*rsx+x*x*rn as hh, rsxx-x*rsx as hx, rsxy-x*rsy as hy from {out}_r where ln>=2 and rn>=2),
+{out}_v as (select *, tsxx-tsx*tsx/tn as vxx, tsxy-tsx*tsy/tn as vxy, tsyy-tsy*tsy/tn as vyy, hh-h*h/tn as vhh, hx-tsx*h/tn as vxh, hy-tsy*h/tn as vyh from {out}_h),
+{out}_c as (select *, (vxy*vhh-vyh*vxh)/(vxx*vhh-vxh*vxh) as b1, (vyh*vxx-vxy*vxh)/(vxx*vhh-vxh*vxh) as b2 from {out}_v),
+{out}_k as (select {keys}, x as knot, b1+b2 as slope, (tsy-b1*tsx-b2*h)/tn-b2*x as icept, round(vyy-b1*vxy-b2*vyh, 6) as sse from {out}_c),
 {out}_m as (select * from {out}_k qualify row_number() over (partition by {keys} order by sse, knot)=1),
 {out}_s as (select b.*, knot, slope, icept, sse, sign(round(y-(slope*x+icept),6)) as sg from {out}_b b join {out}_m using ({keys})),
 {out}_t as (select *, lead(sg) over (partition by {keys} order by x) <> sg as turn from {out}_s),

@@ -96,10 +96,10 @@ def _(t):
     select section, sum((power(x+tx-fx,2)+power(y+ty-fy,2))/({NX * NX}+{NY * NY})*2.0) as err from f join g using (section) where x=mx and y=my and z=mz group by 1""",
        d="err", i="section")
 def _(t):
-    n = t.sections.agg(F.count(F.lit(1)).alias("ns"))
+    n = t.sections.agg(F.count(F.lit(1))).scalar()
     k = F.col("c_custkey")
-    f = t.customer.join(F.broadcast(n)).select(  # one-row parameter
-        (F.col("c_nationkey") % F.col("ns")).cast("int").alias("section"), (k % 40).cast("double").alias("mx"),
+    f = t.customer.select(
+        (F.col("c_nationkey") % n).cast("int").alias("section"), (k % 40).cast("double").alias("mx"),
         (k % 37).cast("double").alias("my"), (k % 7).cast("double").alias("mz"), (F.col("c_acctbal") / 1000).alias("fx"),
         (F.col("c_acctbal") / 900).alias("fy"), F.lit(2.0).alias("strength"))
     field = vx.grid(t.sections).select("section", "z", "y", "x", ((F.col("x") % 3 - 1) * 0.5).alias("tx"), ((F.col("y") % 4 - 1) * 0.25).alias("ty"))

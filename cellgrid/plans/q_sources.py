@@ -163,8 +163,11 @@ def _(t):
     return sc.find_file_by_uid(files, uids)
 
 
-@query("classify_files", """with n as (select path, lower(split(path,'/')[3]) f from files) select path, case when regexp_matches(f,'registered|_reg') then 'registration'
-    when regexp_matches(f,'binary|_bin') then 'binary' when contains(f,'mask') then 'mask' else 'data' end as kind, contains(f,'curated') as curated, regexp_matches(f,'\\.tiff?$') as is_tif from n""")
+@query("classify_files", """with n as (select path, lower(split(path,'/')[3]) f from files), k as (select path, case
+    when contains(f,'nt') or contains(f,'neur') or contains(f,'snap25') then 'registration' when contains(f,'bin') then 'binary'
+    when contains(f,'final_qc_masks') or contains(f,'uncurated_masks') then 'mask' when contains(f,'masks_qc_final') or contains(f,'cp_masks') then 'mask_image'
+    when contains(f,'.tif') then 'data' else 'other' end as kind, f from n)
+    select path, kind, case when kind not in ('mask','mask_image') then null else f not like '%uncurated_masks%' and f not like '%cp_masks%' or f like '%final_qc_masks%' end as curated from k""")
 def _(t):
     return sc.classify_files(t.files)
 

@@ -9,11 +9,15 @@ from pyspark.sql.window import Window
 
 from cellgrid.schema import ATLAS_META, MASK_QC, MASK_QC_HEADER, RUN_PARAMS, SchemaMismatch
 
-#: fixed values: token sets that classify microscope files, first match wins (case-insensitive)
+#: fixed values: token sets that classify files of a section, first match wins (case-insensitive)
 FILE_TOKENS = {
-    "registration": ["registered", "_reg"],
-    "binary": ["binary", "_bin"],
-    "mask": ["mask"],
+    ("registration", None): ["nt", "neur", "snap25"],
+    ("binary", None): ["bin"],
+    ("mask", True): ["final_qc_masks"],
+    ("mask", False): ["uncurated_masks"],
+    ("mask_image", True): ["masks_qc_final"],
+    ("mask_image", False): ["cp_masks"],
+    ("data", None): [".tif"],
 }
 #: fixed values: tracer channels that are not genes
 LABEL_CHANNELS = ["dtom", "egfp", "wga", "ctb"]
@@ -171,14 +175,13 @@ def find_file_by_uid(files: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """kind by ordered token sets, curated flag, and whether it is a .tif image."""
+    """kind by ordered token sets ('other' if none is in the name), and for masks whether they are the curated ones."""
     name = F.lower(file_name())
-    kind = None
-    for label, tokens in FILE_TOKENS.items():
-        hit = name.rlike("|".join(tokens))
-        kind = F.when(hit, label) if kind is None else kind.when(hit, label)
-    return files.select("path", kind.otherwise("data").alias("kind"), name.contains("curated").alias("curated"),
-                        name.rlike(r"\.tiff?$").alias("is_tif"))
+    kind, curated = F.lit("other"), F.lit(None).cast("boolean")
+    for (label, flag), tokens in reversed(FILE_TOKENS.items()):
+        hit = F.exists(F.array(*[F.lit(x) for x in tokens]), lambda x: F.contains(name, x))
+        kind, curated = F.when(hit, label).otherwise(kind), F.when(hit, F.lit(flag).cast("boolean")).otherwise(curated)
+    return files.select("path", kind.alias("kind"), curated.alias("curated"))
 
 
 def remove_label_channels(channels: DataFrame, col: str = "gene") -> DataFrame:
