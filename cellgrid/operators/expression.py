@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 from cellgrid.functions.exprs import PIXEL_UM
 from cellgrid.functions.ranking import exact_percentiles
 from cellgrid.schema import SchemaMismatch
+from cellgrid.session import cut_lineage
 
-#: a gene panel's d x d matrix must fit a task
-MAX_PANEL = 4000
+#: genes to a side of a block of products, and doubles a task holds before it hands its sums on
+GENE_BLOCK, HELD_DOUBLES = 1024, 32_000_000
+#: doubles of component loadings that are shipped to every task; larger models are joined
+SHIPPED_DOUBLES = 20_000_000
 
 
 def norm_by_area(cells: DataFrame, genes: list[str], area: str = "area") -> DataFrame:
@@ -37,9 +40,32 @@ def log1p(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", F.log1p("value"))
 
 
-def gene_stats(expr: DataFrame, keys=("gene",), sample: bool = False) -> DataFrame:
-    sd = F.stddev_samp("value") if sample else F.stddev_pop("value")
-    return expr.groupBy(*keys).agg(F.avg("value").alias("mean"), sd.alias("sd"))
+def gene_stats(expr: DataFrame, keys=("gene",), sample: bool = False, cells: Column | None = None) -> DataFrame:
+    """Mean and deviation per gene. ``cells`` is the number of cells where ``expr`` lists non-zeros only:
+    entries that are not there then count as zeros."""
+    if cells is None:
+        sd = F.stddev_samp("value") if sample else F.stddev_pop("value")
+        return expr.groupBy(*keys).agg(F.avg("value").alias("mean"), sd.alias("sd"))
+    sums = expr.groupBy(*keys).agg(F.sum("value").alias("_s"), F.count("value").alias("_c"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("_v"))
+    mean, within = F.col("_s") / cells, F.col("_s") / F.col("_c")
+    # squares about the non-zeros' own mean, moved to the mean over all cells
+    squares = F.col("_c") * F.col("_v") + F.col("_c") * (within - mean) * (within - mean) + (cells - F.col("_c")) * mean * mean
+    return sums.select(*keys, mean.alias("mean"), F.sqrt(squares / ((cells - 1) if sample else cells)).alias("sd"))
+
+
+def csr_vectors(csr_rows: DataFrame, genes: int, key: str = "cell_id") -> DataFrame:
+    """(key, vec): rows of a sparse matrix by gene position, zeros where nothing is stored; log1p is left to the caller."""
+    def scatter(batches):
+        for pdf in batches:
+            out = []
+            for i, v in zip(pdf["indices"], pdf["data"]):
+                row = np.zeros(genes)
+                row[np.asarray(i, dtype=int)] = v
+                out.append(row)
+            yield pd.DataFrame({key: pdf[key], "vec": out})
+
+    return csr_rows.select(key, "indices", "data").mapInPandas(
+        scatter, f"{key} {csr_rows.schema[key].dataType.simpleString()}, vec array<double>")
 
 
 def zscore_genes(expr: DataFrame, stats: DataFrame | None = None, keys=("gene",)) -> DataFrame:
@@ -63,29 +89,40 @@ def gene_order(expr: DataFrame) -> DataFrame:
 def cross_products(vectors: DataFrame, keys=()) -> DataFrame:
     """Rows (keys, i, n, sums, row): sums of x and of x_i * x over all cells.
 
-    Each task adds up its own small d x d matrices; one grouped sum of d rows per task and
-    key follows, so nothing the size of the cell table is shuffled.
+    Each task adds up products of gene blocks and hands its sums on when it holds
+    ``HELD_DOUBLES`` of them, so any panel width runs in bounded memory; a grouped sum follows,
+    and nothing the size of the cell table is shuffled for panels of up to a few thousand genes.
     """
     keys = list(keys)
 
+    def rows_of(acc):
+        for (k, a, b), (n, s, q) in acc.items():
+            for i in range(len(s)):
+                yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "i": [a + i], "j0": [b], "n": [n], "s": [float(s[i])], "row": [q[i].tolist()]})
+
     def partial(batches):
         acc: dict = {}
+        held = 0
         for pdf in batches:
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for k, g in groups:
                 x = np.stack(g["vec"].to_numpy())
-                if x.shape[1] > MAX_PANEL:
-                    raise ValueError(f"panel of {x.shape[1]} genes exceeds {MAX_PANEL}")
                 k = k if isinstance(k, tuple) else (k,)
-                n, s, q = acc.get(k, (0, 0.0, 0.0))
-                acc[k] = (n + len(x), s + x.sum(0), q + x.T @ x)
-        for k, (n, s, q) in acc.items():
-            for i in range(len(s)):
-                yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "i": [i], "n": [n], "s": [float(s[i])], "row": [q[i].tolist()]})
+                for a in range(0, x.shape[1], GENE_BLOCK):
+                    left = x[:, a:a + GENE_BLOCK]
+                    for b in range(0, x.shape[1], GENE_BLOCK):
+                        block = left.T @ x[:, b:b + GENE_BLOCK]
+                        n, s, q = acc.get((k, a, b), (0, 0.0, 0.0))
+                        held += block.size if n == 0 else 0
+                        acc[k, a, b] = (n + len(x), s + left.sum(0), q + block)
+                        if held > HELD_DOUBLES:
+                            yield from rows_of(acc)
+                            acc, held = {}, 0
+        yield from rows_of(acc)
 
     head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.schema if f.name in keys)
-    part = vectors.select(*keys, "vec").mapInPandas(partial, head + "i int, n bigint, s double, row array<double>")
-    flat = part.select(*keys, "i", "n", "s", F.posexplode("row").alias("j", "q"))
+    part = vectors.select(*keys, "vec").mapInPandas(partial, head + "i int, j0 int, n bigint, s double, row array<double>")
+    flat = part.select(*keys, "i", "j0", "n", "s", F.posexplode("row").alias("_j", "q")).withColumn("j", F.col("j0") + F.col("_j"))
     return flat.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
@@ -98,6 +135,15 @@ def corr_matrix(expr: DataFrame) -> DataFrame:
             .select("gene_a", "gene_b", (F.col("q") / F.col("n")).alias("r")))
 
 
+def corr_from_products(products: DataFrame) -> DataFrame:
+    """(i, j, r) of any vectors from their raw products: Pearson r through means and deviations."""
+    own = products.where("i = j").select("i", (F.col("s") / F.col("n")).alias("_m"),
+                                         F.sqrt(F.col("q") / F.col("n") - F.col("s") / F.col("n") * F.col("s") / F.col("n")).alias("_d"))
+    other = own.select(F.col("i").alias("j"), F.col("_m").alias("_mj"), F.col("_d").alias("_dj"))
+    return products.join(own, "i").join(other, "j").select(
+        "i", "j", F.try_divide(F.col("q") / F.col("n") - F.col("_m") * F.col("_mj"), F.col("_d") * F.col("_dj")).alias("r"))
+
+
 def partial_corr_matrix(expr: DataFrame) -> DataFrame:
     """Each pair given all other genes: -P_ij / sqrt(P_ii P_jj) with P the inverse correlation matrix.
 
@@ -105,8 +151,6 @@ def partial_corr_matrix(expr: DataFrame) -> DataFrame:
     """
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf["gene_a"].unique())
-        if len(names) > MAX_PANEL:
-            raise ValueError("panel too wide")
         m = pdf.pivot(index="gene_a", columns="gene_b", values="r").loc[names, names].to_numpy()
         p = np.linalg.pinv(m)
         d = np.sqrt(np.diag(p))
@@ -328,13 +372,30 @@ def pca_fit(vectors: DataFrame, k: int = 50, keys=("split",)) -> DataFrame:
     return prods.groupBy(*keys).applyInPandas(eigen, head + "comp int, variance double, loading array<double>, mean array<double>")
 
 
-def pca_apply(vectors: DataFrame, model: DataFrame, keys=("split",), max_doubles: int = 50_000_000) -> DataFrame:
-    """Replace ``vec`` by its component scores. The model (keys x comps x genes) is size-checked before it is shipped."""
+def _project_by_join(vectors: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores as a grouped product over genes: for models that are too large to ship."""
+    rest = [c for c in vectors.columns if c != "vec"]
+    x = vectors.withColumn("_r", F.monotonically_increasing_id())
+    x = cut_lineage(x)  # row numbers must not change between the two uses
+    long = x.select(*keys, "_r", F.posexplode("vec").alias("_i", "_x"))
+    load = model.select(*keys, "comp", F.posexplode(F.arrays_zip("loading", "mean")).alias("_i", "_l"))
+    scores = long.join(load, [*keys, "_i"]).groupBy("_r", "comp").agg(
+        F.sum((F.col("_x") - F.col("_l.mean")) * F.col("_l.loading")).alias("_s"))
+    packed = scores.groupBy("_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "_s"))), lambda s: s["_s"]).alias("vec"))
+    return x.select(*rest, "_r").join(packed, "_r").select(*vectors.columns)
+
+
+def pca_apply(vectors: DataFrame, model: DataFrame, keys=("split",), max_doubles: int = SHIPPED_DOUBLES) -> DataFrame:
+    """Replace ``vec`` by its component scores.
+
+    The model (keys x comps x genes) is counted before it is shipped; beyond ``max_doubles``
+    the product is a join on genes instead.
+    """
     keys = list(keys)
     size = model.agg(F.sum(F.size("loading"))).scalar()
     n = model.sparkSession.range(1).select(size.alias("n")).first()["n"] or 0
     if n > max_doubles:
-        raise ValueError(f"component model of {n} values is too large to ship to tasks")
+        return _project_by_join(vectors, model, keys)
     parts: dict = {}
     for r in model.orderBy(*keys, "comp").collect():  # bounded by the check above
         parts.setdefault(tuple(r[c] for c in keys), []).append((r["loading"], r["mean"]))

@@ -6,7 +6,7 @@ from cellgrid.operators import expression as ex
 from cellgrid.plans.catalog import query
 from cellgrid.plans.sqlkit import hash32
 
-PANEL = [f"g{k:02d}" for k in range(8)]
+PANEL = [f"g{k:02d}" for k in range(64)]
 LIST8 = ",".join(f"'{g}'" for g in PANEL)
 WIDE = "wide as (select cell_id, " + ", ".join(f"max(value) filter (where gene='{g}') as {g}" for g in PANEL) + \
        ", 50 + cell_id%37 as area from expr group by cell_id)"
@@ -80,6 +80,37 @@ def _(t):
     return ex.corr_matrix(t.expr)
 
 
+NZ = "nz as (select cell_id, gene, ln(1+value) as v from expr where value<>0)"
+
+
+def logged_csr(t):
+    return t.csr_rows.withColumn("data", F.transform("data", lambda x: F.log1p(x)))
+
+
+@query("zscore_genes_sparse", f"""with {NZ}, s as (select gene, avg(ln(1+value)) m, stddev_pop(ln(1+value)) sd from expr group by 1)
+    select cell_id, substr(gene,2)::int as gene_index, (v-m)/sd as value from nz join s using (gene)""", d="value", i="gene_index")
+def _(t):
+    from cellgrid.sources.scans import scan_csr_matrix
+    nz = ex.log1p(scan_csr_matrix(t.csr_rows))
+    stats = ex.gene_stats(nz, ["gene_index"], cells=t.embeddings.agg(F.count(F.lit(1))).scalar())
+    return ex.zscore_genes(nz, stats, ["gene_index"])
+
+
+@query("corr_matrix_sparse", "select substr(a.gene,2)::int as i, substr(b.gene,2)::int as j, corr(ln(1+a.value),ln(1+b.value)) as r from expr a join expr b using (cell_id) group by all",
+       d="r", i="i j")
+def _(t):
+    return ex.corr_from_products(ex.cross_products(ex.csr_vectors(logged_csr(t), 64)))
+
+
+@query("pca_sparse", "select sum(v) as total from (select gene, var_pop(ln(1+value)) v from expr group by 1)", d="total", digits=3)
+def _(t):
+    v = ex.csr_vectors(logged_csr(t), 64)
+    trace = ex.cross_products(v).where("i = j").agg(F.sum(F.col("q") / F.col("n") - F.col("s") / F.col("n") * F.col("s") / F.col("n"))).scalar()
+    kept = ex.pca_fit(v.withColumn("split", F.lit(0)), 64).agg(F.sum("variance").alias("s"), F.min("variance").alias("least"))
+    # all components but the last one are kept: they leave no more than the least of them
+    return kept.select(F.when((F.col("s") <= trace + 1e-6) & (F.col("s") >= trace - F.col("least") - 1e-6), trace).alias("total"))
+
+
 @query("partial_corr_matrix", None, d="r")
 def _(t):
     return ex.partial_corr_matrix(t.expr.where(F.col("gene").isin(PANEL)))
