@@ -15,7 +15,7 @@ largest component are left: they are matched with the whole bucket in blocks of
 size, by their signatures, and pairs that agree in at least ``AGREE`` components are compared:
 each such node's ``BEST`` likeliest partners first, and all of them if it then still stands
 apart. A pair at the threshold fails to share a band with probability 2e-5 and fails to
-agree so often with probability 4e-6; nothing else is left out.
+agree so often with probability 4e-5; nothing else is left out.
 
 Defined results: null and empty texts, and texts of blanks, have no shingle and are alone in
 their class; rows equal in id and text share one class; a null id ranks as 0; empty tables
@@ -37,10 +37,10 @@ from cellgrid.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
-#: bands times rows of the signature
-BANDS, ROWS = 36, 6
-#: components (of all BANDS * ROWS) in which a pair must agree to be compared: 4.5 standard deviations below the threshold
-AGREE = 147
+#: bands times rows of the signature, and its components in all
+BANDS, ROWS, SIZE = 36, 6, 432
+#: components in which a pair must agree to be compared: four standard deviations below the threshold
+AGREE = 312
 #: partners of a node that are compared before all others, and nodes in a block
 BEST, BLOCK = 6, 256
 
@@ -127,13 +127,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_id, _th, _doc, _fa, _fb, _n, _bands, _sig): multiset fingerprint, shingle count, band keys and a byte per component."""
-    size = BANDS * ROWS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", 2 << 20):
             n = part.num_rows
             row, shingle, count = shingles(*text_view(part.column("_text")))
-            sig = signatures(row, shingle, count, n, size).reshape(n, BANDS, ROWS)
+            whole = signatures(row, shingle, count, n, SIZE)
+            sig = whole[:, :BANDS * ROWS].reshape(n, BANDS, ROWS)
             fa, fb = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             with np.errstate(over="ignore"):
                 weight = count.astype(np.uint64)
@@ -144,7 +143,7 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     key = mix(key + sig[:, :, i])
                 key = mix(key + np.arange(BANDS, dtype=np.uint64))
             total = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-            short = (mix(sig) & np.uint64(255)).astype(np.uint8).reshape(n, size)
+            short = (mix(whole) & np.uint64(255)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)),
                                              pa.array(key.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -156,24 +155,28 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         run, "_id bigint, _th bigint, _doc bigint, _fa bigint, _fb bigint, _n bigint, _bands array<bigint>, _sig binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def texts_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes: the one shuffle of whole texts, planned alike at every size."""
+    wanted = nodes.select("node", F.col("node._id").alias("_id"), F.col("node._th").alias("_th"))
+    return cut_lineage(rows.select("_id", "_th", "_text").join(wanted.hint("merge"), ["_id", "_th"])
+                       .groupBy("node").agg(F.first("_text").alias("text")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose exact similarity reaches the threshold, with ``similarity``."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = wanted.select("node", F.col("node._id").alias("_id"), F.col("node._th").alias("_th"))
-    texts = cut_lineage(rows.select("_id", "_th", "_text").join(wanted, ["_id", "_th"])
-                        .groupBy("node").agg(F.first("_text").alias("text")))
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-            row, shingle, count = shingles(*text_view(column))
-            ends = np.searchsorted(row, np.arange(len(column) + 1))
-            out = []
+            coded = column.dictionary_encode()  # a text stands in many pairs
+            row, shingle, count = shingles(*text_view(coded.dictionary))
+            ends = np.searchsorted(row, np.arange(len(coded.dictionary) + 1))
+            each = []
             for s, e in zip(ends, ends[1:], strict=False):
                 order = np.argsort(shingle[s:e])
-                out.append((shingle[s:e][order], count[s:e][order].astype(np.float64)))
-            return out
+                each.append((shingle[s:e][order], count[s:e][order].astype(np.float64)))
+            return [each[i] for i in coded.indices.to_pylist()]
 
         for half in chunks(batches, "_ta", 1 << 20):
             for part in chunks(iter([half]), "_tb", 1 << 20):
@@ -191,14 +194,15 @@ def likely_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, best: int
     """(a, b): pairs of one bucket but different components whose signatures agree often enough.
 
     Of each node outside its bucket's largest component, the ``best`` likeliest partners in
-    a block, or all. Both sides of a bucket are dealt to a grid of blocks.
+    a block, or all. Both sides of a bucket are dealt to a grid of blocks. A pair is given by
+    the first band it shares only.
     """
     tagged = cut_lineage(held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     per_label = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = per_label.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
     grid = largest.select("key", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"),
                           F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("na"))
-    unsettled = cut_lineage(tagged.join(grid, "key").join(nodes.select("node", "_sig"), "node"))
+    unsettled = cut_lineage(tagged.join(grid, "key").join(nodes.select("node", "_sig", "_bands"), "node"))
 
     def dealt(side: int, own: str, other: str) -> DataFrame:
         """Each node in its block of one side, for every block of the other side."""
@@ -206,11 +210,11 @@ def likely_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, best: int
         rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn(
             "_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         ba, bb = ("_own", "_other") if side == 0 else ("_other", "_own")
-        return rows.select("key", F.col(ba).alias("ba"), F.col(bb).alias("bb"), F.lit(side).alias("side"), "node", "label", "_sig")
+        return rows.select("key", F.col(ba).alias("ba"), F.col(bb).alias("bb"), F.lit(side).alias("side"), "node", "label", "_sig", "_bands")
 
     both = dealt(0, "na", "nb").union(dealt(1, "nb", "na"))
     sorted_blocks = both.repartition("key", "ba", "bb").sortWithinPartitions("key", "ba", "bb", "side")
-    numbered = sorted_blocks.select(F.xxhash64("key", "ba", "bb").alias("g"), "side", "node", F.xxhash64("label").alias("l"), "_sig")
+    numbered = sorted_blocks.select(F.xxhash64("key", "ba", "bb").alias("g"), "side", "node", F.xxhash64("label").alias("l"), "key", "_sig", "_bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_rows: list[pa.RecordBatch] = []
@@ -229,7 +233,8 @@ def likely_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, best: int
 
     def matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        group, side, label = (table.column(c).to_numpy() for c in ("g", "side", "l"))
+        group, side, label, key = (table.column(c).to_numpy() for c in ("g", "side", "l", "key"))
+        bands = np.array(table.column("_bands").to_pylist(), np.int64).reshape(len(group), BANDS)
         sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint8).reshape(len(group), -1)
         bounds = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
         left, right = [], []
@@ -240,7 +245,9 @@ def likely_pairs(held: DataFrame, nodes: DataFrame, labels: DataFrame, best: int
             ours, theirs = at[side[s:e] == 0], at[side[s:e] == 1]
             for i in ours:
                 agree = (sig[theirs] == sig[i]).sum(axis=1)
-                agree[label[theirs] == label[i]] = 0
+                shared = bands[theirs] == bands[i]
+                first = bands[i][shared.argmax(axis=1)]
+                agree[(label[theirs] == label[i]) | (first != key[i])] = 0
                 picked = np.flatnonzero(agree >= AGREE)
                 if best is not None and len(picked) > best:
                     picked = picked[np.argsort(-agree[picked], kind="stable")[:best]]
@@ -271,6 +278,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     pairs = held.join(centres, "key").where("node != a").select(
         F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     held = held.select("key", "node")
+    texts = texts_of(company.select("node"), rows)
     links = labels = None
     tested: DataFrame | None = None
     for best in (BEST, None, 0):  # centres, then the likeliest partners, then all others
@@ -278,7 +286,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else cut_lineage(tested.union(pairs))
-        found = verified(pairs, rows)
+        found = verified(pairs, texts)
         links = cut_lineage(found if links is None else links.union(found))
         labels = cut_lineage(components(links))
         if best != 0:
