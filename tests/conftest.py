@@ -7,10 +7,12 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from cellgrid.session import build_session
+def spark(tmp_path_factory):
+    from cellgrid.session import build_session, ship_package
     s = build_session("cellgrid-tests", "local[8]", **{
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
