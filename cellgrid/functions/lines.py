@@ -23,7 +23,8 @@ def pad_reflect(df: DataFrame, axis: str, r: int, extent: str | None = None) ->
     turns = F.sequence(-(F.floor(F.lit(r) / n) + 1), F.floor(F.lit(r) / n) + 1)
     images = F.flatten(F.transform(turns, lambda m: F.array(c + 2 * n * m, 2 * n * m - c - 1)))
     inside = F.filter(images, lambda p: (p >= -r) & (p < n + r))
-    return df.withColumn(axis, F.explode(inside))
+    # only voxels within r of an end have images besides themselves
+    return df.withColumn(axis, F.explode(F.when((c < r) | (c >= n - r), inside).otherwise(F.array(c.cast("bigint")))))
 
 
 def inside(df: DataFrame, axis: str, extent: str | None = None) -> DataFrame:
@@ -73,5 +74,28 @@ def weighted_pass(df: DataFrame, keys, axis: str, weights: list[float], col: str
     return df.withColumn(out or col, total)
 
 
+def line_minima(df: DataFrame, w, col: str, outs: dict[int, str]) -> DataFrame:
+    """Minimum of ``col`` over [-r, r] along the line for every r -> column name of ``outs``.
+
+    Minima over 2^k places behind and ahead are built by doubling, so any radius is the least
+    of four of them; places outside the line are null and do not count.
+    """
+    levels = max(r + 1 for r in outs).bit_length() - 1
+    df = df.withColumn("_b0", F.col(col)).withColumn("_f0", F.col(col))
+    for k in range(1, levels + 1):
+        step = 1 << (k - 1)
+        df = df.withColumns({f"_b{k}": F.least(f"_b{k - 1}", F.lag(f"_b{k - 1}", step).over(w)),
+                             f"_f{k}": F.least(f"_f{k - 1}", F.lead(f"_f{k - 1}", step).over(w))})
+
+    def least(r: int) -> Column:
+        k = (r + 1).bit_length() - 1
+        step = r + 1 - (1 << k)
+        ends = [F.lag(f"_b{k}", step).over(w), F.lead(f"_f{k}", step).over(w)] if step else []
+        return F.least(f"_b{k}", f"_f{k}", *ends)
+
+    return df.withColumns({name: least(r) for r, name in outs.items()}).drop(
+        *[f"_{side}{k}" for side in "bf" for k in range(levels + 1)])
+
+
 def running_extreme(w, col: str, r: int, fn=F.max) -> Column:
     return fn(col).over(w.rowsBetween(-r, r))

@@ -255,9 +255,9 @@ def shrink_factor(radius: int) -> int:
 def disk_minimum(img: DataFrame, radius: int, keys=KEYS) -> DataFrame:
     """Minimum over a disk; voxels outside the image do not count."""
     half = {dy: math.isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)}
-    wx, wy = lines.line_window(keys, "x"), lines.line_window(keys, "y")
+    wy = lines.line_window(keys, "y")
     widths = sorted(set(half.values()))
-    rows = img.select("*", *[F.min("v").over(wx.rowsBetween(-w, w)).alias(f"_m{w}") for w in widths])
+    rows = lines.line_minima(img, lines.line_window(keys, "x"), "v", {w: f"_m{w}" for w in widths})
     parts = [lines.shifted(wy, f"_m{w}", dy) for dy, w in half.items()]
     low = F.least(*parts) if len(parts) > 1 else parts[0]
     return rows.withColumn("v", low).drop(*[f"_m{w}" for w in widths])
@@ -497,8 +497,10 @@ def resize_volume(dense: DataFrame, volumes: DataFrame, size: tuple[int, int, in
 def warp_by_field(field: DataFrame, dense: DataFrame, method: str = "linear", boundary: str = "replicate",
                   axes=("y", "x"), keys=KEYS) -> DataFrame:
     """``field``: keys, z, y, x and displacements t<axis>; output v(p) = source(p + t(p))."""
-    extents = dense.select(*keys, *ZYX, *[lines.EXTENT[a] for a in axes])
-    coords = field.join(extents, [*keys, *ZYX])
+    extents = dense.groupBy(*keys).agg(*[F.max(lines.EXTENT[a]).alias(lines.EXTENT[a]) for a in ZYX])  # one row per image
+    coords = field.join(extents, [k for k in keys if k in field.columns])
+    for a in ZYX:
+        coords = lines.inside(coords, a)
     for a in axes:
         coords = coords.withColumn(f"s{a}", F.col(a) + F.col(f"t{a}"))
     return resample(coords, dense, method, boundary, axes, keys).select(*keys, *ZYX, "v")
