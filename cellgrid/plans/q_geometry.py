@@ -197,8 +197,8 @@ def _(t):
 
 @query("point_registration", None, d="mean_distance", i="section level")
 def _(t):
-    f = t.fiducials.where("fx >= 0 and fy >= 0")
-    return g.point_registration(f.select("section", "mx", "my", "fx", "fy"), {"x": 128, "y": 128}, 3)[3]
+    f = t.fiducials.select("section", *[(F.col(c) + 8).alias(c) for c in ("mx", "my", "fx", "fy")])  # all landmarks lie in the grid
+    return g.point_registration(f, {"x": 128, "y": 128})[3]
 
 
 @query("bspline_invert", None, d="mean_distance", i="section level")

@@ -155,7 +155,7 @@ def _(t):
 
 
 @query("find_file_by_uid", """with f as (select path, split(split(path,'/')[3],'__')[1] as uid from files union all select path||'x', split(split(path,'/')[3],'__')[1] from files where path like '%p7%')
-    select uid, min(path) as path from f group by 1 having count(*)=1""")
+    select u.uid, min(path) as path from f join (select distinct uid from f) u on contains(split(path,'/')[3], u.uid) group by 1 having count(*)=1""")
 def _(t):
     extra = t.files.where("path like '%p7%'").withColumn("path", F.concat("path", F.lit("x")))
     files = t.files.unionByName(extra)

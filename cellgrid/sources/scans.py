@@ -167,10 +167,15 @@ def parse_image_description(images: DataFrame, col: str = "description", chans:
 def find_file_by_uid(files: DataFrame, uids: DataFrame) -> DataFrame:
     """The one file whose name holds the uid; uids with none or several matches give no row.
 
-    The uid is the text before the first '__' of the name, so this is an equi-join.
+    A uid may stand anywhere in the name. Every name offers its pieces of the lengths that
+    uids have, so this stays an equi-join.
     """
-    tagged = files.withColumn("uid", F.substring_index(file_name(), "__", 1))
-    hit = tagged.join(uids, "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path"))
+    lengths = uids.agg(F.collect_set(F.length("uid"))).scalar()
+    sized = files.withColumn("_name", file_name()).withColumn("_n", F.explode(lengths)).where("_n > 0 and _n <= length(_name)")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1),
+                                          lambda i: F.substring(F.col("_name"), i, F.col("_n"))))
+    tagged = sized.select("path", F.explode(pieces).alias("uid"))
+    hit = tagged.join(uids.select("uid").distinct(), "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path"))
     return hit.where("_n = 1").drop("_n")
 
 
