@@ -190,10 +190,18 @@ def mutual_information(pairs: DataFrame, bins: int = 128, keys=KEY) -> DataFrame
 
 
 def _unit_pairs(a, b, mask):
-    both = vx.minmax_normalise_pair(a, b)
-    halves = [both.where(F.col("image") == i) for i in ("moving", "static")]
-    p = paired(*[h.select(*KEY, *ZYX, *EXTENTS, "v") for h in halves], mask)
-    return p.where("w <> 0")
+    """Paired values scaled to 0..1 by the common range of both images, where the mask has weight."""
+    def limits(image, low, high):
+        return image.groupBy(*KEY).agg(F.min("v").alias(low), F.max("v").alias(high))
+
+    lim = limits(a, "_la", "_ha").join(limits(b, "_lb", "_hb"), list(KEY)).select(
+        *KEY, F.least("_la", "_lb").alias("_low"), F.greatest("_ha", "_hb").alias("_high"))
+    p = paired(a.select(*KEY, *ZYX, *EXTENTS, "v"), b, mask).where("w <> 0").join(lim, list(KEY))
+
+    def unit(c):
+        return F.coalesce(F.try_divide(F.col(c) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+
+    return p.withColumns({"v": unit("v"), "u": unit("u")}).drop("_low", "_high")
 
 
 def sim_mi(a, b, mask=None, bins: int = 128):
