@@ -160,7 +160,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, steps: int = 300) -> Scorer:
+def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, steps: int = 100) -> Scorer:
     """Logistic regression to soft targets by adaptive gradient steps, each class weighing the same.
 
     Ends when ten steps lower the loss by less than a thousandth of it, or after ``steps``.
