@@ -4,15 +4,16 @@ P(text) is the product over its tokens of P(class | previous class) * P(token |
 counts cover all training texts:
 
 * every word's count is kept in a table that grows with the corpus;
-* words with at least ``SHARE`` of the tokens (so at most 1 / SHARE of them, whatever the
-  corpus) get classes by exchange: in each round the class contexts of all words are summed
-  from the table of bigram counts, and half of the words move, each to the class that
-  raises the mutual information of adjacent classes most; the best round is kept;
+* words that occur ``LEAST`` times or more, however many these are, get classes by exchange:
+  the neighbours of each are written once, one row per word; in each round half of the words
+  move, each to the class that raises the mutual information of adjacent classes most; rounds
+  end when ``PATIENCE`` in a row have not raised it, and the best round is kept;
 * other words belong to fixed classes by their shape (length, last character), within which
   they are told apart by their counts.
 
-Scoring looks words with at least ``SENT`` of the tokens up in a broadcast list (at most
-1 / SENT words); the rare rest is joined with the count table.
+Words with at least ``SENT`` of the tokens (at most 1 / SENT words), and all clustered ones
+while these are at most ``LISTED``, are looked up in a broadcast list; all others, clustered or not, are joined with the count table, in training
+and in scoring. Besides that list the driver holds one byte per clustered word, its class.
 
 Words are known by 64-bit hashes. Defined results: null text is empty and holds the end
 token alone; with no training text every token has probability 1 in the base score and the
@@ -30,16 +31,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cellgrid.llm.common import HashIndex, SubstringHash, chunks, id_crc_mod, lowered, text_view, word_bounds
+from cellgrid.llm.common import HashIndex, SubstringHash, chunks, id_crc_mod, lowered, mix, text_view, word_bounds
 from cellgrid.session import cut_lineage
 
-#: least share of the training tokens of a word that is clustered: at most 20 000 words
-SHARE = 5e-5
+#: least count of a word that is clustered
+LEAST = 20
 #: least share of a word whose count is broadcast: at most 5 000 000 words
 SENT = 2e-7
-#: classes made by exchange, fixed classes by shape, and rounds of exchange
-CLASSES, SHAPES, ROUNDS = 32, 16, 6
+#: clustered words that are broadcast whole, whatever their share, at most
+LISTED = 2_000_000
+#: classes made by exchange, and fixed classes by shape
+CLASSES, SHAPES = 32, 16
+#: rounds in a row without a rise of the information after which exchange ends
+PATIENCE = 2
+#: neighbours to a row of the exchange table, about; words that may have more are cut into blocks
+BLOCK = 1 << 16
 #: class 0 and type 0 are the end token; shapes follow, then clustered words
 ALL_CLASSES = 1 + SHAPES + CLASSES
 
@@ -86,8 +94,20 @@ def token_types(row: np.ndarray, types: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.insert(types, ends, 0), np.insert(row, ends, np.arange(n))
 
 
-def bigram_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(pair, n): counts of adjacent types, pair = left type * number of types + right type."""
+def numbered(words: DataFrame) -> DataFrame:
+    """``words`` with type: 1 + SHAPES for the most frequent, and so on; ties are ordered by key."""
+    order = [F.col("c").desc(), F.col("key")]
+    dealt = cut_lineage(words.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(starts), "_part").select(
+        *words.columns, (F.col("_start") + F.col("_place") + F.lit(SHAPES)).alias("type"))
+
+
+def bigram_counts(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> DataFrame:
+    """(a, b, n): counts of adjacent types; words that the broadcast list lacks are joined with ``counts``."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,37 +115,67 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         index = HashIndex(here.keys[:here.clustered])
 
         def table(parts):
-            pairs, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            unique, inverse = np.unique(pairs, return_inverse=True)
-            return unique, np.bincount(inverse, counts).astype(np.int64)
+            rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.lexsort(rows[3::-1])
+            rows = [x[order] for x in rows]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0)
+            return *(x[new] for x in rows[:4]), np.bincount(np.cumsum(new) - 1, rows[4]).astype(np.int64)
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "a_open", "b_open", "n"])
 
-        held = []
+        held, size = [], 0
         for part in chunks(batches, "_text"):
             row, keys, shape = word_keys(*text_view(part.column("_text")))
             at = index.find(keys)
-            tokens, _ = token_types(row, np.where(at >= 0, at + 1 + SHAPES, shape + 1), part.num_rows)
-            before = np.concatenate([[0], tokens[:-1]])
-            pairs, counts = np.unique(before * here.types + tokens, return_counts=True)
-            held.append((pairs, counts))
-            if len(held) > 8:
+            # a word outside the list stands with its key, and its shape's type as mark
+            away = (at < 0) & here.partial
+            types = np.where(at >= 0, at + 1 + SHAPES, np.where(away, keys, shape + 1))
+            tokens, _ = token_types(row, types, part.num_rows)
+            marks, _ = token_types(row, np.where(away, shape + 1, 0), part.num_rows)
+            if here.partial:
+                held.append(table([(np.append(0, tokens[:-1]), tokens, np.append(0, marks[:-1]), marks, np.ones(len(tokens)))]))
+            else:
+                pairs, n = np.unique(np.append(0, tokens[:-1]) * here.types + tokens, return_counts=True)
+                none = np.zeros(len(pairs), np.int64)
+                held.append((pairs // here.types, pairs % here.types, none, none, n))
+            size += len(held[-1][0])
+            if size > 1_000_000:
                 held = [table(held)]
+                size = len(held[0][0])
+                if size > 600_000:
+                    yield batch(held[0])
+                    held, size = [], 0
         if held:
-            pairs, counts = table(held)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+            yield batch(table(held))
 
-    return texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, "a bigint, b bigint, a_open bigint, b_open bigint, n bigint")
+    if lexicon.partial:
+        rows = rows.groupBy("a", "b", "a_open", "b_open").agg(F.sum("n").alias("n"))
+        names = counts.where(F.col("type").isNotNull())
+        for side in ("a", "b"):
+            found = names.select(F.col("key").alias(side), F.col("type").alias("_type"))
+            away = rows.where(F.col(f"{side}_open") > 0).join(found, side, "left").withColumn(
+                side, F.coalesce("_type", f"{side}_open")).select(rows.columns)
+            rows = rows.where(F.col(f"{side}_open") == 0).unionByName(away)
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Lexicon:
-    """Words with at least ``SENT`` of the tokens, most frequent first; the first ``clustered`` have classes of their own."""
+    """The words of the broadcast list, most frequent first; the first ``clustered`` have classes by exchange.
+
+    ``partial``: more words have such classes than the list holds; ``types`` counts all of them.
+    """
     keys: np.ndarray
     counts: np.ndarray
     clustered: int
+    types: int
 
     @property
-    def types(self) -> int:
-        return 1 + SHAPES + self.clustered
+    def partial(self) -> bool:
+        return self.types > 1 + SHAPES + self.clustered
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -137,91 +187,172 @@ def information(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
-def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, itself: float) -> int:
-    """The exchange class of a word now in class ``own`` that gives the most information; ties keep the lower class.
+def best_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """The exchange class of each word, now in class ``own``, that gives the most information; ties keep the lower class.
 
-    ``left`` and ``right`` are the word's counts beside each class, ``itself`` beside itself.
+    ``left`` and ``right`` are the words' counts beside each class, ``itself`` beside themselves, one row per word.
     """
-    m = matrix.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m[own, own] += itself
-    left, right = left.copy(), right.copy()
-    left[own] -= itself
-    right[own] -= itself
+    best = np.zeros(len(own), np.int64)
     to = np.arange(1 + SHAPES, ALL_CLASSES)
-    rows, columns = m[to], m[:, to].T
-    gain = (_xlogx(rows + right) - _xlogx(rows)).sum(axis=1) + (_xlogx(columns + left) - _xlogx(columns)).sum(axis=1)
-    corner = m[to, to]
-    gain -= (_xlogx(corner + right[to]) - _xlogx(corner)) + (_xlogx(corner + left[to]) - _xlogx(corner))
-    gain += _xlogx(corner + right[to] + left[to] + itself) - _xlogx(corner)
-    out, into = m.sum(axis=1)[to], m.sum(axis=0)[to]
-    gain -= _xlogx(out + right.sum() + itself) - _xlogx(out) + _xlogx(into + left.sum() + itself) - _xlogx(into)
-    return int(to[gain.argmax()])
+    for at in range(0, len(own), 128):
+        o, l, r, s = own[at:at + 128], left[at:at + 128].astype(float), right[at:at + 128].astype(float), itself[at:at + 128].astype(float)
+        i = np.arange(len(o))
+        m = np.repeat(matrix[None].astype(float), len(o), axis=0)
+        m[i, o] -= r
+        m[i, :, o] -= l
+        m[i, o, o] += s
+        l[i, o] -= s
+        r[i, o] -= s
+        rows, columns = m[:, to], m[:, :, to].transpose(0, 2, 1)
+        gain = (_xlogx(rows + r[:, None]) - _xlogx(rows)).sum(axis=2) + (_xlogx(columns + l[:, None]) - _xlogx(columns)).sum(axis=2)
+        corner, bare = m[:, to, to], _xlogx(m[:, to, to])
+        gain -= _xlogx(corner + r[:, to]) + _xlogx(corner + l[:, to]) - 2 * bare
+        gain += _xlogx(corner + r[:, to] + l[:, to] + s[:, None]) - bare
+        out, into = m.sum(axis=2)[:, to], m.sum(axis=1)[:, to]
+        gain -= _xlogx(out + (r.sum(axis=1) + s)[:, None]) - _xlogx(out) + _xlogx(into + (l.sum(axis=1) + s)[:, None]) - _xlogx(into)
+        best[at:at + 128] = to[gain.argmax(axis=1)]
+    return best
+
+
+def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, itself: float) -> int:
+    """``best_classes`` of one word."""
+    return int(best_classes(matrix, np.array([own]), left[None], right[None], np.array([itself]))[0])
 
 
-def exchange(bigrams: DataFrame, types: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each type, class bigram matrix) of the best round.
+def neighbours(bigrams: DataFrame, often: int, blocks: int) -> DataFrame:
+    """(word, others, n): the neighbours of each clustered word with their counts, one row per word.
 
-    Per round the driver gets the class matrix and one class per clustered word, both bounded
-    by the settings above.
+    A neighbour is twice its type, plus 1 on the right. Words of types below ``often`` have ``blocks`` rows.
+    """
+    first = 1 + SHAPES
+    sides = bigrams.where(F.col("b") >= first).select(F.col("b").alias("word"), (F.col("a") * 2).alias("other"), "n").unionByName(
+        bigrams.where(F.col("a") >= first).select(F.col("a").alias("word"), (F.col("b") * 2 + 1).alias("other"), "n"))
+    block = F.when(F.col("word") < often, F.pmod(F.xxhash64("other"), F.lit(blocks))).otherwise(F.lit(0))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("word", "block", "other", "n")]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            starts = np.flatnonzero(np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))[:len(now[0])])
+            if len(starts) > 1:
+                yield lists(now, starts)
+            rest = [x[starts[-1]:] for x in now] if len(starts) else None
+        if rest is not None:
+            yield lists(rest, np.array([0, len(rest[0])]))
+
+    def lists(now, starts):
+        ends = pa.array(starts.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(now[0][starts[:-1]]), *(
+            pa.ListArray.from_arrays(ends, pa.array(x[:starts[-1]])) for x in now[2:])], ["word", "others", "n"])
+
+    dealt = sides.withColumn("block", block).repartition("word", "block").sortWithinPartitions("word", "block")
+    return cut_lineage(dealt.mapInArrow(pack, "word bigint, others array<bigint>, n array<bigint>"))
+
+
+def _opened(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word of each row, row, neighbour, on the right, its class, count) of a batch of neighbours."""
+    word, others = batch.column("word").to_numpy(), batch.column("others")
+    row = np.repeat(np.arange(len(word)), others.value_lengths().to_numpy(zero_copy_only=False))
+    other, n = others.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+    return word, row, other >> 1, other & 1, now[other >> 1].astype(np.int64), n
+
+
+def _sides(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, counts beside each class on the left, on the right, and beside itself) of each row."""
+    word, row, other, right, classes, n = _opened(batch, now)
+    sides = np.zeros((len(word), 2 * ALL_CLASSES + 1))
+    sides[:, :-1] = np.bincount(row * 2 * ALL_CLASSES + right * ALL_CLASSES + classes, n, len(word) * 2 * ALL_CLASSES).reshape(len(word), -1)
+    twin = (right == 0) & (other == word[row])
+    sides[:, -1] = np.bincount(row[twin], n[twin], len(word))
+    return word, sides
+
+
+def _moved(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    return best_classes(matrix, now[word].astype(np.int64), sides[:, :ALL_CLASSES], sides[:, ALL_CLASSES:-1], sides[:, -1])
+
+
+def exchange(bigrams: DataFrame, types: int, often: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each type, class bigram matrix, information by round) of the best round.
+
+    Words of types below ``often`` may have more than ``BLOCK`` neighbours. Per round the driver
+    gets the class matrix, the class of each word that moves, and the summed counts of the often ones.
     """
-    classes = np.arange(types)
     first = 1 + SHAPES
+    classes = np.arange(types).astype(np.uint8)
     classes[first:] = first + (np.arange(types - first) % CLASSES)
-    best: tuple[float, np.ndarray, np.ndarray] | None = None
-    for turn in range(rounds + 1):
-        now = classes.copy()
-
-        def contexts(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+    fixed = np.zeros((ALL_CLASSES, ALL_CLASSES))
+    for r in bigrams.where((F.col("a") < first) & (F.col("b") < first)).collect():
+        fixed[r.a, r.b] = r.n
+    if types == first:
+        return classes, fixed, [information(fixed)]
+    blocks = -(-types // BLOCK)
+    often = often if blocks > 1 else 0
+    table = neighbours(bigrams, often, blocks)
+    seldom, hot = table.where(F.col("word") >= often), table.where(F.col("word") < often)
+
+    def matrix_of(now: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(ALL_CLASSES**2)
             for batch in batches:
-                pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
-                a, b = pair // types, pair % types
-                # side 0: counts of left neighbours' classes, side 1: of right ones, side 2: beside itself
-                cells = np.concatenate([(b * 3) * ALL_CLASSES + now[a], (a * 3 + 1) * ALL_CLASSES + now[b],
-                                        (a[a == b] * 3 + 2) * ALL_CLASSES])
-                unique, inverse = np.unique(cells, return_inverse=True)
-                total = np.bincount(inverse, np.concatenate([n, n, n[a == b]])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(total)], ["cell", "n"])
-
-        cells = cut_lineage(bigrams.mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-                            .select(F.floor(F.col("cell") / (3 * ALL_CLASSES)).alias("word"), (F.col("cell") % (3 * ALL_CLASSES)).cast("int").alias("at"), "n"))
-
-        def class_sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            matrix = np.zeros(ALL_CLASSES**2, np.int64)
+                word, row, other, right, beside, n = _opened(batch, now)
+                mine = now[word].astype(np.int64)[row]
+                # a pair of two clustered words is taken from the right one
+                use = (right == 0) | (other < first)
+                cell = np.where(right == 0, beside * ALL_CLASSES + mine, mine * ALL_CLASSES + beside)
+                total += np.bincount(cell[use], n[use], ALL_CLASSES**2)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["cell", "n"])
+
+        total = fixed.copy().ravel()
+        got = table.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        total[got.column("cell").to_numpy()] += got.column("n").to_numpy()
+        return total.reshape(fixed.shape)
+
+    def turned(now: np.ndarray, matrix: np.ndarray, turn: int) -> np.ndarray:
+        def half(word: np.ndarray) -> np.ndarray:
+            return (mix(word.astype(np.uint64) + np.uint64((turn // 2 + 1) << 40)) & np.uint64(1)) == turn % 2
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                word, at, n = (batch.column(c).to_numpy() for c in ("word", "at", "n"))
-                mine = (at >= ALL_CLASSES) & (at < 2 * ALL_CLASSES)
-                np.add.at(matrix, now[word[mine]] * ALL_CLASSES + at[mine] - ALL_CLASSES, n[mine])
-            some = np.flatnonzero(matrix)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(matrix[some])], ["cell", "n"])
-
-        matrix = np.zeros(ALL_CLASSES**2)
-        for r in cells.mapInArrow(class_sums, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            matrix[r.cell] = r.n
-        matrix = matrix.reshape(ALL_CLASSES, ALL_CLASSES)
-        value = information(matrix)
-        if best is None or value > best[0]:
-            best = value, now, matrix
-        if turn == rounds or types == first:
-            break
-
-        def decide(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+                batch = batch.filter(pa.array(half(batch.column("word").to_numpy())))
+                if batch.num_rows:
+                    word, sides = _sides(batch, now)
+                    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_moved(matrix, now, word, sides))], ["word", "class"])
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words = batch.column("word").to_pylist()
-                moved = []
-                for word, cell in zip(words, batch.column("c").to_pylist(), strict=True):
-                    side = np.zeros(3 * ALL_CLASSES)
-                    for x in cell:
-                        side[x["at"]] = x["n"]
-                    left, right, itself = side.reshape(3, -1)
-                    moved.append(best_class(matrix, int(now[word]), left, right, itself[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(moved, pa.int32())], ["word", "class"])
-
-        turned = cells.where((F.col("word") >= first) & (F.pmod(F.xxhash64("word", F.lit(turn // 2)), F.lit(2)) == turn % 2))
-        for r in turned.groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("c")).mapInArrow(decide, "word bigint, class int").collect():
-            classes[r.word] = r["class"]
-    return best[1], best[2]
+                batch = batch.filter(pa.array(half(batch.column("word").to_numpy())))
+                if batch.num_rows:
+                    word, sides = _sides(batch, now)
+                    at = np.tile(np.arange(sides.shape[1]), len(word))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, sides.shape[1])), pa.array(at), pa.array(sides.ravel().astype(np.int64))],
+                                                     ["word", "at", "n"])
+
+        out = now.copy()
+        got = seldom.mapInArrow(decide, "word bigint, class bigint").toArrow()
+        out[got.column("word").to_numpy()] = got.column("class").to_numpy()
+        if often:
+            got = hot.mapInArrow(parts, "word bigint, at bigint, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()
+            word, row = np.unique(got.column("word").to_numpy(), return_inverse=True)
+            sides = np.zeros((len(word), 2 * ALL_CLASSES + 1))
+            sides[row, got.column("at").to_numpy()] = got.column("n").to_numpy()
+            out[word] = _moved(matrix, now, word, sides)
+        return out
+
+    seen: list[float] = []
+    best, since = None, 0
+    while True:
+        matrix = matrix_of(classes)
+        seen.append(information(matrix))
+        if best is None or seen[-1] > best[0]:
+            best, since = (seen[-1], classes, matrix), 0
+        else:
+            since += 1
+        if since == PATIENCE:
+            return best[1], best[2], seen
+        classes = turned(classes, matrix, len(seen) - 1)
 
 
 @dataclass
@@ -231,6 +362,7 @@ class Model:
     transitions: np.ndarray
     emissions: np.ndarray
     shape_bottom: np.ndarray
+    own: np.ndarray
     tokens: int
     distinct: int
     texts: int
@@ -239,31 +371,35 @@ class Model:
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the table of word counts, from all rows of the column _text."""
     counts = cut_lineage(word_counts(texts))
+    often_enough = F.col("c") >= LEAST
+    counts = cut_lineage(numbered(counts.where(often_enough)).unionByName(
+        counts.where(~often_enough).withColumn("type", F.lit(None).cast("bigint"))))
     n_texts = texts.count()
-    shapes = {r.shape: (r.n, r.v) for r in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    words, distinct = sum(n for n, _ in shapes.values()), sum(v for _, v in shapes.values())
+    rare = F.col("type").isNull()
+    shapes = {r.shape: r for r in counts.groupBy("shape").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count("type").alias("named"), F.count(F.when(F.col("c") > BLOCK // 2, 1)).alias("often"),
+        F.sum(F.when(rare, F.col("c")).otherwise(0)).alias("rare_n"), F.count(F.when(rare, 1)).alias("rare_v")).collect()}
+    words, distinct, named, often = (sum(r[x] for r in shapes.values()) for x in ("n", "v", "named", "often"))
     tokens = words + n_texts
-    common = counts.where(F.col("c") >= max(1, math.ceil(SENT * tokens))).toArrow()
-    keys, shape, c = (common.column(x).to_numpy() for x in ("key", "shape", "c"))
+    least = max(1, math.ceil(SENT * tokens))
+    common = counts.where(F.col("c") >= (min(least, LEAST) if named <= LISTED else least)).toArrow()
+    keys, c = common.column("key").to_numpy(), common.column("c").to_numpy()
     order = np.lexsort((keys, -c))
-    keys, shape, c = keys[order], shape[order], c[order]
-    lexicon = Lexicon(keys, c, int((c >= max(1, SHARE * tokens)).sum()))
-    classes, matrix = exchange(cut_lineage(bigram_counts(texts, lexicon)), lexicon.types)
+    keys, c = keys[order], c[order]
+    lexicon = Lexicon(keys, c, int((c >= LEAST).sum()), 1 + SHAPES + named)
+    classes, matrix, _ = exchange(cut_lineage(bigram_counts(texts, lexicon, counts)), lexicon.types, 1 + SHAPES + often)
     column = matrix.sum(axis=0)
     base = (column + 1) / (column.sum() + ALL_CLASSES)
     kinds = (matrix > 0).sum(axis=1, keepdims=True)
     row = matrix.sum(axis=1, keepdims=True)
     transitions = np.where(row > 0, (matrix + kinds * base) / np.maximum(row + kinds, 1), base)
-    own = np.bincount(classes[1 + SHAPES:], c[:lexicon.clustered], minlength=ALL_CLASSES)
-    emissions = c[:lexicon.clustered] / own[classes[1 + SHAPES:]] if lexicon.clustered else np.zeros(0)
+    # every token stands once on the right, so the columns hold the tokens of each class
+    own = np.log10(np.maximum(column, 1))
+    emissions = np.log10(c[:lexicon.clustered]) - own[classes[1 + SHAPES:1 + SHAPES + lexicon.clustered]]
     # rare words of a shape: counts plus one half, and one half for all words never seen
-    bottom = np.zeros(SHAPES)
-    for s in range(SHAPES):
-        n, v = shapes.get(s, (0, 0))
-        mine = shape[:lexicon.clustered] == s
-        bottom[s] = n - c[:lexicon.clustered][mine].sum() + 0.5 * (v - mine.sum() + 1)
-    model = Model(lexicon, classes, np.log10(transitions), np.log10(emissions) if len(emissions) else emissions,
-                  np.log10(bottom), int(tokens), int(distinct + (n_texts > 0)), int(n_texts))
+    bottom = np.array([shapes[s].rare_n + 0.5 * (shapes[s].rare_v + 1) if s in shapes else 0.5 for s in range(SHAPES)])
+    model = Model(lexicon, classes, np.log10(transitions), emissions, np.log10(bottom), own,
+                  int(tokens), int(distinct + (n_texts > 0)), int(n_texts))
     return model, counts
 
 
@@ -280,38 +416,73 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, counts: DataFrame,
             n = part.num_rows
             row, keys, shape = word_keys(*text_view(part.column("_text")))
             at = index.find(keys)
-            tokens, where = token_types(row, np.where((at >= 0) & (at < share), at + 1 + SHAPES, shape + 1), n)
+            seen = at >= 0
+            rest = np.bincount(row[~seen], minlength=n)
+            tokens, where = token_types(row, np.where(seen & (at < share), at + 1 + SHAPES, shape + 1), n)
             classes = m.classes[tokens]
-            before = np.concatenate([[0], classes[:-1]])
-            lm = m.transitions[before, classes]
+            size = np.bincount(row, minlength=n) + 1
+            # a row with words that may be clustered outside the list is finished after the join
+            later = (rest > 0) & m.lexicon.partial
+            here = ~later[where]
+            lm = np.where(here, m.transitions[np.append(0, classes[:-1]), classes], 0)
             named = tokens > SHAPES
             lm[named] += m.emissions[tokens[named] - 1 - SHAPES]
-            rare = (tokens > 0) & ~named
+            rare = (tokens > 0) & ~named & here
             lm[rare] -= m.shape_bottom[tokens[rare] - 1]
             total = np.bincount(where, lm, minlength=n)
-            seen = at >= 0
             middle = seen & (at >= share)
             total += np.bincount(row[middle], np.log10(m.lexicon.counts[at[middle]] + 0.5), minlength=n)
             base = np.bincount(row[seen], np.log10(m.lexicon.counts[at[seen]] + 1.0), minlength=n) + np.log10(m.texts + 1.0)
             known = np.bincount(row[seen], minlength=n) + (m.texts > 0)
-            size = np.bincount(row, minlength=n) + 1
             base -= size * math.log10(m.tokens + m.distinct + 1)
-            rest = np.bincount(row[~seen], minlength=n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)), pa.array(keys[~seen]))
-            yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), lists],
-                                             ["_doc", "n_tokens", "n_known", "base_score", "score", "_rare"])
+            ends = pa.array(np.append(0, np.cumsum(rest)).astype(np.int32))
+            place = np.arange(len(row)) - np.append(0, np.cumsum(size - 1))[row]
+            data, stops = classes.astype(np.uint8).tobytes(), np.cumsum(size)
+            kept = pa.array([data[e - z:e] if x else None for e, z, x in zip(stops, size, later, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_doc"), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), kept,
+                 pa.ListArray.from_arrays(ends, pa.array(keys[~seen])), pa.ListArray.from_arrays(ends, pa.array(place[~seen]))],
+                ["_doc", "n_tokens", "n_known", "base_score", "score", "_seq", "_rare", "_at"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            total = batch.column("score").to_numpy().copy()
+            columns = [batch.column(x) for x in ("_seq", "_ats", "_types", "_cs")]
+            for i in np.flatnonzero(columns[0].is_valid().to_numpy(zero_copy_only=False)):
+                seq = np.frombuffer(columns[0][i].as_py(), np.uint8).copy()
+                if columns[1][i].is_valid:
+                    at, types, c = (x[i].values.to_numpy() for x in columns[1:])
+                    seq[at] = m.classes[types]
+                    total[i] += (np.log10(c) - m.own[seq[at]]).sum()
+                total[i] += m.transitions[np.append(0, seq[:-1]), seq].sum()
+                total[i] -= m.shape_bottom[seq[(seq > 0) & (seq <= SHAPES)] - 1].sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("_doc", "n_tokens", "n_known", "base_score")), pa.array(total)],
+                                             ["_doc", "n_tokens", "n_known", "base_score", "score"])
 
     lean = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    out = f"_doc {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
     # written once, so that row numbers are fixed
-    rows = cut_lineage(lean.mapInArrow(run, f"_doc {kind}, n_tokens bigint, n_known bigint, base_score double, score double, _rare array<bigint>")
+    rows = cut_lineage(lean.mapInArrow(run, f"{out}, _seq binary, _rare array<bigint>, _at array<bigint>")
                        .withColumn("_row", F.monotonically_increasing_id()))
-    rare = rows.select("_row", F.explode("_rare").alias("key")).join(counts.select("key", "c"), "key", "left")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    sums = rare.groupBy("_row").agg(F.sum(F.log10(c + 1)).alias("_b"), F.sum(F.log10(c + 0.5)).alias("_s"), F.count("c").alias("_k"))
-    zero = F.lit(0.0)
-    return rows.drop("_rare").join(sums, "_row", "left").select(
-        F.col("_doc").alias(doc_id), "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("_b", zero)).alias("base_score"), (F.col("score") + F.coalesce("_s", zero)).alias("score"))
+    c, zero = F.coalesce("c", F.lit(0)).cast("double"), F.lit(0.0)
+    if model.lexicon.partial:
+        rare = rows.select("_row", F.explode(F.arrays_zip(F.col("_rare").alias("key"), F.col("_at").alias("at"))).alias("_z")).select(
+            "_row", "_z.key", "_z.at").join(counts.select("key", "c", "type"), "key", "left")
+        named = F.col("type").isNotNull()
+        sums = rare.groupBy("_row").agg(
+            F.sum(F.log10(c + 1)).alias("_b"), F.sum(F.when(~named, F.log10(c + 0.5))).alias("_s"), F.count("c").alias("_k"),
+            F.collect_list(F.when(named, F.struct("at", "type", "c"))).alias("_l"))
+    else:
+        rare = rows.select("_row", F.explode("_rare").alias("key")).join(counts.select("key", "c"), "key", "left")
+        sums = rare.groupBy("_row").agg(F.sum(F.log10(c + 1)).alias("_b"), F.sum(F.log10(c + 0.5)).alias("_s"), F.count("c").alias("_k"))
+    summed = rows.drop("_rare", "_at").join(sums, "_row", "left").select(
+        "_doc", "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
+        (F.col("base_score") + F.coalesce("_b", zero)).alias("base_score"), (F.col("score") + F.coalesce("_s", zero)).alias("score"),
+        *(("_seq", F.col("_l.at").alias("_ats"), F.col("_l.type").alias("_types"), F.col("_l.c").alias("_cs")) if model.lexicon.partial else ()))
+    if model.lexicon.partial:
+        summed = summed.mapInArrow(settle, out)
+    return summed.withColumnRenamed("_doc", doc_id)
 
 
 def held_out(doc_id: str = "doc_id"):

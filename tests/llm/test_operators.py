@@ -299,3 +299,32 @@ def test_quality_classifier_on_held_out_ratings(spark):
     assert sum((r.q >= 0.5) == (r.quality == 1) for r in got) / len(got) > 0.95
     assert sum(r.t >= 0.5 and r.toxic == 0 for r in got) <= 0.02 * len(got)
     assert sum(r.t >= 0.5 and r.toxic == 1 for r in got) >= 0.25 * sum(r.toxic == 1 for r in got)
+
+
+def test_class_lm_clusters_every_frequent_word(spark, monkeypatch):
+    """Words with ``LEAST`` occurrences have classes however small their share, whether broadcast, joined or cut into blocks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = docs.where(~class_lm.held_out()).select(F.col("text").alias("_text"))
+    seen = Counter(w for r in texts.collect() for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r._text or "")))
+    frequent = sum(n >= 20 for n in seen.values())
+
+    def scores():
+        model, counts = class_lm.train(texts)
+        assert model.lexicon.types == 1 + class_lm.SHAPES + frequent == len(model.classes)
+        assert counts.where("type is not null").count() == frequent
+        return model, {r.doc_id: r.score for r in class_lm.score(spark, docs, model, counts).collect()}
+
+    _, want = scores()
+    monkeypatch.setattr(class_lm, "LISTED", 0)
+    monkeypatch.setattr(class_lm, "SENT", 2e-3)
+    monkeypatch.setattr(class_lm, "BLOCK", 64)
+    model, got = scores()
+    assert model.lexicon.partial
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_class_lm_exchange_runs_until_nothing_is_gained(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("text").alias("_text"))
+    model, counts = class_lm.train(texts)
+    seen = class_lm.exchange(class_lm.bigram_counts(texts, model.lexicon, counts), model.lexicon.types)[2]
+    assert seen[-1 - class_lm.PATIENCE] == max(seen) and len(seen) > class_lm.PATIENCE
