@@ -7,20 +7,22 @@ posterior probability, which serves as the label. A linear scorer over hashed wo
 measured rates is fitted to the posteriors of documents with a vote, and scores every document, also those on
 which no labeller voted. Two such models run side by side: quality and toxicity.
 
-Votes are counted by pattern (at most 3^labellers rows) over all documents. The scorer is
-fitted on a sample of at most ``SAMPLE`` documents, those with the least hash of their id,
-which is the one bounded sample here; everything else covers all rows.
+Votes are counted by pattern (at most 3^labellers rows) over all documents. Each scorer is
+fitted on a sample of at most ``SAMPLE`` documents with a vote, half of them of each class,
+rated ones first and then those with the least hash of their id, which is the one bounded
+sample here; everything else covers all rows.
 
 Defined results: null text has no words, is of low quality and not toxic; a document with
 several label rows takes the largest of each label; rows that repeat are scored each on its own;
-with no documents, or only one class among the labels, the scorer returns the prior; empty
-tables give empty tables; other columns are ignored.
+with no votes, or only one class among them, the scorer returns the prior, which is even where nobody
+voted, and what is even is kept; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from cellgrid.llm.common import SubstringHash, chunks, lowered, mix, text_view,
 from cellgrid.llm.quality_rules import MEASURES, measure_texts
 from cellgrid.session import cut_lineage
 
-#: documents the scorer is fitted on, at most
+#: documents each scorer is fitted on, at most
 SAMPLE = 20_000
 #: how far a rating is trusted; the other labellers' accuracies are estimated
 TRUST = 0.999
@@ -160,14 +162,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, steps: int = 100) -> Scorer:
+def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, prior: float = 0.5, steps: int = 100) -> Scorer:
     """Logistic regression to soft targets by adaptive gradient steps, each class weighing the same.
 
     Ends when ten steps lower the loss by less than a thousandth of it, or after ``steps``.
     """
-    scorer = Scorer(0.0, np.zeros(rates.shape[1]), np.zeros(BUCKETS))
-    if not len(target):
+    scorer = Scorer(float(np.log(prior / (1 - prior))), np.zeros(rates.shape[1]), np.zeros(BUCKETS))
+    if not (target >= 0.5).any() or not (target < 0.5).any():
         return scorer
+    scorer.bias = 0.0
     mass = np.clip([1 - target.mean(), target.mean()], 1e-6, None)
     weight = (1 - target) / mass[0] + target / mass[1]
     weight /= weight.sum()
@@ -221,18 +224,30 @@ def measured(docs: DataFrame, ratings: DataFrame | None, doc_id: str, text: str)
 
 def train(docs: DataFrame, ratings: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
           sample: int = SAMPLE) -> Classifier:
-    """Labeller chances from all documents, scorers from a bounded sample of them."""
+    """Labeller chances from all documents, scorers from bounded samples of those with a vote."""
     rows = measured(docs, ratings, doc_id, text)
     tagged = cut_lineage(rows.select("_id", votes(rows, QUALITY_VOTES).alias("q"), votes(rows, TOXIC_VOTES).alias("t")))
     counts = {name: {r[0]: r[1] for r in tagged.groupBy(name).count().collect()} for name in ("q", "t")}
     quality, toxic = estimate(counts["q"]), estimate(counts["t"])
-    total = sum(counts["q"].values())
-    # the least hashes, first by a threshold that keeps about the sample, then exactly
-    share = min(1.0, 1.5 * sample / max(total, 1))
     rank = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
-    chosen = tagged.where(F.col("_id").isNotNull() & (rank < F.lit(int(share * (1 << 31))))).withColumn("_rank", rank).dropDuplicates(["_id"]).orderBy("_rank", "_id").limit(sample)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).where(
-        F.col("_id").isNotNull() & (rank < F.lit(int(share * (1 << 31)))))
+    parts = []
+    for name, (_, _, posterior) in (("q", quality), ("t", toxic)):
+        for good in (False, True):
+            room = sample // 2
+            for rated in (True, False):
+                mine = [p for p in posterior if set(p) != {"2"} and (posterior[p] >= 0.5) == good and (p[-1] != "2") == rated]
+                n = sum(counts[name][p] for p in mine)
+                want, room = min(n, room), room - min(n, room)
+                if want:
+                    # the least hashes, first by a threshold that keeps more than wanted, then exactly
+                    share = min(1.0, (1.5 * want + 50) / n)
+                    parts.append(tagged.where(F.col("_id").isNotNull() & F.col(name).isin(mine) & (rank < F.lit(int(share * (1 << 31)))))
+                                 .dropDuplicates(["_id"]).withColumn("_rank", rank).orderBy("_rank", "_id").limit(want)
+                                 .select("_id", *((F.col(x) if x == name else F.lit(None).cast("string")).alias(x) for x in ("q", "t"))))
+    chosen = reduce(DataFrame.unionByName, parts, tagged.where(F.lit(False)))
+    # at most 2 * sample ids
+    chosen = cut_lineage(chosen.groupBy("_id").agg(F.max("q").alias("q"), F.max("t").alias("t")))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text", 2 << 20):
@@ -242,20 +257,20 @@ def train(docs: DataFrame, ratings: DataFrame | None = None, doc_id: str = "doc_
                 part.column("q"), part.column("t"), pa.array(list(rates), pa.list_(pa.float64())),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["q", "t", "rates", "buckets"])
 
-    got = texts.join(chosen, "_id").select("q", "t", "_text").mapInArrow(
+    got = texts.join(F.broadcast(chosen), "_id").select("q", "t", "_text").mapInArrow(
         run, "q string, t string, rates array<double>, buckets array<int>").toArrow()
     lists = got.column("buckets").combine_chunks()
     sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
     row, bucket = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64)
     rates = np.array(got.column("rates").to_pylist(), float).reshape(-1, len(RATES))
     scorers = []
-    for name, (_, _, posterior) in (("q", quality), ("t", toxic)):
+    for name, (_, prior, posterior) in (("q", quality), ("t", toxic)):
         patterns = got.column(name).to_pylist()
-        voted = np.array([set(p) != {"2"} for p in patterns], bool)
+        voted = np.array([p is not None for p in patterns], bool)
         place = np.cumsum(voted) - 1
         mine = voted[row]
-        target = np.array([posterior[p] for p in patterns], float)[voted]
-        scorers.append(fit(rates[voted], place[row[mine]], bucket[mine], target))
+        target = np.array([posterior[p] for p in patterns if p is not None], float)
+        scorers.append(fit(rates[voted], place[row[mine]], bucket[mine], target, prior))
     return Classifier(*scorers, {"quality": dict(zip(QUALITY_VOTES, quality[0].tolist(), strict=False)),
                                  "toxic": dict(zip(TOXIC_VOTES, toxic[0].tolist(), strict=False))})
 
@@ -271,7 +286,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Classifier, doc_id: st
             empty = found["n_words"] == 0
             quality = np.where(empty, 0.0, shared.value.quality(rates, row, bucket))
             toxic = np.where(empty, 0.0, shared.value.toxic(rates, row, bucket))
-            yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(quality), pa.array(toxic), pa.array((quality >= 0.5) & (toxic < 0.5))],
+            yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(quality), pa.array(toxic), pa.array((quality >= 0.5) & (toxic <= 0.5))],
                                              ["_doc", "quality", "toxic", "kept"])
 
     lean = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))

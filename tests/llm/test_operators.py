@@ -328,3 +328,22 @@ def test_class_lm_exchange_runs_until_nothing_is_gained(spark):
     model, counts = class_lm.train(texts)
     seen = class_lm.exchange(class_lm.bigram_counts(texts, model.lexicon, counts), model.lexicon.types)[2]
     assert seen[-1 - class_lm.PATIENCE] == max(seen) and len(seen) > class_lm.PATIENCE
+
+
+def test_quality_classifier_keeps_clean_texts_without_votes(spark):
+    docs = spark.createDataFrame([(i, "Kind words stand here, number " + str(i)) for i in range(40)], "doc_id long, text string")
+    ratings = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_classifier.classify(spark, docs, quality_classifier.train(docs, ratings)).collect()
+    assert all(r.kept for r in got)
+
+
+def test_quality_classifier_fits_on_rated_rows_of_both_classes(spark):
+    """Few rated rows among many documents all enter the bounded sample, though most documents come first by hash."""
+    rows = [(i, f"plain text about w{i % 7}") for i in range(2000)]
+    rows += [(5000 + i, f"grumble w{i % 7}" if i % 2 else f"sunshine w{i % 7}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(5000 + i, 1 - i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(docs, ratings, sample=40)
+    got = {r.doc_id: r for r in quality_classifier.classify(spark, docs, model).collect()}
+    assert all((got[5000 + i].toxic >= 0.5) == (i % 2 == 1) for i in range(40))
+    assert all((got[5000 + i].quality >= 0.5) == (i % 2 == 0) for i in range(40))
