@@ -162,39 +162,65 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, prior: float = 0.5, steps: int = 100) -> Scorer:
-    """Logistic regression to soft targets by adaptive gradient steps, each class weighing the same.
+def fit(rates: np.ndarray, row: np.ndarray, bucket: np.ndarray, target: np.ndarray, prior: float = 0.5) -> Scorer:
+    """Logistic regression to soft targets by limited-memory BFGS, each class weighing the same.
 
-    Ends when ten steps lower the loss by less than a thousandth of it, or after ``steps``.
+    Ends when no slope is above 1e-6, or when no step along the search direction lowers the loss
+    any more. Only buckets that occur have weights. Without both classes the scorer is the prior.
     """
     scorer = Scorer(float(np.log(prior / (1 - prior))), np.zeros(rates.shape[1]), np.zeros(BUCKETS))
     if not (target >= 0.5).any() or not (target < 0.5).any():
         return scorer
-    scorer.bias = 0.0
-    mass = np.clip([1 - target.mean(), target.mean()], 1e-6, None)
+    mass = np.array([1 - target.mean(), target.mean()])
     weight = (1 - target) / mass[0] + target / mass[1]
     weight /= weight.sum()
-    if min(mass) < 1e-5:
-        scorer.bias = float(np.log(mass[1] / mass[0]))
-        return scorer
-    squares = np.zeros(1 + rates.shape[1] + BUCKETS)
-    last = np.inf
-    for turn in range(steps):
-        guess = scorer(rates, row, bucket)
-        if turn % 10 == 0:
-            sure = np.clip(guess, 1e-9, 1 - 1e-9)
-            loss = -float((weight * (target * np.log(sure) + (1 - target) * np.log(1 - sure))).sum())
-            if last - loss < 1e-3 * abs(last):
+    active, bucket = np.unique(bucket, return_inverse=True)
+    k = 1 + rates.shape[1]
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return x[0] + rates @ x[1:k] + np.bincount(row, x[k:][bucket], minlength=len(rates))
+
+    def loss(x: np.ndarray, z: np.ndarray) -> float:
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum()) + 0.5e-5 * float(x[1:] @ x[1:])
+
+    def slope_of(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        slip = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target)
+        slope = np.concatenate([[slip.sum()], rates.T @ slip, np.bincount(bucket, slip[row], minlength=len(active))])
+        slope[1:] += 1e-5 * x[1:]
+        return slope
+
+    x = np.zeros(k + len(active))
+    z = total(x)
+    now, slope = loss(x, z), slope_of(x, z)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    while np.abs(slope).max() > 1e-6:
+        way, shares = -slope, []
+        for s, y, r in reversed(past):
+            shares.append(r * (s @ way))
+            way = way - shares[-1] * y
+        if past:
+            s, y, r = past[-1]
+            way = way / (r * (y @ y))
+        for (s, y, r), share in zip(past, reversed(shares), strict=True):
+            way = way + (share - r * (y @ way)) * s
+        down = float(slope @ way)
+        move, step = total(way), 1.0
+        while step > 1e-12 and loss(x + step * way, z + step * move) > now + 1e-4 * step * down:
+            step /= 2
+        if step <= 1e-12:
+            if not past:
                 break
-            last = loss
-        slip = weight * (guess - target)
-        slope = np.concatenate([[slip.sum()], rates.T @ slip, np.bincount(bucket, slip[row], minlength=BUCKETS)])
-        slope[1:] += 1e-5 * np.concatenate([scorer.rates, scorer.words])
-        squares += slope**2
-        step = 0.3 * slope / np.sqrt(squares + 1e-12)
-        scorer.bias -= step[0]
-        scorer.rates -= step[1:1 + rates.shape[1]]
-        scorer.words -= step[1 + rates.shape[1]:]
+            past = []
+            continue
+        new = x + step * way
+        z = z + step * move
+        now, turned = loss(new, z), slope_of(new, z)
+        s, y = new - x, turned - slope
+        if s @ y > 1e-18:
+            past = [*past[-9:], (s, y, 1 / float(s @ y))]
+        x, slope = new, turned
+    scorer.bias, scorer.rates = float(x[0]), x[1:k]
+    scorer.words[active] = x[k:]
     return scorer
 
 

@@ -259,3 +259,16 @@ def test_hashes_and_chunks():
     assert HashIndex(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
     batch = pa.RecordBatch.from_arrays([pa.array(["aa", None, "b" * 50, "", "c"])], ["t"])
     assert [b.num_rows for b in chunks(iter([batch, batch.slice(0, 0)]), "t", 10)] == [2, 1, 2]
+
+
+def test_fit_ends_where_the_slope_vanishes():
+    rng = np.random.default_rng(3)
+    n = 400
+    rates = rng.random((n, len(quality_classifier.RATES)))
+    row, bucket = np.repeat(np.arange(n), 5), rng.integers(0, 300, 5 * n)
+    target = np.where(rng.random(n) < 0.2 + 0.6 * (bucket[::5] % 2), 0.95, 0.02)
+    scorer = quality_classifier.fit(rates, row, bucket, target)
+    weight = (1 - target) / (1 - target.mean()) + target / target.mean()
+    slip = weight / weight.sum() * (scorer(rates, row, bucket) - target)
+    words = np.bincount(bucket, slip[row], minlength=len(scorer.words)) + 1e-5 * scorer.words
+    assert max(abs(slip.sum()), np.abs(rates.T @ slip + 1e-5 * scorer.rates).max(), np.abs(words).max()) < 1e-5

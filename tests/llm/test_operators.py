@@ -347,3 +347,14 @@ def test_quality_classifier_fits_on_rated_rows_of_both_classes(spark):
     got = {r.doc_id: r for r in quality_classifier.classify(spark, docs, model).collect()}
     assert all((got[5000 + i].toxic >= 0.5) == (i % 2 == 1) for i in range(40))
     assert all((got[5000 + i].quality >= 0.5) == (i % 2 == 0) for i in range(40))
+
+
+def test_quality_classifier_finds_toxic_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, ratings = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality_classifier.train(docs, ratings.where(~apart))
+    scored = quality_classifier.classify(spark, docs, model).withColumnRenamed("quality", "q").withColumnRenamed("toxic", "t")
+    got = scored.join(ratings.where(apart), "doc_id").collect()
+    assert sum(r.t >= 0.5 and r.toxic == 1 for r in got) >= 0.6 * sum(r.toxic == 1 for r in got)
+    assert sum(r.t >= 0.5 and r.toxic == 0 for r in got) <= 0.02 * len(got)
