@@ -3,7 +3,7 @@
 A paragraph is a line. Its wide vector is the sum of the vectors of its pieces of up to
 eight words (so that an edit inside a long paragraph moves only its piece): 128 lanes, each
 0 or 1 by the bits of two 64-bit hashes. A document's fingerprint is the lane-wise sum over
-its paragraphs modulo 2^16, with the number of pieces modulo 2^32 in front. Sums commute,
+its paragraphs modulo 2^32, with the number of pieces modulo 2^32 in front. Sums commute,
 so equality ignores paragraph order, and a paragraph is inserted or deleted by adding or
 subtracting its vector (``insert`` and ``remove``). Read as signs, the lanes are an
 unbiased sketch of the overlap of two multisets, which gives ``likeness``.
@@ -30,6 +30,7 @@ PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,7}"
 #: two lanes to a bigint, 32 bits apart, so a sum of up to 2^32 pieces cannot run over
 _PAIR = 0x0000000100000001
 _HALVES = 32
+_LANE = 0xFFFFFFFF
 LANES = 4 * _HALVES
 
 
@@ -38,7 +39,7 @@ def pieces(text: Column) -> Column:
 
 
 def _sums(rows: DataFrame, keys: list[str], text: str, along: tuple[str, ...] = ()) -> DataFrame:
-    """Piece count ``_n`` and lane values ``_lanes`` (low halves before high halves, modulo 2^16) per key.
+    """Piece count ``_n`` and lane sums ``_lanes`` (two to a bigint, as summed; ``_apart`` takes them apart) per key.
 
     ``along`` names columns that depend on the key and are handed on.
     """
@@ -49,26 +50,31 @@ def _sums(rows: DataFrame, keys: list[str], text: str, along: tuple[str, ...] =
     sums = each.groupBy(*keys).agg(F.sum("_is").alias("_n"), *[F.first(c).alias(c) for c in along], *[
         F.sum(F.shiftright(F.col(h), i).bitwiseAND(F.lit(_PAIR))).alias(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)])
     cells = [F.col(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)]
-    return sums.select(*keys, *along, "_n", F.array(*[c.bitwiseAND(F.lit(0xFFFF)).cast("int") for c in cells], *[
-        F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(0xFFFF)).cast("int") for c in cells]).alias("_lanes"))
+    return sums.select(*keys, *along, "_n", F.array(*cells).alias("_lanes"))
+
+
+def _apart(cells: Column) -> Column:
+    """Lane values modulo 2^32, low halves before high halves."""
+    return F.concat(F.transform(cells, lambda c: c.bitwiseAND(F.lit(_LANE))),
+                    F.transform(cells, lambda c: F.shiftrightunsigned(c, 32)))
 
 
 def _text_form(n: Column, lanes: Column) -> Column:
-    """8 hex digits of the count, then 4 for each lane."""
-    return F.lower(F.concat(F.lpad(F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"),
-                            F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 4, "0")), "")))
+    """8 hex digits of the count, then 8 for each lane."""
+    return F.lower(F.concat(F.lpad(F.hex(n.bitwiseAND(F.lit(_LANE))), 8, "0"),
+                            F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint``: one row per distinct (id, text)."""
     rows = keyed(docs, doc_id, text).dropDuplicates(["_id", "_th"])
     sums = _sums(rows, ["_id", "_th", "_doc"], "_text")
-    return sums.select(F.col("_doc").alias(doc_id), _text_form(F.col("_n"), F.col("_lanes")).alias("fingerprint"))
+    return sums.select(F.col("_doc").alias(doc_id), _text_form(F.col("_n"), _apart(F.col("_lanes"))).alias("fingerprint"))
 
 
 def _numbers(fp: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)),
-                       lambda i: F.conv(F.substring(fp, i * 4 + 9, F.lit(4)), 16, 10).cast("long"))
+                       lambda i: F.conv(F.substring(fp, i * 8 + 9, F.lit(8)), 16, 10).cast("long"))
 
 
 def _count(fp: Column) -> Column:
@@ -77,13 +83,13 @@ def _count(fp: Column) -> Column:
 
 def insert(fp: Column, part: Column) -> Column:
     """Fingerprint of the document with the paragraphs of ``part`` added."""
-    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a + b).bitwiseAND(F.lit(0xFFFF)))
+    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a + b).bitwiseAND(F.lit(_LANE)))
     return _text_form(_count(fp) + _count(part), lanes)
 
 
 def remove(fp: Column, part: Column) -> Column:
     """Fingerprint of the document with the paragraphs of ``part`` taken out."""
-    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a - b).bitwiseAND(F.lit(0xFFFF)))
+    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a - b).bitwiseAND(F.lit(_LANE)))
     return _text_form(_count(fp) - _count(part), lanes)
 
 
@@ -95,8 +101,8 @@ def likeness_of(lanes_a: Column, n_a: Column, lanes_b: Column, n_b: Column) -> C
     """Estimated share of common pieces, 0 to 1; 1 exactly when count and lanes agree.
 
     The mean product of two signed lanes estimates the inner product of the piece counts;
-    dividing by the larger squared norm bounds it. Lane counts under 2^15 pieces read as
-    signed sums; beyond that the modulus hides the sum and only equality is certain.
+    dividing by the larger squared norm bounds it. Lanes are true sums up to 2^32 pieces,
+    more than a text can hold.
     """
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -166,11 +172,11 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     out = marks.join(after, ["_next_id", "_next_th"])
 
     def like(a: str, b: str) -> Column:
-        return likeness_of(F.col(f"{a}._lanes"), F.col(f"{a}._n"), F.col(f"{b}._lanes"), F.col(f"{b}._n"))
+        return likeness_of(_apart(F.col(f"{a}._lanes")), F.col(f"{a}._n"), _apart(F.col(f"{b}._lanes")), F.col(f"{b}._n"))
 
     shown = out.select(
         F.col("_doc").alias(doc_id), F.col("_chars").cast("long").alias("n_chars"), F.col("_sha").alias("edited_sha256"),
-        _text_form(F.col("_own._n"), F.col("_own._lanes")).alias("fingerprint"),
-        _text_form(F.col("_edit._n"), F.col("_edit._lanes")).alias("edited_fingerprint"),
+        _text_form(F.col("_own._n"), _apart(F.col("_own._lanes"))).alias("fingerprint"),
+        _text_form(F.col("_edit._n"), _apart(F.col("_edit._lanes"))).alias("edited_fingerprint"),
         like("_own", "_edit").alias("near_edited"), like("_own", "_after").alias("near_next"), "_copies")
     return shown.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")

@@ -358,3 +358,17 @@ def test_quality_classifier_finds_toxic_texts(spark):
     got = scored.join(ratings.where(apart), "doc_id").collect()
     assert sum(r.t >= 0.5 and r.toxic == 1 for r in got) >= 0.6 * sum(r.toxic == 1 for r in got)
     assert sum(r.t >= 0.5 and r.toxic == 0 for r in got) <= 0.02 * len(got)
+
+
+def test_likeness_of_texts_with_very_many_pieces(spark):
+    """More than 2^16 equal pieces, and more than 2^17 different ones: lanes are still sums."""
+    rows = [(6, "same\n" * 70_000), (5, "same\n" * 35_000 + "other\n" * 35_000),
+            (4, "\n".join(f"a{i}" for i in range(140_000))), (3, "\n".join(f"b{i}" for i in range(140_000))),
+            (2, "\n".join(f"b{i}" for i in range(126_000))), (1, "same\n" * 70_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    near = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert 0.3 < near[6] < 0.95 and near[4] < 0.5 and near[3] > 0.75 and near[2] < 0.6
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    one = spark.createDataFrame([(prints[6], prints[1], prints[3], prints[4])], "a string, b string, c string, d string")
+    r = one.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("alike"), fingerprints.likeness(F.col("c"), F.col("d")).alias("apart")).first()
+    assert 0.99 < r.alike < 1 and r.apart < 0.5
