@@ -13,9 +13,11 @@ from cellgrid.llm import (
     q_quality,
     q_quality_classifier,
     q_suffix_dedup,
+    q_vector_codes,
 )
 
-MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_suffix_dedup, q_class_lm, q_quality_classifier, q_packing, q_fingerprints, q_near_dedup)
+MODULES = (q_line_dedup, q_bpe, q_language_id, q_quality, q_suffix_dedup, q_class_lm, q_quality_classifier, q_packing, q_fingerprints, q_near_dedup,
+           q_vector_codes)
 
 QUERIES = {m.NAME: m.run for m in MODULES}
 ORACLES = {m.NAME: m.SQL for m in MODULES if m.SQL}
