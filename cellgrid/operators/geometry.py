@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrid.functions.exprs import EPS, cubic_bspline, cubic_bspline_slope
+from cellgrid.operators import tiles
 from cellgrid.operators import voxels as vx
 from cellgrid.operators.voxels import ZYX
 from cellgrid.session import cut_lineage
@@ -106,7 +107,7 @@ def affine_warp_voxels(dense: DataFrame, affine: DataFrame, mode: int = 0, axes=
     placed = placed.withColumns({f"s{o}": e for o, e in _centred(axes).items()}).drop(
         *[c for c in affine.columns if c not in on])
     method, edge = WARP_MODES[mode]
-    return vx.resample(placed, dense, method, edge, tuple(reversed(axes)), keys).select(*keys, *ZYX, "v")
+    return tiles.resample(placed, dense, method, edge, tuple(reversed(axes)), keys).select(*keys, *ZYX, "v")
 
 
 def affine_point_error(fiducials: DataFrame, affine: DataFrame, sizes: DataFrame, axes=AX3, keys=KEY) -> DataFrame:
@@ -302,9 +303,12 @@ def bspline_warp_voxels(dense: DataFrame, grid: DataFrame, spacing: dict[str, fl
     gkeys = [k for k in keys if k in grid.columns]
     at = dense.drop("v").withColumns({f"p{a}": F.col(a).cast("double") for a in axes})
     at = bspline_eval_points(grid, at, spacing, keys=gkeys)
-    at = at.withColumns({f"s{a}": F.col(f"T{a}") for a in axes}).withColumns({f"t{a}": F.col(f"T{a}") - F.col(a) for a in axes})
+    # written, as the spline is costly and the coordinates are read for the tiles they ask for and for the values
+    at = cut_lineage(at.select(*keys, *ZYX, *[f"n_{a}" for a in axes], *[f"T{a}" for a in axes]))
+    at = at.select(*keys, *ZYX, *[f"n_{a}" for a in axes], *[F.col(f"T{a}").alias(f"s{a}") for a in axes],
+                   *[(F.col(f"T{a}") - F.col(a)).alias(f"t{a}") for a in axes])
     method, edge = WARP_MODES[mode]
-    out = vx.resample(at, dense, method, edge, tuple(reversed(axes)), keys)
+    out = tiles.resample(at, dense, method, edge, tuple(reversed(axes)), keys)
     return out.select(*keys, *ZYX, "v", *[f"t{a}" for a in axes])
 
 

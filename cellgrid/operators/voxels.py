@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from cellgrid.functions import lines
 from cellgrid.functions.exprs import clip, finite_or_zero, gaussian_weights, non_negative
 from cellgrid.functions.ranking import exact_percentiles
+from cellgrid.operators import tiles
 from cellgrid.session import cut_lineage
 
 KEYS = ["section", "channel"]
@@ -225,16 +227,22 @@ def delta_f_over_f(with_bg: DataFrame, masks: DataFrame) -> DataFrame:
 
 # ---- contrast, rolling ball, smoothing ----------------------------------------------------
 
+def box_statistics(dense: DataFrame, rx: int, ry: int, keys=KEYS) -> DataFrame:
+    """Adds _mean and _sd of the (2 ry + 1) x (2 rx + 1) box around each voxel of a plane, mirror edge."""
+    def moments(stack):
+        mean, sd = tiles.box_moments(stack, ry, rx)
+        return {"_mean": mean, "_sd": sd}
+
+    return tiles.filter_tiles(dense, list(keys), (ry, rx), moments, ["_mean", "_sd"])
+
+
 def local_contrast(dense: DataFrame, rx: int, ry: int, factor: float = 3.0, center: bool = True,
                    stretch: bool = True, keys=KEYS) -> DataFrame:
     """Box mean/std contrast normalisation per plane; division by a zero std gives NULL."""
-    base = dense.withColumn("_s", F.col("v").cast("double")).withColumn("_q", F.col("v") * F.col("v"))
-    sums = lines.box_sums(lines.box_sums(base, keys, "x", rx, ["_s", "_q"]), keys, "y", ry, ["_s", "_q"])
-    n = float((2 * rx + 1) * (2 * ry + 1))
-    mean = F.col("_s") / n
-    d = factor * F.sqrt(non_negative(F.col("_q") / n - mean * mean))
+    boxes = box_statistics(dense, rx, ry, keys)
     whole = dense.groupBy(*keys).agg(F.min("v").alias("_min"), F.max("v").alias("_max"), F.avg("v").alias("_avg"))
-    v, ptp = F.col("v"), F.col("_max") - F.col("_min")
+    v, mean, ptp = F.col("v"), F.col("_mean"), F.col("_max") - F.col("_min")
+    d = factor * F.col("_sd")
     if center and stretch:
         out = F.try_divide(v - (mean - d), 2 * d) * ptp + F.col("_min")
     elif center:
@@ -243,8 +251,7 @@ def local_contrast(dense: DataFrame, rx: int, ry: int, factor: float = 3.0, cent
         out = F.try_divide(v - mean, 2 * d) * ptp + mean
     else:
         out = v
-    return (sums.join(whole, list(keys)).withColumn("v", out)
-            .drop("_s", "_q", "_min", "_max", "_avg"))
+    return boxes.join(whole, list(keys)).withColumn("v", out).drop("_mean", "_sd", "_min", "_max", "_avg")
 
 
 def shrink_factor(radius: int) -> int:
@@ -254,13 +261,7 @@ def shrink_factor(radius: int) -> int:
 
 def disk_minimum(img: DataFrame, radius: int, keys=KEYS) -> DataFrame:
     """Minimum over a disk; voxels outside the image do not count."""
-    half = {dy: math.isqrt(radius * radius - dy * dy) for dy in range(-radius, radius + 1)}
-    wy = lines.line_window(keys, "y")
-    widths = sorted(set(half.values()))
-    rows = lines.line_minima(img, lines.line_window(keys, "x"), "v", {w: f"_m{w}" for w in widths})
-    parts = [lines.shifted(wy, f"_m{w}", dy) for dy, w in half.items()]
-    low = F.least(*parts) if len(parts) > 1 else parts[0]
-    return rows.withColumn("v", low).drop(*[f"_m{w}" for w in widths])
+    return tiles.filter_tiles(img, list(keys), (radius, radius), lambda stack: {"v": tiles.disk_min(stack, radius)}, ["v"], mode="constant")
 
 
 def rolling_ball_background(dense: DataFrame, radius: int, scale_radius: bool = False, keys=KEYS) -> DataFrame:
@@ -272,27 +273,11 @@ def rolling_ball_background(dense: DataFrame, radius: int, scale_radius: bool =
     s = shrink_factor(radius)
     r = max(1, radius // s) if scale_radius else radius
     if s == 1:
-        low = disk_minimum(dense.select(*keys, *ZYX, "v"), r, keys).withColumnRenamed("v", "ball")
-        return dense.join(low, [*keys, *ZYX])
-    small = dense.groupBy(*keys, "z", F.floor(F.col("y") / s).cast("int").alias("y"),
-                          F.floor(F.col("x") / s).cast("int").alias("x")).agg(F.min("v").alias("v"))
-    low = disk_minimum(small, r, keys)
-    wx, wy = lines.line_window(keys, "x"), lines.line_window(keys, "y")
-    quads = low.withColumn("vx", F.coalesce(F.lead("v").over(wx), F.col("v")))
-    quads = quads.select(*keys, "z", F.col("y").alias("by"), F.col("x").alias("bx"), F.col("v").alias("m"),
-                         F.col("vx").alias("mx"), F.coalesce(F.lead("v").over(wy), F.col("v")).alias("my"),
-                         F.coalesce(F.lead("vx").over(wy), F.col("vx")).alias("mxy"))
-
-    def base(c: str, n: str) -> Column:
-        last = F.greatest(F.ceil(F.col(n) / s) - 2, F.lit(0))
-        return F.least(F.greatest(F.floor((F.col(c) - s // 2) / s), F.lit(0)), last).cast("int")
-
-    placed = dense.withColumn("by", base("y", "n_y")).withColumn("bx", base("x", "n_x"))
-    ty = (F.col("y") + 0.5) / s - (F.col("by") + 0.5)
-    tx = (F.col("x") + 0.5) / s - (F.col("bx") + 0.5)
-    ball = (1 - ty) * ((1 - tx) * F.col("m") + tx * F.col("mx")) + ty * ((1 - tx) * F.col("my") + tx * F.col("mxy"))
-    return (placed.join(quads, [*keys, "z", "by", "bx"]).withColumn("ball", ball)
-            .drop("by", "bx", "m", "mx", "my", "mxy"))
+        ball = lambda stack: {"ball": tiles.disk_min(stack, r)}
+        return tiles.filter_tiles(dense, list(keys), (r, r), ball, ["ball"], mode="constant")
+    reach = s * (r + 2)  # the disk around the two blocks that a voxel is interpolated from
+    return tiles.filter_tiles(dense, list(keys), (reach, reach), None, ["ball"], step=s,
+                              whole=lambda *tile: {"ball": tiles.ball_background(*tile, s, r)})
 
 
 def rolling_ball_subtract(dense: DataFrame, radius: int, scale_radius: bool = False, keys=KEYS) -> DataFrame:
@@ -302,17 +287,25 @@ def rolling_ball_subtract(dense: DataFrame, radius: int, scale_radius: bool = Fa
 
 def preprocess_registration(dense: DataFrame, wide: int = 400, ball: int = 50, narrow: int = 50, factor: float = 3.0,
                             keys=KEYS) -> DataFrame:
-    # each stage reads its input more than once, so the stages are written, not recomputed
-    out = cut_lineage(local_contrast(dense, wide, wide, factor, True, False, keys))
-    out = cut_lineage(rolling_ball_subtract(out, ball, keys=keys))
-    out = local_contrast(out, narrow, narrow, factor, False, True, keys)
-    return nan_to_zero(out, ["v"])
+    # the constant that centring adds back leaves a rolling ball's difference unchanged, so no statistic is needed before it
+    centred = box_statistics(dense, wide, wide, keys).withColumn("v", F.col("v") - F.col("_mean")).drop("_mean", "_sd")
+    out = cut_lineage(rolling_ball_subtract(centred, ball, keys=keys))  # written, as its range is wanted before its voxels
+    return nan_to_zero(local_contrast(out, narrow, narrow, factor, False, True, keys), ["v"])
 
 
 def gaussian_smooth(dense: DataFrame, sigma: float, axes=("x", "y"), keys=KEYS) -> DataFrame:
-    for axis in axes:
-        dense = lines.weighted_pass(dense, keys, axis, gaussian_weights(sigma), "v")
-    return dense
+    weights = gaussian_weights(sigma)
+    r = len(weights) // 2
+    if "z" in axes:
+        dense = lines.weighted_pass(dense, keys, "z", weights, "v")
+    reach = {a: r if a in axes else 0 for a in "yx"}
+
+    def smooth(stack):
+        for axis, a in ((1, "y"), (2, "x")):
+            stack = tiles.correlate(stack, weights, axis) if reach[a] else stack
+        return {"v": stack}
+
+    return tiles.filter_tiles(dense, list(keys), (reach["y"], reach["x"]), smooth, ["v"], mode="edge")
 
 
 def log_kernels(sigma: float) -> tuple[list[float], list[float]]:
@@ -327,13 +320,12 @@ def log_filter(dense: DataFrame, sigma: float, keys=KEYS) -> DataFrame:
     """Negated Laplacian-of-Gaussian per plane, negatives to 0, mirror edge."""
     g, g2 = log_kernels(sigma)
     r = len(g) // 2
-    out = lines.pad_reflect(dense, "x", r)
-    out = lines.weighted_pass(out, keys, "x", g, "v", "_g", "zero")
-    out = lines.inside(lines.weighted_pass(out, keys, "x", g2, "v", "_g2", "zero"), "x")
-    out = lines.pad_reflect(out, "y", r)
-    out = lines.weighted_pass(out, keys, "y", g, "_g2", "_a", "zero")
-    out = lines.inside(lines.weighted_pass(out, keys, "y", g2, "_g", "_b", "zero"), "y")
-    return out.withColumn("v", non_negative(-(F.col("_a") + F.col("_b")))).drop("_g", "_g2", "_a", "_b")
+
+    def sharpen(stack):
+        bends = tiles.correlate(tiles.correlate(stack, g2, 2), g, 1) + tiles.correlate(tiles.correlate(stack, g, 2), g2, 1)
+        return {"v": np.maximum(-bends, 0.0)}
+
+    return tiles.filter_tiles(dense, list(keys), (r, r), sharpen, ["v"])
 
 
 def local_maxima(dense: DataFrame, dist: int = 1, keys=KEYS) -> DataFrame:
@@ -415,72 +407,6 @@ def pixel_lookup(voxels: DataFrame, y: int, x: int) -> DataFrame:
 
 # ---- resampling ---------------------------------------------------------------------------
 
-TAPS = {"nearest": [0], "linear": [0, 1], "cubic": [-1, 0, 1, 2]}
-
-
-def _weights(method: str, t: Column) -> list[Column]:
-    if method == "nearest":
-        return [F.lit(1.0)]
-    if method == "linear":
-        return [1 - t, t]
-    return [-0.5 * t * t * t + t * t - 0.5 * t, 1.5 * t * t * t - 2.5 * t * t + 1.0,
-            -1.5 * t * t * t + 2.0 * t * t + 0.5 * t, 0.5 * t * t * t - 0.5 * t * t]
-
-
-def neighbour_arrays(dense: DataFrame, method: str, boundary: str, axes, keys=KEYS) -> DataFrame:
-    """One row per (padded) base voxel with its 2^d or 4^d neighbour values as one array.
-
-    Built by line windows, so a later resample needs one equi-join and no regrouping.
-    """
-    taps, pad = TAPS[method], 5
-    others = [a for a in ZYX if a not in axes]
-    out = dense.select(*keys, *ZYX, *[lines.EXTENT[a] for a in axes], F.array(F.col("v").cast("double")).alias("nb"))
-    for axis in reversed(list(axes)):
-        n, c = F.col(lines.EXTENT[axis]), F.col(axis)
-        before = F.when(c == 0, F.sequence(F.lit(-pad), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        after = F.when(c == n - 1, F.sequence(n, n + pad - 1)).otherwise(F.array().cast("array<int>"))
-        out = out.withColumn("_p", F.explode(F.concat(F.array(c.cast("int")), before, after)))
-        if boundary == "zero":
-            out = out.withColumn("nb", F.when(F.col("_p") == c, F.col("nb")).otherwise(
-                F.transform("nb", lambda e: F.lit(0.0))))
-        out = out.withColumn(axis, F.col("_p")).drop("_p")
-        w = lines.line_window(keys, axis)
-        stacked = F.concat(*[F.coalesce(lines.shifted(w, "nb", -k), F.col("nb")) for k in taps])
-        out = out.withColumn("nb", stacked)
-    return out.select(*keys, *others, *axes, "nb")
-
-
-def resample(coords: DataFrame, dense: DataFrame, method: str = "linear", boundary: str = "replicate",
-             axes=("y", "x"), keys=KEYS) -> DataFrame:
-    """Value of ``dense`` at real-valued source coordinates ``s<axis>`` of each output voxel.
-
-    ``coords``: keys, z, y, x (output), s<axis> for the given axes and source extents.
-    """
-    pad = 5
-    nb = neighbour_arrays(dense, method, boundary, axes, keys)
-    placed, ws = coords, []
-    for a in axes:
-        s = F.floor(F.col(f"s{a}") + 0.5) if method == "nearest" else F.floor(F.col(f"s{a}"))
-        placed = placed.withColumn(f"_b{a}", clip(s, -(pad - 2), F.col(lines.EXTENT[a]) + pad - 3).cast("int"))
-        placed = placed.withColumn(f"_t{a}", F.col(f"s{a}") - F.floor(F.col(f"s{a}")))
-        ws.append(_weights(method, F.col(f"_t{a}")))
-    others = [a for a in ZYX if a not in axes]
-    nb = nb.select(*keys, *others, *[F.col(a).alias(f"_b{a}") for a in axes], "nb")
-    terms, combos = [], [[]]
-    for w in ws:
-        combos = [c + [x] for c in combos for x in w]
-    for i, combo in enumerate(combos):
-        term = F.col("nb")[i]
-        for x in combo:
-            term = term * x
-        terms.append(term)
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    joined = placed.join(nb, [*keys, *others, *[f"_b{a}" for a in axes]])
-    return joined.withColumn("v", total).drop("nb", *[f"_b{a}" for a in axes], *[f"_t{a}" for a in axes])
-
-
 def resize_volume(dense: DataFrame, volumes: DataFrame, size: tuple[int, int, int], method: str = "nearest",
                   keys=KEYS) -> DataFrame:
     """New extents ``size`` = (n_z, n_y, n_x); output i reads input (i+1)/scale - 1, edge replicated."""
@@ -490,7 +416,7 @@ def resize_volume(dense: DataFrame, volumes: DataFrame, size: tuple[int, int, in
         out = out.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     for a, m in zip(ZYX, size):
         out = out.withColumn(f"s{a}", (F.col(a) + 1.0) * F.col(lines.EXTENT[a]) / float(m) - 1.0)
-    out = resample(out, dense, method, "replicate", ("z", "y", "x"), keys)
+    out = tiles.resample(out, dense, method, "replicate", ("z", "y", "x"), keys)
     return out.select(*keys, *ZYX, "v")
 
 
@@ -503,4 +429,4 @@ def warp_by_field(field: DataFrame, dense: DataFrame, method: str = "linear", bo
         coords = lines.inside(coords, a)
     for a in axes:
         coords = coords.withColumn(f"s{a}", F.col(a) + F.col(f"t{a}"))
-    return resample(coords, dense, method, boundary, axes, keys).select(*keys, *ZYX, "v")
+    return tiles.resample(coords, dense, method, boundary, axes, keys).select(*keys, *ZYX, "v")

@@ -11,7 +11,7 @@ from cellgrid.functions.exprs import cubic_bspline, gaussian_weights, psf_sigma
 from cellgrid.functions.ranking import exact_percentiles, hash_row_number
 from cellgrid.functions.exprs import hash32
 from cellgrid.operators import classify as cl, curves as cv, expression as ex, geometry as g, neighbours as nb
-from cellgrid.operators import sampling as sa, spots as sp, voxels as vx
+from cellgrid.operators import sampling as sa, spots as sp, tiles, voxels as vx
 from cellgrid.schema import SchemaMismatch
 from cellgrid.sources import scans as sc
 
@@ -77,10 +77,10 @@ def test_resample_identity_and_edges(spark):
     d = _plane(spark, a)
     for method in ("nearest", "linear", "cubic"):
         c = d.drop("v").withColumn("sy", F.col("y") * 1.0).withColumn("sx", F.col("x") * 1.0)
-        assert np.allclose(_array(vx.resample(c, d, method), a.shape), a)
+        assert np.allclose(_array(tiles.resample(c, d, method), a.shape), a)
     far = d.drop("v").withColumn("sy", F.lit(-50.0)).withColumn("sx", F.lit(90.0))
-    assert np.allclose(_array(vx.resample(far, d, "cubic", "replicate"), a.shape), a[0, -1])
-    assert np.allclose(_array(vx.resample(far, d, "cubic", "zero"), a.shape), 0)
+    assert np.allclose(_array(tiles.resample(far, d, "cubic", "replicate"), a.shape), a[0, -1])
+    assert np.allclose(_array(tiles.resample(far, d, "cubic", "zero"), a.shape), 0)
 
 
 def test_components_and_split(spark):
