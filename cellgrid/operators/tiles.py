@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 ZYX = ["z", "y", "x"]
 EXTENT = {"z": "n_z", "y": "n_y", "x": "n_x"}
 EXTENTS = list(EXTENT.values())
+#: bits of one of the three numbers that share a long: images are less than two million voxels wide
+_BITS = 21
 #: side of a filter tile, and voxels that a stack of planes of one tile should hold
 EDGE, STACK = 1024, 1 << 18
 #: sides of a source tile for resampling over 1, 2 or 3 axes; blocks of output are ``BLOCK`` such sides wide
@@ -61,24 +63,31 @@ def filter_tiles(dense: DataFrame, keys: list[str], halo: tuple[int, int], fn: C
     counts as 0 for its neighbours and stays null.
     """
     hy, hx = halo
+    # halos come in steps too, so that tiles start at whole blocks
     edge = max(EDGE, -(-2 * max(halo) // step) * step)
     names = [*keys, *ZYX, *EXTENTS, "v", *[n for n in outs if n != "v"]]
-    rows = dense.select(*keys, *[F.col(c).cast("int").alias(c) for c in (*ZYX, *EXTENTS)], F.col("v").cast("double").alias("v"))
-    # halos come in steps too, so that tiles start at whole blocks
-    rows = (rows.withColumn("_tz", F.expr(f"z div {_planes(edge)}"))
+    rows = (dense.withColumn("_tz", F.expr(f"z div {_planes(edge)}"))
             .withColumn("_ty", F.explode(_touched("y", hy, hy, edge))).withColumn("_tx", F.explode(_touched("x", hx, hx, edge))))
-    group = [*keys, "_tz", "_ty", "_tx"]
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        n = {a: table[EXTENT[a]][0].as_py() for a in ZYX}
-        ty, tx = key[-2].as_py() * edge, key[-1].as_py() * edge
-        z, y, x = (table[a].to_numpy() for a in ZYX)
+    # every column costs time on its way to Python: a voxel is its place in the stack, three numbers share a long
+    high, wide = (f"(least({n}, {edge} * ({t} + 1) + {h}) - greatest({edge} * {t} - {h}, 0L))" for n, t, h in (("n_y", "_ty", hy), ("n_x", "_tx", hx)))
+    spot = (f"((z - _tz * {_planes(edge)}) * {high} + y - greatest({edge} * _ty - {hy}, 0L)) * {wide} + x - greatest({edge} * _tx - {hx}, 0L)")
+    packed = lambda z, y, x: F.expr(f"shiftleft(cast({z} as bigint), {2 * _BITS}) + shiftleft(cast({y} as bigint), {_BITS}) + {x}")
+    rows = rows.select(*keys, packed("_tz", "_ty", "_tx").alias("_tile"), packed(*EXTENTS).alias("_extent"),
+                       F.expr(spot).cast("int").alias("_at"), F.col("v").cast("double").alias("v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        three = lambda c: [table[c][0].as_py() >> shift & (1 << _BITS) - 1 for shift in (2 * _BITS, _BITS, 0)]
+        tz, ty, tx = three("_tile")
+        n = dict(zip(ZYX, three("_extent")))
+        ty, tx = ty * edge, tx * edge
         origin, end = (max(0, ty - hy), max(0, tx - hx)), (min(n["y"], ty + edge + hy), min(n["x"], tx + edge + hx))
-        low, planes = z.min(), np.unique(z)
-        stack = np.zeros((z.max() - low + 1, end[0] - origin[0], end[1] - origin[1]))
+        at = table["_at"].to_numpy()
+        area = (end[0] - origin[0]) * (end[1] - origin[1])
+        held = np.unique(at // area)
+        planes = held + tz * max(1, STACK // (min(n["y"], edge) * min(n["x"], edge)))
+        stack = np.zeros((held[-1] + 1, end[0] - origin[0], end[1] - origin[1]))
         values, null = _floats(table["v"])
-        at = (z - low, y - origin[0], x - origin[1])
-        stack[at] = values
+        stack.reshape(-1)[at] = values
         core, stop = (ty, tx), (min(n["y"], ty + edge), min(n["x"], tx + edge))
         if whole:
             made = whole(stack, origin, core, stop, (n["y"], n["x"]))
@@ -87,24 +96,24 @@ def filter_tiles(dense: DataFrame, keys: list[str], halo: tuple[int, int], fn: C
             kind = {"constant_values": np.inf} if mode == "constant" else {}
             made = fn(np.pad(stack, pad, mode=mode, **kind) if any(map(any, pad)) else stack)
         inner = tuple(slice(c - o, s - o) for c, o, s in zip(core, origin, stop))
-        cut = lambda a: a if len(planes) == len(a) else a[planes - low]
+        cut = lambda a: a if len(held) == len(a) else a[held]
         shape = (len(planes), stop[0] - core[0], stop[1] - core[1])
         size = math.prod(shape)
         made = {"v": stack[:, *inner], **made}
         missing = None
         if null is not None:
             hole = np.zeros(stack.shape, bool)
-            hole[at] = null
+            hole.reshape(-1)[at] = null
             missing = cut(hole[:, *inner]).ravel()
         spots = np.indices(shape, np.int32)
-        columns = [pa.repeat(key[i], size) for i in range(len(keys))]
+        columns = [pa.repeat(table[k][0], size) for k in keys]
         columns += [pa.array(planes.astype(np.int32)[spots[0].ravel()]), pa.array((spots[1] + np.int32(core[0])).ravel()), pa.array((spots[2] + np.int32(core[1])).ravel())]
         columns += [pa.repeat(pa.scalar(n[a], pa.int32()), size) for a in ZYX]
         columns += [pa.array(np.ascontiguousarray(cut(made[c])).ravel(), mask=missing) for c in names[len(keys) + 6:]]
         return pa.Table.from_arrays(columns, names)
 
-    out = rows.groupBy(*group).applyInArrow(run, _columns(rows, [*keys, *ZYX, *EXTENTS]) + "".join(
-        f", `{c}` double" for c in names[len(keys) + 6:]))
+    schema = [_columns(dense, keys), *[f"{c} int" for c in (*ZYX, *EXTENTS)], *[f"`{c}` double" for c in names[len(keys) + 6:]]]
+    out = rows.groupBy(*keys, "_tile").applyInArrow(run, ", ".join(schema))
     kinds = dict(dense.dtypes)
     return out.select(*keys, *[F.col(c).cast(kinds[c]).alias(c) for c in (*ZYX, *EXTENTS)], *names[len(keys) + 6:])
 
@@ -250,9 +259,25 @@ def resample(coords: DataFrame, dense: DataFrame, method: str = "linear", bounda
     source = dense.withColumn("_tp", stack_of)
     for a in axes:
         source = source.withColumn(f"_t{a}", F.explode(_touched(a, 2, 1, edge)))
-    packed = source.groupBy(*held, *tile).agg(
-        *[F.max(EXTENT[a]).cast("int").alias(f"_n{a}") for a in axes],
-        F.collect_list(F.struct(F.expr(spot).cast("int").alias("i"), F.col("v").cast("double").alias("v"))).alias("_held"))
+    source = source.select(*held, *tile, F.expr(spot).cast("int").alias("_at"), F.col("v").cast("double").alias("v"),
+                           *[F.col(EXTENT[a]).cast("int").alias(f"_n{a}") for a in axes])
+    sizes = [f"_n{a}" for a in axes]
+
+    def box(extent: list[int], at: list[int]) -> tuple[list[int], list[int]]:
+        """First voxel and shape of a source tile with its border."""
+        first = [max(edge * t - 1, 0) for t in at]
+        return first, [min(n, edge * (t + 1) + 2) - f for n, t, f in zip(extent, at, first)]
+
+    def pack(table: pa.Table) -> pa.Table:
+        """The tile as one row; sorted and grouped row by row before, so that only one tile is held at a time."""
+        area = math.prod(box([table[c][0].as_py() for c in sizes], [table[c][0].as_py() for c in tile[1:]])[1])
+        index = table["_at"].to_numpy()
+        values = np.zeros((int(index.max()) // area + 1) * area)
+        values[index] = _floats(table["v"])[0]
+        one = [table[c].slice(0, 1) for c in (*held, *tile, *sizes)]
+        return pa.Table.from_arrays([*one, pa.array([values], pa.list_(pa.float64()))], [*held, *tile, *sizes, "_stack"])
+
+    packed = source.groupBy(*held, *tile).applyInArrow(pack, _columns(source, [*held, *tile, *sizes]) + ", _stack array<double>")
     sent = packed.join(wanted, [*held, *tile])
     sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # apart from the columns that ``asked`` shares with it
     group = [*held, *tile, "_block"]
@@ -261,22 +286,17 @@ def resample(coords: DataFrame, dense: DataFrame, method: str = "linear", bounda
     def run(key: tuple, rows: pa.Table, tiles: pa.Table) -> pa.Table:
         if not rows.num_rows or not tiles.num_rows:
             return pa.Table.from_arrays([rows[c].slice(0, 0) if c != "v" else pa.array([], pa.float64()) for c in names], names)
-        extent = [tiles[f"_n{a}"][0].as_py() for a in axes]
-        at = [k.as_py() for k in key[len(held) + 1:len(held) + 1 + len(axes)]]
-        first = [max(edge * t - 1, 0) for t in at]
-        shape = [min(n, edge * (t + 1) + 2) - f for n, t, f in zip(extent, at, first)]
-        area = math.prod(shape)
-        flat = tiles["_held"].combine_chunks()
-        flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten()
-        index, values = flat.field("i").to_numpy(), flat.field("v").fill_null(0.0).to_numpy()
-        plane = None
+        extent = [tiles[c][0].as_py() for c in sizes]
+        first, shape = box(extent, [k.as_py() for k in key[len(held) + 1:len(held) + 1 + len(axes)]])
+        stack, plane = tiles["_stack"].combine_chunks().flatten().to_numpy(), None
         if stacks:
-            z, per = rows["z"].to_numpy().astype(np.int64), max(1, STACK // math.prod(min(n, edge) for n in extent))
-            plane = z - key[len(held)].as_py() * per
-            stack = np.zeros((max(int(plane.max()) + 1, int(index.max()) // area + 1), *shape))
+            per = max(1, STACK // math.prod(min(n, edge) for n in extent))
+            plane = rows["z"].to_numpy().astype(np.int64) - key[len(held)].as_py() * per
+            grown = np.zeros((max(int(plane.max()) + 1, len(stack) // math.prod(shape)), *shape))
+            grown.reshape(-1)[:len(stack)] = stack
+            stack = grown
         else:
-            stack = np.zeros(shape)
-        stack.reshape(-1)[index] = values
+            stack = stack.reshape(shape)
         v = _sampled(stack, plane, [rows[f"s{a}"].to_numpy() for a in axes], first, extent, method, boundary)
         return pa.Table.from_arrays([pa.array(v) if c == "v" else rows[c] for c in names], names)
 
