@@ -303,9 +303,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of the class), n_links (verified links of the row's distinct text), kept."""
+    """doc_id, class_id (least id of the class), n_joins, kept.
+
+    n_joins counts the verified pairs of the row's distinct text that were looked at while the classes were joined;
+    pairs whose texts had met in one class by then are not looked at, so it is no degree.
+    """
     found = near_classes(docs, doc_id, text)
-    return found.select(F.col("_doc").alias(doc_id), F.col("_label._id").alias("class_id"), F.col("_links").alias("n_links"),
+    return found.select(F.col("_doc").alias(doc_id), F.col("_label._id").alias("class_id"), F.col("_links").alias("n_joins"),
                         (F.struct("_id", "_th") == F.col("_label")).alias("kept"))
 
 

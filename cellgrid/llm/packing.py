@@ -67,7 +67,6 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self._letters = _byte_letters()
         self._mark = {m: self.tokenizer.encode(m, add_special_tokens=False).ids if m else [] for m in ("", ".", ",")}
         self._forget()

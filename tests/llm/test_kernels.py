@@ -40,9 +40,11 @@ def test_word_encoder_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = packing.WordEncoder(path)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [odd_text(rng, 40) for _ in range(600)] + ["Straße, ÉCOLE. don't x.. <|endoftext|>", ""]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "endoftext|>"]
+    texts = [odd_text(rng, 40) for _ in range(600)] + ["Straße, ÉCOLE. don't x.. <|endoftext|>", "", "hello <|startoftext|> world"]
+    for _ in range(300):  # their strings stand for the special tokens, alone, inside words and beside blanks of any kind
+        texts.append("".join(rng.choice([*special, "word", "É", ".", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u3000"]) for _ in range(rng.randrange(1, 12))))
     ids, counts = coder.encode(texts)
     at = 0
     for text, n in zip(texts, counts.tolist(), strict=True):
