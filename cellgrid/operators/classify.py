@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellgrid.operators import expression as ex, sampling as sa, taxonomy as tx
+from cellgrid.operators import expression as ex, sampling as sa, sparse, taxonomy as tx
 from cellgrid.operators.neighbours import knn_classify, knn_join
 from cellgrid.session import cut_lineage
 
@@ -114,17 +114,38 @@ def compose_mapping(mapping: DataFrame, groups: DataFrame) -> DataFrame:
 
 # ---- splits, cross-validation ---------------------------------------------------------------------
 
-def preprocess_splits(boots: DataFrame, mapping: DataFrame | None = None, keys=("split",)) -> DataFrame:
-    """boots(keys, part, cell_id, label, gene, value): log1p, standardise by train statistics, remap labels."""
+def preprocess_splits(boots: DataFrame, mapping: DataFrame | None = None, keys=("split",), cells: DataFrame | None = None) -> DataFrame:
+    """boots(keys, part, cell_id, label, gene, value): log1p, standardise by train statistics, remap labels.
+
+    ``cells`` (keys, part, cell_id, label) lists all cells where ``boots`` holds non-zeros only. Train statistics then
+    count the zeros, and every cell gets a value for each gene of its split.
+    """
     keys = list(keys)
     logged = ex.log1p(boots)
-    stats = ex.gene_stats(logged.where("part = 'train'"), [*keys, "gene"])
-    out = ex.zscore_genes(logged, stats, [*keys, "gene"])
+    if cells is None:
+        stats = ex.gene_stats(logged.where("part = 'train'"), [*keys, "gene"])
+        out = ex.zscore_genes(logged, stats, [*keys, "gene"])
+    else:
+        out = _standardised(logged, cells, keys)
     if mapping is not None:
         out = out.join(mapping, "label", "left").withColumn("label", F.coalesce("name", "label")).drop("name")
     return out
 
 
+def _standardised(logged: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """All genes of every cell: listed values and zeros, by the statistics of the split's train cells."""
+    train = cells.where("part = 'train'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    genes = logged.select("gene").distinct()
+    stats = sparse.grouped_moments(logged.where("part = 'train'"), keys, train, genes)
+    sd = F.when(F.col("var") > 0, F.sqrt("var")).otherwise(1.0)
+    panel = stats.groupBy(*keys).agg(F.collect_list(F.struct("gene", "mean", sd.alias("sd"))).alias("_panel"))  # as wide as the panel
+    own = [*keys, "part", "cell_id", "label"]
+    listed = logged.groupBy(*keys, "part", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("_x"))
+    rows = cells.select(*own).join(listed, [*keys, "part", "cell_id"], "left").join(panel, keys)
+    value = lambda s: (F.coalesce(F.col("_x")[s["gene"]], F.lit(0.0)) - s["mean"]) / s["sd"]
+    return rows.select(*own, F.explode(F.transform("_panel", lambda s: F.struct(s["gene"].alias("gene"), value(s).alias("value")))).alias("_e")).select(*own, "_e.*")
+
+
 def split_neighbours(data: DataFrame, keys=("split",), n_comps: int | None = 50, k: int = 5, metric: str = "cosine") -> DataFrame:
     """All splits in one job (split is a key): vectors -> components (train fit) -> k neighbours.
 

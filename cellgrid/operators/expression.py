@@ -12,14 +12,10 @@ from pyspark.sql.window import Window
 
 from cellgrid.functions.exprs import PIXEL_UM
 from cellgrid.functions.ranking import exact_percentiles
+from cellgrid.operators import sparse
 from cellgrid.schema import SchemaMismatch
 from cellgrid.session import cut_lineage
 
-#: genes to a side of a block of products, and doubles a task holds before it hands its sums on
-GENE_BLOCK, HELD_DOUBLES = 1024, 32_000_000
-#: doubles of component loadings that are shipped to every task; larger models are joined
-SHIPPED_DOUBLES = 20_000_000
-
 
 def norm_by_area(cells: DataFrame, genes: list[str], area: str = "area") -> DataFrame:
     """Value per square micron (pixel area is 0.325^2), always by the original area."""
@@ -53,21 +49,6 @@ def gene_stats(expr: DataFrame, keys=("gene",), sample: bool = False, cells: Col
     return sums.select(*keys, mean.alias("mean"), F.sqrt(squares / ((cells - 1) if sample else cells)).alias("sd"))
 
 
-def csr_vectors(csr_rows: DataFrame, genes: int, key: str = "cell_id") -> DataFrame:
-    """(key, vec): rows of a sparse matrix by gene position, zeros where nothing is stored; log1p is left to the caller."""
-    def scatter(batches):
-        for pdf in batches:
-            out = []
-            for i, v in zip(pdf["indices"], pdf["data"]):
-                row = np.zeros(genes)
-                row[np.asarray(i, dtype=int)] = v
-                out.append(row)
-            yield pd.DataFrame({key: pdf[key], "vec": out})
-
-    return csr_rows.select(key, "indices", "data").mapInPandas(
-        scatter, f"{key} {csr_rows.schema[key].dataType.simpleString()}, vec array<double>")
-
-
 def zscore_genes(expr: DataFrame, stats: DataFrame | None = None, keys=("gene",)) -> DataFrame:
     """Standardise by the given (train) statistics; a zero deviation counts as 1."""
     stats = gene_stats(expr, keys) if stats is None else stats
@@ -86,62 +67,13 @@ def gene_order(expr: DataFrame) -> DataFrame:
     return expr.select("gene").distinct().select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("i"))
 
 
-def cross_products(vectors: DataFrame, keys=()) -> DataFrame:
-    """Rows (keys, i, n, sums, row): sums of x and of x_i * x over all cells.
-
-    Each task adds up products of gene blocks and hands its sums on when it holds
-    ``HELD_DOUBLES`` of them, so any panel width runs in bounded memory; a grouped sum follows,
-    and nothing the size of the cell table is shuffled for panels of up to a few thousand genes.
-    """
-    keys = list(keys)
-
-    def rows_of(acc):
-        for (k, a, b), (n, s, q) in acc.items():
-            for i in range(len(s)):
-                yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "i": [a + i], "j0": [b], "n": [n], "s": [float(s[i])], "row": [q[i].tolist()]})
-
-    def partial(batches):
-        acc: dict = {}
-        held = 0
-        for pdf in batches:
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for k, g in groups:
-                x = np.stack(g["vec"].to_numpy())
-                k = k if isinstance(k, tuple) else (k,)
-                for a in range(0, x.shape[1], GENE_BLOCK):
-                    left = x[:, a:a + GENE_BLOCK]
-                    for b in range(0, x.shape[1], GENE_BLOCK):
-                        block = left.T @ x[:, b:b + GENE_BLOCK]
-                        n, s, q = acc.get((k, a, b), (0, 0.0, 0.0))
-                        held += block.size if n == 0 else 0
-                        acc[k, a, b] = (n + len(x), s + left.sum(0), q + block)
-                        if held > HELD_DOUBLES:
-                            yield from rows_of(acc)
-                            acc, held = {}, 0
-        yield from rows_of(acc)
-
-    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.schema if f.name in keys)
-    part = vectors.select(*keys, "vec").mapInPandas(partial, head + "i int, j0 int, n bigint, s double, row array<double>")
-    flat = part.select(*keys, "i", "j0", "n", "s", F.posexplode("row").alias("_j", "q")).withColumn("j", F.col("j0") + F.col("_j"))
-    return flat.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-
-
 def corr_matrix(expr: DataFrame) -> DataFrame:
-    """Gene x gene Pearson r from standardised values: r = mean(z_i z_j)."""
-    z = cross_products(cell_vectors(zscore_genes(expr)))
-    names = gene_order(expr)
-    return (z.join(names.select(F.col("gene").alias("gene_a"), "i"), "i")
+    """Gene x gene Pearson r over all cells of ``expr``; values that are not listed are zeros."""
+    names = cut_lineage(gene_order(expr))
+    r = sparse.correlations(cut_lineage(sparse.csr(expr, names)), names.count())
+    return (r.join(names.select(F.col("gene").alias("gene_a"), "i"), "i")
             .join(names.select(F.col("gene").alias("gene_b"), F.col("i").alias("j")), "j")
-            .select("gene_a", "gene_b", (F.col("q") / F.col("n")).alias("r")))
-
-
-def corr_from_products(products: DataFrame) -> DataFrame:
-    """(i, j, r) of any vectors from their raw products: Pearson r through means and deviations."""
-    own = products.where("i = j").select("i", (F.col("s") / F.col("n")).alias("_m"),
-                                         F.sqrt(F.col("q") / F.col("n") - F.col("s") / F.col("n") * F.col("s") / F.col("n")).alias("_d"))
-    other = own.select(F.col("i").alias("j"), F.col("_m").alias("_mj"), F.col("_d").alias("_dj"))
-    return products.join(own, "i").join(other, "j").select(
-        "i", "j", F.try_divide(F.col("q") / F.col("n") - F.col("_m") * F.col("_mj"), F.col("_d") * F.col("_dj")).alias("r"))
+            .select("gene_a", "gene_b", "r"))
 
 
 def partial_corr_matrix(expr: DataFrame) -> DataFrame:
@@ -294,19 +226,36 @@ def bin_gene(expr: DataFrame, bins: int = 10, thresh: float | None = 2.0) -> Dat
     return expr.join(mapped, ["gene", "value"])
 
 
-def robust_dynamic_range(boots: DataFrame) -> DataFrame:
-    """boots(boot, gene, value) -> log1p of the mean 3-sd-capped range."""
-    s = boots.groupBy("boot", "gene").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"),
-                                          F.max("value").alias("mx"), F.min("value").alias("mn"))
-    top, low = F.col("m") + 3 * F.col("s"), F.col("m") - 3 * F.col("s")
-    capped = F.least(F.col("mx"), top) - F.greatest(F.col("mn"), low)
-    return s.groupBy("gene").agg(F.log1p(F.avg(capped)).alias("rdr"))
+def robust_dynamic_range(boots: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """boots(boot, gene, value) -> log1p of the mean 3-sd-capped range.
 
+    ``cells`` (boot, n) says how many cells each draw has where ``boots`` lists non-zeros only: the others are zeros,
+    and a gene without a value in a draw has the range 0 there.
+    """
+    if cells is None:
+        s = boots.groupBy("boot", "gene").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
+                                              F.max("value").alias("high"), F.min("value").alias("low"))
+    else:
+        s = sparse.grouped_moments(boots, ["boot"], cells)
+    top, low = F.col("mean") + 3 * F.sqrt("var"), F.col("mean") - 3 * F.sqrt("var")
+    capped = F.least(F.col("high"), top) - F.greatest(F.col("low"), low)
+    ranges = s.groupBy("gene").agg(F.sum(capped).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    draws = F.col("_n") if cells is None else cells.agg(F.count(F.lit(1))).scalar()
+    return ranges.select("gene", F.log1p(F.col("_sum") / draws).alias("rdr"))
 
-def var_explained(expr: DataFrame, meta: DataFrame, freqs: DataFrame, level: str = "cluster") -> DataFrame:
-    """Between-type variance over between + frequency-weighted within; weights joined by key."""
-    per = (expr.join(meta.select("cell_id", F.col(level).alias("type")), "cell_id").groupBy("gene", "type")
-           .agg(F.avg("value").alias("m"), F.var_pop("value").alias("v")))
+
+def var_explained(expr: DataFrame, meta: DataFrame, freqs: DataFrame, level: str = "cluster", nonzeros: bool = False) -> DataFrame:
+    """Between-type variance over between + frequency-weighted within; weights joined by key.
+
+    With ``nonzeros`` the cells of ``meta`` count in full and values that ``expr`` does not list are zeros.
+    """
+    types = meta.select("cell_id", F.col(level).alias("type"))
+    typed = expr.join(types, "cell_id")
+    if nonzeros:
+        sizes = types.join(freqs.select("type"), "type", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+        per = sparse.grouped_moments(typed, ["type"], sizes, expr.select("gene")).select("gene", "type", F.col("mean").alias("m"), F.col("var").alias("v"))
+    else:
+        per = typed.groupBy("gene", "type").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     g = per.join(freqs, "type").groupBy("gene").agg(
         F.var_pop("m").alias("b"), (F.sum(F.col("v") * F.col("p")) / F.sum("p")).alias("w"))
     return g.select("gene", F.coalesce(F.try_divide(F.col("b"), F.col("b") + F.col("w")), F.lit(0.0)).alias("var_explained"))
@@ -343,80 +292,12 @@ def gene_by_type_dist(expr: DataFrame, meta: DataFrame, gene: str, level: str =
 
 # ---- principal components ----------------------------------------------------------------------------
 
-def pca_fit(vectors: DataFrame, k: int = 50, keys=("split",)) -> DataFrame:
-    """Leading components per key: (keys, comp, mean, loading, variance).
-
-    Cells are reduced to a panel-sized matrix by ``cross_products``; only that is decomposed.
-    """
-    keys = list(keys)
-
-    def eigen(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max()) + 1
-        n = int(pdf["n"].iloc[0])
-        q, s = np.zeros((d, d)), np.zeros(d)
-        q[pdf["i"], pdf["j"]] = pdf["q"]
-        s[pdf["i"]] = pdf["s"]
-        mean = s / n
-        val, vec = np.linalg.eigh(q / n - np.outer(mean, mean))
-        top = np.argsort(val)[::-1][:max(1, min(k, d, n) - (1 if k >= min(d, n) else 0))]
-        load = vec[:, top].T
-        load *= np.sign(load[np.arange(len(top)), np.abs(load).argmax(1)])[:, None]  # fixed sign
-        out = pd.DataFrame({"comp": np.arange(len(top)), "variance": np.maximum(val[top], 0.0),
-                            "loading": list(load), "mean": [mean] * len(top)})
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "comp", "variance", "loading", "mean"]]
-
-    prods = cross_products(vectors, keys)
-    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in prods.schema if f.name in keys)
-    return prods.groupBy(*keys).applyInPandas(eigen, head + "comp int, variance double, loading array<double>, mean array<double>")
-
-
-def _project_by_join(vectors: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores as a grouped product over genes: for models that are too large to ship."""
-    rest = [c for c in vectors.columns if c != "vec"]
-    x = vectors.withColumn("_r", F.monotonically_increasing_id())
-    x = cut_lineage(x)  # row numbers must not change between the two uses
-    long = x.select(*keys, "_r", F.posexplode("vec").alias("_i", "_x"))
-    load = model.select(*keys, "comp", F.posexplode(F.arrays_zip("loading", "mean")).alias("_i", "_l"))
-    scores = long.join(load, [*keys, "_i"]).groupBy("_r", "comp").agg(
-        F.sum((F.col("_x") - F.col("_l.mean")) * F.col("_l.loading")).alias("_s"))
-    packed = scores.groupBy("_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("comp", "_s"))), lambda s: s["_s"]).alias("vec"))
-    return x.select(*rest, "_r").join(packed, "_r").select(*vectors.columns)
-
-
-def pca_apply(vectors: DataFrame, model: DataFrame, keys=("split",), max_doubles: int = SHIPPED_DOUBLES) -> DataFrame:
-    """Replace ``vec`` by its component scores.
-
-    The model (keys x comps x genes) is counted before it is shipped; beyond ``max_doubles``
-    the product is a join on genes instead.
-    """
-    keys = list(keys)
-    size = model.agg(F.sum(F.size("loading"))).scalar()
-    n = model.sparkSession.range(1).select(size.alias("n")).first()["n"] or 0
-    if n > max_doubles:
-        return _project_by_join(vectors, model, keys)
-    parts: dict = {}
-    for r in model.orderBy(*keys, "comp").collect():  # bounded by the check above
-        parts.setdefault(tuple(r[c] for c in keys), []).append((r["loading"], r["mean"]))
-    mats = {k: (np.array([x for x, _ in v]), np.array(v[0][1])) for k, v in parts.items()}
-    shipped = vectors.sparkSession.sparkContext.broadcast(mats)
-
-    def project(batches):
-        for pdf in batches:
-            out = []
-            for k, g in pdf.groupby(keys, sort=False):
-                load, mean = shipped.value[k if isinstance(k, tuple) else (k,)]
-                scores = (np.stack(g["vec"].to_numpy()) - mean) @ load.T
-                out.append(pd.Series(list(scores), index=g.index))
-            if out:
-                yield pdf.assign(vec=pd.concat(out).reindex(pdf.index))
-
-    return vectors.mapInPandas(project, vectors.schema)
+pca_fit, pca_apply = sparse.fit_components, sparse.apply_components
 
 
 def pca_project(train: DataFrame, test: DataFrame, k: int = 50, keys=("split",)) -> tuple[DataFrame, DataFrame]:
     """Fit on train vectors, apply to both."""
+    train = cut_lineage(train)  # read by every pass
     model = pca_fit(train, k, keys)
     return pca_apply(train, model, keys), pca_apply(test, model, keys)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrid.functions import lines
-from cellgrid.functions.exprs import clip, finite_or_zero, gaussian_weights, non_negative
+from cellgrid.functions.exprs import clip, cubic_bspline, finite_or_zero, gaussian_weights, non_negative
 from cellgrid.functions.ranking import exact_percentiles
 from cellgrid.operators import tiles
 from cellgrid.session import cut_lineage
@@ -186,23 +186,48 @@ def background_boxes(dense: DataFrame, box: int = 50, clip_sigma: float = 3.0, r
     return spread.groupBy(*keys, "z", "by", "bx", "nby", "nbx").agg(F.median("m").alias("m"))
 
 
+#: pole of the cubic spline's inverse filter; its powers fall below double precision after ``SPLINE_REACH`` boxes
+SPLINE_POLE, SPLINE_REACH = math.sqrt(3.0) - 2.0, 30
+
+
+def spline_coefficients(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, z, by, bx, nby, nbx, m): cubic spline coefficients in place of the values of a grid, mirrored edges.
+
+    The inverse of the spline's (1, 4, 1) / 6 is the pole's powers to both sides; what its forward and backward
+    recursions add up is written out as one sum per axis, cut where the powers vanish, so that a grid may be tiled.
+    """
+    weights = [math.sqrt(3.0) * SPLINE_POLE ** abs(k) for k in range(-SPLINE_REACH, SPLINE_REACH + 1)]
+    grid = boxes.select(*keys, "z", F.col("by").alias("y"), F.col("bx").alias("x"), F.col("m").alias("v"),
+                        F.lit(1).alias("n_z"), F.col("nby").alias("n_y"), F.col("nbx").alias("n_x"))
+    solved = tiles.filter_tiles(grid, keys, (SPLINE_REACH, SPLINE_REACH),
+                                lambda stack: {"v": tiles.correlate(tiles.correlate(stack, weights, 2), weights, 1)}, ["v"])
+    return solved.select(*keys, "z", F.col("y").alias("by"), F.col("x").alias("bx"), F.col("n_y").alias("nby"), F.col("n_x").alias("nbx"), F.col("v").alias("m"))
+
+
+def _around(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """The 4 x 4 values c[j][i] around each box, one box before and two after on both axes, mirrored; boxes from -1 on."""
+    for axis, extent, values in (("bx", "nbx", F.col("m")), ("by", "nby", F.col("c"))):
+        w = Window.partitionBy(*keys, "by" if axis == "bx" else "bx").orderBy(axis)
+        grid = lines.pad_reflect(grid, axis, 2, extent).withColumn("c", F.array(*[lines.shifted(w, values, -k) for k in (-1, 0, 1, 2)]))
+        grid = grid.where((F.col(axis) >= -1) & (F.col(axis) < F.col(extent)))
+    return grid
+
+
 def estimate_background(dense: DataFrame, box: int = 50, clip_sigma: float = 3.0, keys=KEYS) -> DataFrame:
-    """Adds column ``bg``: the box background enlarged bilinearly to voxels."""
-    boxes = background_boxes(dense, box, clip_sigma, keys=keys)
-    wx = Window.partitionBy(*keys, "z", "by").orderBy("bx")
-    wy = Window.partitionBy(*keys, "z", "bx").orderBy("by")
-    quads = boxes.withColumn("mx", F.coalesce(F.lead("m").over(wx), F.col("m")))
-    quads = quads.select(*keys, "z", "by", "bx", "m", "mx",
-                         F.coalesce(F.lead("m").over(wy), F.col("m")).alias("my"),
-                         F.coalesce(F.lead("mx").over(wy), F.col("mx")).alias("mxy"))
-    fy = clip((F.col("y") + 0.5) / box - 0.5, F.lit(0.0), F.ceil(F.col("n_y") / box) - 1.0)
-    fx = clip((F.col("x") + 0.5) / box - 0.5, F.lit(0.0), F.ceil(F.col("n_x") / box) - 1.0)
-    placed = (dense.withColumn("_fy", fy).withColumn("_fx", fx)
-              .withColumn("by", F.floor("_fy").cast("int")).withColumn("bx", F.floor("_fx").cast("int")))
-    ty, tx = F.col("_fy") - F.col("by"), F.col("_fx") - F.col("bx")
-    bg = ((1 - ty) * ((1 - tx) * F.col("m") + tx * F.col("mx")) + ty * ((1 - tx) * F.col("my") + tx * F.col("mxy")))
-    return (placed.join(quads, [*keys, "z", "by", "bx"]).withColumn("bg", bg)
-            .drop("by", "bx", "_fy", "_fx", "m", "mx", "my", "mxy"))
+    """Adds column ``bg``: the box background enlarged to voxels by cubic splines, within the range of the plane's boxes.
+
+    Box centres lie at (box - 1) / 2, and so on; beyond the outer centres the grid is mirrored.
+    """
+    boxes = cut_lineage(background_boxes(dense, box, clip_sigma, keys=keys))  # a box x box part of the voxels, read for its range and for its spline
+    limits = boxes.groupBy(*keys, "z").agg(F.min("m").alias("_lo"), F.max("m").alias("_hi"))
+    patches = _around(spline_coefficients(boxes, list(keys)), [*keys, "z"]).select(*keys, "z", "by", "bx", "c").join(limits, [*keys, "z"])
+    at = {a: (F.col(a) + 0.5) / box - 0.5 for a in "yx"}
+    placed = dense.withColumns({f"b{a}": F.floor(e).cast("int") for a, e in at.items()})
+    joined = placed.join(patches, [*keys, "z", "by", "bx"])
+    wy, wx = (cubic_bspline(at[a] - F.col(f"b{a}")) for a in "yx")
+    rows = [sum([F.col("c")[j][i] * wx[i] for i in range(1, 4)], F.col("c")[j][0] * wx[0]) for j in range(4)]
+    bg = sum([rows[j] * wy[j] for j in range(1, 4)], rows[0] * wy[0])
+    return joined.withColumn("bg", clip(bg, F.col("_lo"), F.col("_hi"))).drop("by", "bx", "c", "_lo", "_hi")
 
 
 def remove_lipofuscin(with_bg: DataFrame, model: list[str], scales: dict[str, float]) -> DataFrame:

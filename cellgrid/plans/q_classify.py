@@ -70,17 +70,33 @@ def fold_data(t):
     return cl.fold_table(t.expr, t.meta, folds(t), 5)
 
 
-@query("preprocess_splits", f"""with {FOLDS}, m as (select cluster, string_agg(cluster, ', ') over (partition by subclass order by cluster rows between unbounded preceding and unbounded following) as name from taxonomy),
+PREPROCESSED = f"""with {FOLDS}, m as (select cluster, string_agg(cluster, ', ') over (partition by subclass order by cluster rows between unbounded preceding and unbounded following) as name from taxonomy),
     b as (select f.cell_id, range as split, case when fold=range then 'test' else 'train' end as part, name as label, gene, ln(1+value) v from folds f join m using (cluster) join expr using (cell_id), range(5)),
     s as (select split, gene, avg(v) mu, stddev_pop(v) sd from b where part='train' group by all)
-    select split, part, gene, label, sum((v-mu)/case when sd=0 then 1 else sd end) as value, count(*) as n from b join s using (split, gene) group by all""", d="value", i="split n")
-def _(t):
-    mapping = t.taxonomy.groupBy("subclass").agg(F.array_sort(F.collect_set("cluster")).alias("c")).select(
+    select split, part, gene, label, sum((v-mu)/case when sd=0 then 1 else sd end) as value, count(*) as n from b join s using (split, gene) group by all"""
+
+
+def merged_names(t):
+    return t.taxonomy.groupBy("subclass").agg(F.array_sort(F.collect_set("cluster")).alias("c")).select(
         F.explode("c").alias("label"), F.array_join("c", ", ").alias("name"))
-    p = cl.preprocess_splits(fold_data(t), mapping)
+
+
+def by_label(p):
     return p.groupBy("split", "part", "gene", "label").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
+@query("preprocess_splits", PREPROCESSED, d="value", i="split n")
+def _(t):
+    return by_label(cl.preprocess_splits(fold_data(t), merged_names(t)))
+
+
+@query("preprocess_splits_sparse", PREPROCESSED, d="value", i="split n")
+def _(t):
+    data = fold_data(t)
+    cells = data.select("split", "part", "cell_id", "label").distinct()
+    return by_label(cl.preprocess_splits(data.where("value <> 0"), merged_names(t), cells=cells))
+
+
 @query("cross_validate", None, d="accuracy", i="split")
 def _(t):
     return cl.accuracy(cl.cross_validate(t.expr, t.meta, folds(t)), ["split"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cellgrid.operators import expression as ex
+from cellgrid.operators import expression as ex, sparse
 from cellgrid.plans.catalog import query
 from cellgrid.plans.sqlkit import hash32
 
@@ -99,16 +99,47 @@ def _(t):
 @query("corr_matrix_sparse", "select substr(a.gene,2)::int as i, substr(b.gene,2)::int as j, corr(ln(1+a.value),ln(1+b.value)) as r from expr a join expr b using (cell_id) group by all",
        d="r", i="i j")
 def _(t):
-    return ex.corr_from_products(ex.cross_products(ex.csr_vectors(logged_csr(t), 64)))
+    return sparse.correlations(logged_csr(t), 64)
 
 
-@query("pca_sparse", "select sum(v) as total from (select gene, var_pop(ln(1+value)) v from expr group by 1)", d="total", digits=3)
+# a 65th gene, the sum of two others, leaves a component without variance: the 64 kept ones hold everything
+WIDER = f"""{NZ}, w as (select cell_id, substr(gene,2)::int as i, ln(1+value) as v from expr
+    union all select cell_id, 64, sum(ln(1+value)) from expr where gene in ('g03', 'g11') group by 1)"""
+
+
+def wider_csr(t):
+    at = lambda k: F.coalesce(F.get(F.map_values(F.map_filter(F.map_from_arrays("indices", "data"), lambda i, _: i == k)), F.lit(0)), F.lit(0.0))
+    rows = logged_csr(t).withColumn("sum", at(3) + at(11))
+    return rows.select("cell_id", F.lit(0).alias("split"), F.concat("indices", F.array(F.lit(64))).alias("indices"),
+                       F.concat("data", F.array("sum")).alias("data"))
+
+
+@query("pca_sparse", f"""with {WIDER} select a.i, b.i as j, covar_pop(a.v, b.v) as cov from w a join w b using (cell_id) where a.i <= b.i group by all""",
+       d="cov", i="i j")
+def _(t):
+    """The covariance of all genes, rebuilt from the components' variances and loadings."""
+    model = ex.pca_fit(wider_csr(t), 65)
+    load = model.select("comp", "variance", F.posexplode("loading").alias("i", "a"))
+    other = load.select("comp", F.col("i").alias("j"), F.col("a").alias("b"))
+    return load.join(other, "comp").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("variance") * F.col("a") * F.col("b")).alias("cov"))
+
+
+@query("pca_orthonormal", "select a.range as a, b.range as b, (a.range = b.range)::int::double as dot from range(64) a, range(64) b where a.range <= b.range",
+       d="dot", i="a b")
+def _(t):
+    """Products of the loadings of all pairs of components."""
+    load = ex.pca_fit(wider_csr(t), 65).select(F.col("comp").alias("a"), F.posexplode("loading").alias("i", "x"))
+    return load.join(load.select(F.col("a").alias("b"), "i", F.col("x").alias("y")), "i").where("a <= b").groupBy("a", "b").agg(
+        F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+
+@query("pca_scores", f"""with {WIDER}, m as (select i, avg(v) mu from w group by 1)
+    select cell_id, sum((v-mu)*(v-mu)) as length from w join m using (i) group by 1""", d="length", i="cell_id")
 def _(t):
-    v = ex.csr_vectors(logged_csr(t), 64)
-    trace = ex.cross_products(v).where("i = j").agg(F.sum(F.col("q") / F.col("n") - F.col("s") / F.col("n") * F.col("s") / F.col("n"))).scalar()
-    kept = ex.pca_fit(v.withColumn("split", F.lit(0)), 64).agg(F.sum("variance").alias("s"), F.min("variance").alias("least"))
-    # all components but the last one are kept: they leave no more than the least of them
-    return kept.select(F.when((F.col("s") <= trace + 1e-6) & (F.col("s") >= trace - F.col("least") - 1e-6), trace).alias("total"))
+    """Squared length of each cell's scores over all components, that of the centred cell itself."""
+    rows = wider_csr(t)
+    scores = ex.pca_apply(rows, ex.pca_fit(rows, 65))
+    return scores.select("cell_id", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("length"))
 
 
 @query("partial_corr_matrix", None, d="r")
@@ -185,6 +216,22 @@ def _(t):
     return ex.var_explained(t.expr, t.meta, t.freqs)
 
 
+@query("var_explained_sparse", """with p as (select gene, cluster as type, avg(ln(1+value)) m, var_pop(ln(1+value)) v from expr join meta using (cell_id) group by all)
+    select gene, coalesce(var_pop(m)/nullif(var_pop(m)+sum(v*p)/sum(p),0),0) as var_explained from p join freqs using (type) group by 1""", d="var_explained")
+def _(t):
+    return ex.var_explained(ex.log1p(t.expr.where("value <> 0")), t.meta, t.freqs, nonzeros=True)
+
+
+@query("robust_dynamic_range_sparse", f"""with b as (select *, {hash32('cell_id', "'7'")}%10 as boot from expr),
+    s as (select boot, gene, avg(value) m, stddev_pop(value) s, max(value) mx, min(value) mn from b group by all)
+    select gene, ln(1+avg(least(mx, m+3*s) - greatest(mn, m-3*s))) as rdr from s group by 1""", d="rdr")
+def _(t):
+    from cellgrid.functions.exprs import hash32 as h
+    boot = F.pmod(h(F.col("cell_id"), F.lit(7)), F.lit(10)).alias("boot")
+    cells = t.meta.select("cell_id", boot)
+    return ex.robust_dynamic_range(t.expr.where("value <> 0").join(cells, "cell_id"), cells.groupBy("boot").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("gini", """with r as (select gene, value - least(min(value) over (partition by gene),0) + 1e-7::double as x,
     row_number() over (partition by gene order by value) i, count(*) over (partition by gene) n from expr)
     select gene, sum((2*i-n-1)*x)/(max(n)*sum(x)) as gini from r group by 1""", d="gini")

@@ -1,5 +1,6 @@
 """Voxel, region and spot queries."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellgrid.functions.exprs import gaussian_weights, psf_sigma
@@ -117,6 +118,24 @@ def _(t):
 
 
 BOX = 8
+
+
+def spline_inverse(n):
+    """Rows (i, j, weight) of the inverse of the spline's (1, 4, 1) / 6 on n mirrored samples."""
+    m = np.diag([4.0] * n) + np.diag([1.0] * (n - 1), 1) + np.diag([1.0] * (n - 1), -1)
+    m[0, 0] = m[-1, -1] = 5.0
+    return ",".join(f"({i},{j},{float(w)!r}::double)" for (i, j), w in np.ndenumerate(np.linalg.inv(m / 6.0)))
+
+
+def spline_tap(a, n):
+    """Cubic weight and mirrored box number of one of four taps around f<a>."""
+    d = f"abs(f{a}-(floor(f{a})+t{a}.range))"
+    j = f"(floor(f{a})+t{a}.range)::int"
+    return (f"case when {d}<1 then (4-6*{d}*{d}+3*{d}*{d}*{d})/6.0::double else power(2-{d},3)/6.0::double end as w{a}, "
+            f"case when {j}<0 then -({j})-1 when {j}>={n} then 2*{n}-({j})-1 else {j} end as j{a}")
+
+
+SPLINE_INVERSE = spline_inverse(NY // BOX)
 BG_SQL = f"""
 b0 as (select section, channel, z, y//{BOX} as "by", x//{BOX} as bx, v from dense),
 {''.join(f'''m{k} as (select section, channel, z, "by", bx, median(v) m, stddev_pop(v) s from b{k} group by all),
@@ -125,9 +144,14 @@ b{k + 1} as (select b{k}.* from b{k} join m{k} using (section, channel, z, "by",
 bx0 as (select section, channel, z, "by", bx, median(v) m from b5 group by all),
 bxs as (select a.section, a.channel, a.z, a."by", a.bx, median(b.m) m from bx0 a join bx0 b on a.section=b.section
   and a.channel=b.channel and a.z=b.z and abs(a."by"-b."by")<=1 and abs(a.bx-b.bx)<=1 group by all),
-pos as (select *, least(greatest((y+0.5::double)/{BOX}-0.5,0),{NY // BOX - 1}) fy, least(greatest((x+0.5::double)/{BOX}-0.5,0),{NX // BOX - 1}) fx from dense),
-bgv as (select p.*, sum((1-abs(fy-b."by"))*(1-abs(fx-b.bx))*b.m) as bg from pos p join bxs b on p.section=b.section
-  and p.channel=b.channel and p.z=b.z and abs(fy-b."by")<1 and abs(fx-b.bx)<1 group by all)"""
+inv(i,j,w) as (values {SPLINE_INVERSE}),
+cf as (select section, channel, z, p.i as "by", q.i as bx, sum(p.w*q.w*m) as c from bxs join inv p on p.j="by" join inv q on q.j=bx group by all),
+rng as (select section, channel, z, min(m) lo, max(m) hi from bxs group by all),
+pos as (select *, (y+0.5::double)/{BOX}-0.5 fy, (x+0.5::double)/{BOX}-0.5 fx from dense),
+tap as (select section, channel, z, y, x, {spline_tap('y', NY // BOX)}, {spline_tap('x', NX // BOX)} from pos, range(-1,3) ty, range(-1,3) tx),
+bgs as (select t.section, t.channel, t.z, t.y, t.x, sum(wy*wx*c) as s from tap t join cf on cf.section=t.section and cf.channel=t.channel and cf.z=t.z
+  and cf."by"=jy and cf.bx=jx group by all),
+bgv as (select d.*, least(greatest(s, lo), hi) as bg from dense d join bgs using (section, channel, z, y, x) join rng using (section, channel, z))"""
 
 
 @query("estimate_background", f"""with {BG_SQL} select section, channel, z, y, count(*) as n, sum(bg) as s, sum(bg*(x+1)) as sx

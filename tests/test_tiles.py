@@ -180,3 +180,37 @@ def test_warps_in_three_dimensions(spark, small_tiles):
     big = stack_of(vx.resize_volume(df, df.select(*KEYS, "n_z", "n_y", "n_x").distinct(), (3, 28, 40), "nearest"), (3, 28, 40))
     at = [clamp(np.floor((np.arange(m) + 1.0) * n / m - 1.0 + .5).astype(int), n) for m, n in zip((3, 28, 40), volume.shape)]
     assert np.allclose(big, volume[np.ix_(*at)])
+
+
+@pytest.mark.parametrize("box, shape", [(50, (1, 203, 151)), (10, (2, 47, 33)), (8, (1, 13, 40))])
+def test_background_is_a_cubic_spline_over_the_boxes(spark, box, shape):
+    image_ = np.round(np.random.default_rng(9).gamma(3, 30, shape) + np.add.outer(np.arange(shape[1]), 2 * np.arange(shape[2]))[None])
+    got = stack_of(vx.estimate_background(image(spark, image_), box), shape, "bg")
+    rows = vx.background_boxes(image(spark, image_), box).toPandas()
+    ny, nx = -(-shape[1] // box), -(-shape[2] // box)
+    assert len(rows) == shape[0] * ny * nx
+
+    def system(n):
+        m = np.zeros((n, n))
+        for i in range(n):
+            for j, w in ((i - 1, 1), (i, 4), (i + 1, 1)):
+                m[i, min(max(j, 0), n - 1)] += w / 6  # the mirrored neighbour of an end is the end itself
+        return np.linalg.inv(m)
+
+    def basis(n, size):
+        out = np.zeros((size, n))
+        for p in range(size):
+            f = (p + .5) / box - .5
+            for j in range(int(np.floor(f)) - 1, int(np.floor(f)) + 3):
+                d = abs(f - j)
+                w = (4 - 6 * d ** 2 + 3 * d ** 3) / 6 if d < 1 else (2 - d) ** 3 / 6
+                k = j % (2 * n)
+                out[p, k if k < n else 2 * n - 1 - k] += w
+        return out
+
+    for z in range(shape[0]):
+        m = np.zeros((ny, nx))
+        own = rows[rows.z == z]
+        m[own.by, own.bx] = own.m
+        want = basis(ny, shape[1]) @ system(ny) @ m @ system(nx).T @ basis(nx, shape[2]).T
+        assert np.allclose(got[z], np.clip(want, m.min(), m.max()))
