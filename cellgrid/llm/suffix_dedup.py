@@ -277,7 +277,7 @@ def _unpacked(column: pa.Array) -> list[bytes]:
 def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_rid, _id, _th, u): the units of every text, written once so that row numbers are fixed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "_text", 1 << 20):
             row, start, count, key, context, loop = units(*text_view(part.column("_text")), LEVELS[0])
             per = np.bincount(row, minlength=part.num_rows)
             flat = pa.StructArray.from_arrays([pa.array(key), pa.array(context), pa.array(start << 16 | loop << 15 | count)], ["key", "ctx", "sm"])
