@@ -1,7 +1,7 @@
 """Line dedup: lines that recur in many documents stay in one of them.
 
 All on DataFrame functions. Lines are exploded as (document, position, hash) without their
-text; distinct (hash, document) pairs are counted per hash with partial aggregation, so a
+text and written once; distinct (hash, document) pairs are counted per hash with partial aggregation, so a
 line found everywhere costs one partial row per task. Dropped positions come back by a join
 on the hash, which adaptive execution splits where one line is hot, are gathered per
 document, and the document is reassembled by position. Whole texts are shuffled once.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.common import BLANKS, keyed
+from cellgrid.session import cut_lineage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,9 +33,8 @@ def line_key(line: Column) -> Column:
     return F.when(F.char_length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
-def line_hash(key: Column) -> Column:
-    """128 bits of a cryptographic hash: equal hashes are taken as equal lines."""
-    return F.substring(F.unhex(F.sha2(key, 256)), 1, 16)
+#: two 64-bit hashes of the key under different seeds: lines equal in both are taken as equal
+_HASH = ["_h1", "_h2"]
 
 
 def dropped_positions(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -43,11 +43,12 @@ def dropped_positions(rows: DataFrame, min_chars: int, min_docs: int) -> DataFra
     at = (at.where(F.char_length("_line") >= min_chars)
           .select("_id", "_th", "_doc", "_pos", line_key(F.col("_line")).alias("_key"))
           .where(F.char_length("_key") >= min_chars)
-          .select("_id", "_th", "_doc", "_pos", line_hash(F.col("_key")).alias("_hash")))
-    holders = at.select("_hash", "_doc").distinct()
-    common = (holders.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_keeper"))
-              .where(F.col("_n") >= min_docs).select("_hash", "_keeper"))
-    lost = at.join(common, "_hash").where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
+          .select("_id", "_th", "_doc", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")))
+    at = cut_lineage(at)  # lines are split and hashed once, for the counts and for the positions
+    holders = at.select(*_HASH, "_doc").distinct()
+    common = (holders.groupBy(*_HASH).agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_keeper"))
+              .where(F.col("_n") >= min_docs).select(*_HASH, "_keeper"))
+    lost = at.join(common, _HASH).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
     return lost.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop"))
 
 
