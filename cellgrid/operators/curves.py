@@ -237,18 +237,62 @@ def poly_fit_purge(points: DataFrame, keys, x: str = "z", y: str = "y", degree:
     return judged.select(*points.columns, "fit", F.col("_drop").alias("purged"))
 
 
-def exp_decay_fit(points: DataFrame, keys, x: str = "z", y: str = "y", b_min: float = 0.01, b_max: float = 1.0,
-                  steps: int = 100) -> DataFrame:
-    """a*exp(-b x)+c: linear least squares for a, c at each b of a grid; the best b wins."""
+#: fixed values: first rates tried, over the range of x; where a rate is taken as none or as a step
+DECAY_START = [10.0 ** (-4 + 7 * k / 42) for k in range(43)]
+DECAY_LEAST, DECAY_MOST = 1e-7, 1e6
+
+
+def _decay_moments(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and rate ``_b``: a and c of the best a * exp(-b x) + c, its squares, and the Gauss-Newton step of ln b.
+
+    a and c are linear, so they are eliminated: what moves with b is the part of a x exp(-b x) that neither the
+    exponential nor the constant can take over. All of it follows from one aggregate.
+    """
+    e = F.exp(-F.col("_b") * F.col("_x"))
+    m = points.withColumns({"_e": e, "_u": F.col("_x") * e}).groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_e").alias("_me"), F.avg("_y").alias("_my"), F.var_pop("_e").alias("_ee"), F.var_pop("_y").alias("_yy"),
+        F.var_pop("_u").alias("_uu"), F.covar_pop("_y", "_e").alias("_ye"), F.covar_pop("_u", "_e").alias("_ue"), F.covar_pop("_u", "_y").alias("_uy"))
+    a = F.try_divide("_ye", "_ee")
+    m = m.withColumn("_a", a).withColumn("_c", F.col("_my") - F.col("_a") * F.col("_me"))
+    squares = F.greatest(F.col("_yy") - F.col("_a") * F.col("_ye"), F.lit(0.0)) * F.col("_n")
+    free = F.col("_uu") - F.try_divide(F.col("_ue") * F.col("_ue"), F.col("_ee"))
+    step = -F.try_divide(F.col("_uy") - F.col("_a") * F.col("_ue"), F.col("_a") * free * F.col("_b"))
+    return m.select(*keys, "_b", "_a", "_c", squares.alias("_sse"), F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0)).alias("_step"))
+
+
+def exp_decay_fit(points: DataFrame, keys, x: str = "z", y: str = "y") -> DataFrame:
+    """(keys, a, b, c, sse) of a * exp(-b x) + c by least squares, for any rate b above 0.
+
+    Variable projection: the best of ``DECAY_START`` starts a Gauss-Newton search on ln b, every round one aggregate
+    over the points of the curves that still move, a tenth of any step that does not pay, until steps fall below 1e-9.
+    A rate that leaves ``DECAY_LEAST``..``DECAY_MOST`` over the range of x (a line, a step) stays there; curves whose x
+    or y do not vary have nulls.
+    """
     keys = list(keys)
-    many = points.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    b = F.lit(b_min) + F.col("_k") * F.lit((b_max - b_min) / (steps - 1))
-    many = many.withColumn("b", b).withColumn("_e", F.exp(-F.col("b") * F.col(x))).withColumn("_y", F.col(y).cast("double"))
-    fits = many.groupBy(*keys, "_k", "b").agg(
-        F.regr_slope("_y", "_e").alias("a"), F.regr_intercept("_y", "_e").alias("c"),
-        (F.regr_syy("_y", "_e") - F.regr_sxy("_y", "_e") * F.regr_sxy("_y", "_e") / F.regr_sxx("_y", "_e")).alias("sse"))
-    return fits.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "c", "sse"), F.struct(F.round("sse", 6), F.col("_k"))).alias("f")).select(
-        *keys, "f.*")
+    base = points.select(*keys, F.col(x).cast("double").alias("_x0"), F.col(y).cast("double").alias("_y"))
+    low, span = F.min("_x0").over(_whole(keys)), F.max("_x0").over(_whole(keys)) - F.min("_x0").over(_whole(keys))
+    base = cut_lineage(base.withColumns({"_low": low, "_span": span}).withColumn("_x", F.col("_x0") - F.col("_low")).drop("_x0"))
+    tried = base.withColumn("_b", F.explode(F.array(*[F.lit(s) for s in DECAY_START]))).withColumn("_b", F.try_divide("_b", "_span"))
+    start = _decay_moments(tried.where("_b is not null"), keys).where("_sse is not null")
+    best = start.groupBy(*keys).agg(F.min_by(F.struct("_a", "_b", "_c", "_sse", "_step"), F.struct("_sse", "_b")).alias("f")).select(*keys, "f.*")
+    state = cut_lineage(best.withColumn("_open", F.col("_step").isNotNull()))
+    while not (moving := state.where("_open")).isEmpty():
+        trial = moving.select(*keys, (F.col("_b") * F.exp("_step")).alias("_try"))
+        at = base.join(trial.withColumnRenamed("_try", "_b"), keys)
+        edge = (F.max("_span") * F.max("_b")).alias("_turns")
+        judged = _decay_moments(at, keys).join(at.groupBy(*keys).agg(edge), keys)
+        new = {c: F.col(c).alias(f"_new{c}") for c in ("_a", "_b", "_c", "_sse", "_step")}
+        j = state.join(judged.select(*keys, "_turns", *new.values()), keys, "left")
+        held = F.coalesce(F.col("_turns").between(DECAY_LEAST, DECAY_MOST), F.lit(False))
+        better = held & F.coalesce(F.col("_new_sse") <= F.col("_sse"), F.lit(False))
+        step = F.when(better, F.col("_new_step")).otherwise(F.col("_step") / 10)
+        state = cut_lineage(j.select(
+            *keys, *[F.when(F.col("_open") & better, F.col(f"_new{c}")).otherwise(F.col(c)).alias(c) for c in ("_a", "_b", "_c", "_sse")],
+            step.alias("_step"), (F.col("_open") & held & F.coalesce(F.abs(step) >= 1e-9, F.lit(False))).alias("_open")))
+    lows = base.groupBy(*keys).agg(F.max("_low").alias("_low"))
+    # a belongs to x = 0, the search to the least x
+    return lows.join(state, keys, "left").select(*keys, (F.col("_a") * F.exp(F.col("_b") * F.col("_low"))).alias("a"), F.col("_b").alias("b"),
+                                                 F.col("_c").alias("c"), F.col("_sse").alias("sse"))
 
 
 def smooth_thresholds(thr: DataFrame, keys, by: str = "z", col: str = "thr") -> DataFrame:

@@ -115,13 +115,25 @@ def _(t):
     return cv.poly_fit_purge(p, ["gene"])
 
 
-@query("exp_decay_fit", """with g as (select *, 0.01::double + k.range*(0.99::double/99) as b, k.range as kk from (select gene, z, thr/30 as x, n::double y from curve), range(100) k),
-    f as (select gene, z, b, kk, regr_slope(y,exp(-b*x)) a, regr_intercept(y,exp(-b*x)) c,
-      regr_syy(y,exp(-b*x))-regr_sxy(y,exp(-b*x))*regr_sxy(y,exp(-b*x))/regr_sxx(y,exp(-b*x)) sse from g group by all)
-    select gene, z, a, b, c from f qualify row_number() over (partition by gene, z order by round(sse,6), kk)=1""", d="a b c", i="z", digits=4)
-def _(t):
-    p = t.curve.withColumn("x", F.col("thr") / 30)
-    return cv.exp_decay_fit(p, K, "x", "n").drop("sse")
+DECAY_RATES = (0.001, 0.04, 0.5, 3.0)
+
+
+@query("exp_decay_fit", f"""with recursive rate as (select range as z, ([{', '.join(f'{r}::double' for r in DECAY_RATES)}])[range+1] as b0 from range(4)),
+    pts as (select gene, z, b0, thr/60/b0 as x, 3000*exp(-thr/60)+4000+(n%7)*0.02::double as y from curve join rate using (z)),
+    it as (select distinct gene, z, ln(b0/4) as lo, ln(b0*4) as hi, 0 as step from pts
+      union all
+      select gene, z, case when g>0 then lo else (lo+hi)/2 end, case when g>0 then (lo+hi)/2 else hi end, step+1
+      from (select gene, z, lo, hi, step, covar_pop(x*e,y)-covar_pop(y,e)/var_pop(e)*covar_pop(x*e,e) as g
+            from (select p.*, lo, hi, step, exp(-exp((lo+hi)/2)*x) as e from it join pts p using (gene, z) where step<60) group by all)),
+    found as (select gene, z, exp((lo+hi)/2) as b from it where step=60)
+    select gene, z, regr_slope(y,exp(-b*x)) as a, b, regr_intercept(y,exp(-b*x)) as c from pts join found using (gene, z) group by all""",
+       d="a b c", i="z", digits=4)
+def _(t):
+    """Decays of rates from 0.001 to 3 with a little of the curves on top; the SQL halves on the sign of the slope in b."""
+    rate = F.element_at(F.array(*[F.lit(r) for r in DECAY_RATES]), F.col("z") + 1)
+    p = t.curve.withColumn("x", F.col("thr") / 60 / rate)
+    p = p.withColumn("y", 3000 * F.exp(-F.col("thr") / 60) + 4000 + (F.col("n") % 7) * 0.02)
+    return cv.exp_decay_fit(p, K, "x", "y").drop("sse")
 
 
 @query("smooth_thresholds", """select gene, z, thr, avg(thr) over (partition by gene order by z rows between 1 preceding and 1 following) as smooth

@@ -207,6 +207,27 @@ def test_poly_fit_purge_drops_the_outlier(spark):
     assert [r["z"] for r in out.where("purged").collect()] == [11]
 
 
+def test_decay_rates_beyond_any_grid(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, (a, b, c) in enumerate([(3000, .001, 4000), (3000, 3.0, 4000), (-50, .2, 7), (1e6, 40.0, -3), (2, 1e-5, 0)]):
+        x = 5 + np.arange(40) * (0.1 / b)
+        rows += [(k, float(v), float(a * np.exp(-b * (v - 5)) + c)) for v in x]
+        want[k] = (a, b, c)
+    x = np.arange(30.0)
+    rows += [(10, float(v), float(8 * np.exp(-.3 * v) + 1 + e)) for v, e in zip(x, rng.normal(0, .2, 30))]  # noisy
+    rows += [(11, float(v), 2.0 * float(v)) for v in x] + [(12, 4.0, float(v)) for v in x] + [(13, float(v), 9.0) for v in x] + [(14, 1.0, 1.0)]
+    got = {r.k: r for r in cv.exp_decay_fit(spark.createDataFrame(rows, "k int, x double, y double"), ["k"], "x", "y").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+    for k, w in want.items():
+        assert np.allclose([got[k].a * np.exp(-5 * got[k].b), got[k].b, got[k].c], w, rtol=1e-6, atol=1e-5), k
+    r = got[10]
+    data = np.array([q[1:] for q in rows if q[0] == 10])
+    cost = lambda b: np.linalg.lstsq(np.c_[np.exp(-b * data[:, 0]), np.ones(30)], data[:, 1], rcond=None)[1][0]
+    assert abs(cost(r.b) - r.sse) < 1e-9 and all(cost(r.b * f) >= r.sse for f in (.9, .999, 1.001, 1.1))
+    assert got[11].sse < 1e-3 and got[12].b is None and got[14].b is None  # a line is the limit of slow decays
+
+
 def test_curvature_helpers():
     assert np.allclose(cv._rising(np.array([1.0, 3.0, 2.0, 5.0])), [1, 2.5, 2.5, 5])
     x = np.linspace(0, 1, 50)
