@@ -21,7 +21,7 @@ from cellgrid.session import cut_lineage
 #: genes to a side of a block of products, doubles of blocks that a task adds up, pairs of non-zeros formed at once
 GENE_BLOCK, HELD_DOUBLES, PAIRS = 2048, 16_000_000, 2_000_000
 #: doubles of subspaces or loadings that are sent to the tasks of one pass; more keys take more passes
-SENT_DOUBLES = 16_000_000
+SENT_DOUBLES = 4_000_000
 #: directions that a subspace holds beyond the components asked for
 SPARE = 64
 
@@ -230,8 +230,10 @@ class _Pass:
 
         out = [np.zeros(genes) for _ in known]
         part = self._dealt(1).mapInArrow(run, _SHAPE)
-        for r in part.groupBy("k", "i").agg(F.sum(F.col("row")[0]).alias("s")).toLocalIterator():
-            out[r.k][r.i] = r.s
+        got = part.groupBy("k", "i").agg(F.sum(F.col("row")[0]).alias("s")).toArrow()
+        k, i, s = (got[c].to_numpy() for c in ("k", "i", "s"))
+        for at, m in enumerate(out):
+            m[i[k == at]] = s[k == at]
         return out
 
     def multiplied(self, bases: list[np.ndarray], means: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -260,8 +262,11 @@ class _Pass:
         found = cut_lineage(self._dealt(max(b.shape[1] for b in bases)).mapInArrow(run, _SHAPE).withColumn("tree", F.spark_partition_id() % _TREES))
         w = [np.zeros(b.shape) for b in bases]
         entries = found.where("kind = 0").select("k", "i", F.posexplode("row").alias("j", "x")).groupBy("k", "i", "j").agg(F.sum("x").alias("x"))
-        for r in entries.toLocalIterator():
-            w[r.k][r.i, r.j] = r.x
+        got = entries.toArrow()  # SENT_DOUBLES at most
+        k, i, j, x = (got[c].to_numpy() for c in ("k", "i", "j", "x"))
+        for at, m in enumerate(w):
+            own = k == at
+            m[i[own], j[own]] = x[own]
 
         def stacked(table: pa.Table) -> pa.Table:
             m = np.linalg.qr(np.array(table["row"].to_pylist()), mode="r")
