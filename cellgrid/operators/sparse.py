@@ -304,8 +304,8 @@ def fit_components(cells: DataFrame, k: int = 50, keys=("split",), genes: int |
     ``cells`` holds dense rows ``vec`` or sparse rows ``indices`` and ``data`` (wide panels: a task then holds non-zeros
     and subspaces only). A subspace of k + ``SPARE`` directions, all of them where the panel has no more, is multiplied
     with the centred cells; a tall-skinny QR over the partitions gives its variances, the product what is missing from
-    it. The missing part joins the subspace until the covariance moves no component by more than ``tolerance`` of the
-    largest variance. As many keys share a pass as ``SENT_DOUBLES`` allow. As many components as cells or genes are
+    it. The next subspace is the product itself beside the components found, until the covariance moves no component
+    off itself by more than ``tolerance`` of the largest variance. As many keys share a pass as ``SENT_DOUBLES`` allow. As many components as cells or genes are
     one too many: the last is left out.
     """
     keys = list(keys)
@@ -341,7 +341,7 @@ def fit_components(cells: DataFrame, k: int = 50, keys=("split",), genes: int |
                 if (np.linalg.norm(missing[:, :wanted[at]], axis=0) <= tolerance * max(variance[0], 1e-300)).all():
                     done[at] = (variance[:wanted[at]], vectors[:, :wanted[at]].T)
                 else:
-                    bases[at] = np.linalg.qr(np.hstack([vectors[:, :k + SPARE], missing[:, :k]]))[0]
+                    bases[at] = np.linalg.qr(np.hstack([moved[:, :k + SPARE], vectors[:, :k]]))[0]
         made = []
         for at, key in enumerate(chosen):
             variance, load = done[at]
