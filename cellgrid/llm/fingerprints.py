@@ -1,19 +1,26 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
-A paragraph is a line. Its wide vector is the sum of the vectors of its pieces of up to
-eight words (so that an edit inside a long paragraph moves only its piece): 128 lanes, each
-0 or 1 by the bits of two 64-bit hashes. A document's fingerprint is the lane-wise sum over
-its paragraphs modulo 2^32, with the number of pieces modulo 2^32 in front. Sums commute,
-so equality ignores paragraph order, and a paragraph is inserted or deleted by adding or
-subtracting its vector (``insert`` and ``remove``). Read as signs, the lanes are an
-unbiased sketch of the overlap of two multisets, which gives ``likeness``.
+A paragraph is a line, taken whole; an empty text has none. Its vector is its 256-bit hash
+as eight lanes of 32 bits, and a one that counts it. A document's paragraph lanes are the
+lane-wise sums over its paragraphs modulo 2^32, so documents share them when their
+paragraphs are the same multiset, in whatever order.
 
-All on DataFrame functions: pieces are exploded and summed by one partial aggregation that
-leaves one row per document.
+For likeness the fingerprint also sums finer vectors: a paragraph's pieces of up to eight
+words (so that an edit inside a long paragraph moves only its piece), 128 lanes each, 0 or 1
+by the bits of two 64-bit hashes, modulo 2^32. Read as signs, these lanes are an unbiased
+sketch of the overlap of two multisets of pieces.
+
+A fingerprint is, in hex, the number of pieces, the piece lanes, the number of paragraphs and
+the paragraph lanes. All of it is a sum over paragraphs: one is inserted or deleted by adding
+or subtracting its vector (``insert`` and ``remove``).
+
+All on DataFrame functions: pieces and paragraphs are exploded and summed by one partial
+aggregation that leaves one row per document.
 
 Defined results: null text is empty and has the zero fingerprint; rows equal in id and text
 are one document in the order of ids, returned once per row; an id that is null comes last;
-ties of ids are ordered by a hash of the text; an empty table gives an empty table.
+ties of ids are ordered by a hash of the text; an empty table gives an empty table; a text of
+any length is one row until it is exploded, and its lanes are true sums below 2^32 parts.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ _PAIR = 0x0000000100000001
 _HALVES = 32
 _LANE = 0xFFFFFFFF
 LANES = 4 * _HALVES
+#: paragraph count and the eight lanes of a 256-bit hash
+WHOLE = 9
 
 
 def pieces(text: Column) -> Column:
@@ -39,18 +48,31 @@ def pieces(text: Column) -> Column:
 
 
 def _sums(rows: DataFrame, keys: list[str], text: str, along: tuple[str, ...] = ()) -> DataFrame:
-    """Piece count ``_n`` and lane sums ``_lanes`` (two to a bigint, as summed; ``_apart`` takes them apart) per key.
+    """Per key: piece count ``_n``, piece lanes ``_lanes`` (two to a bigint, as summed; ``_apart`` takes them apart), paragraph lanes ``_whole``.
 
     ``along`` names columns that depend on the key and are handed on.
     """
-    each = rows.select(*keys, *along, F.explode_outer(pieces(F.col(text))).alias("_p"))
-    real = F.col("_p").isNotNull()
-    each = each.select(*keys, *along, real.cast("long").alias("_is"), F.when(real, F.xxhash64("_p")).otherwise(F.lit(0)).alias("_a"),
-                       F.when(real, F.xxhash64("_p", F.lit(1))).otherwise(F.lit(0)).alias("_b"))
+    held = [*keys, *along]
+    lines = F.split(F.col(text), "\n")
+    each = rows.select(*held, (F.col(text) != "").alias("_some"), F.posexplode(F.array(pieces(F.col(text)), lines)).alias("_kind", "_all"))
+    each = each.select(*held, "_some", "_kind", F.explode("_all").alias("_p"))
+    piece, line = F.col("_kind") == 0, (F.col("_kind") == 1) & F.col("_some")
+    each = each.select(*held, piece.cast("long").alias("_is"), line.cast("long").alias("_line"),
+                       F.when(piece, F.xxhash64("_p")).otherwise(F.lit(0)).alias("_a"),
+                       F.when(piece, F.xxhash64(F.lit(1), "_p")).otherwise(F.lit(0)).alias("_b"),
+                       F.when(line, F.sha2("_p", 256)).alias("_sha_p"))
+    digits = [F.conv(F.substring("_sha_p", 8 * i + 1, 8), 16, 10).cast("long") for i in range(WHOLE - 1)]
     sums = each.groupBy(*keys).agg(F.sum("_is").alias("_n"), *[F.first(c).alias(c) for c in along], *[
-        F.sum(F.shiftright(F.col(h), i).bitwiseAND(F.lit(_PAIR))).alias(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)])
+        F.sum(F.shiftright(F.col(h), i).bitwiseAND(F.lit(_PAIR))).alias(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)],
+        F.sum("_line").alias("_w0"), *[F.coalesce(F.sum(d), F.lit(0)).alias(f"_w{i + 1}") for i, d in enumerate(digits)])
     cells = [F.col(f"{h}{i}") for h in ("_a", "_b") for i in range(_HALVES)]
-    return sums.select(*keys, *along, "_n", F.array(*cells).alias("_lanes"))
+    whole = F.unhex(F.concat(*[_digits(F.col(f"_w{i}")) for i in range(WHOLE)]))
+    return sums.select(*keys, *along, "_n", F.array(*cells).alias("_lanes"), whole.alias("_whole"))
+
+
+def _digits(x: Column) -> Column:
+    """8 hex digits of ``x`` modulo 2^32."""
+    return F.lpad(F.hex(x.bitwiseAND(F.lit(_LANE))), 8, "0")
 
 
 def _apart(cells: Column) -> Column:
@@ -59,38 +81,42 @@ def _apart(cells: Column) -> Column:
                     F.transform(cells, lambda c: F.shiftrightunsigned(c, 32)))
 
 
-def _text_form(n: Column, lanes: Column) -> Column:
-    """8 hex digits of the count, then 8 for each lane."""
-    return F.lower(F.concat(F.lpad(F.hex(n.bitwiseAND(F.lit(_LANE))), 8, "0"),
-                            F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), "")))
+def _text_form(n: Column, lanes: Column, whole: Column) -> Column:
+    """8 hex digits of the piece count, 8 for each piece lane, then the paragraph lanes' bytes."""
+    return F.lower(F.concat(_digits(n), F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.hex(whole)))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint``: one row per distinct (id, text)."""
     rows = keyed(docs, doc_id, text).dropDuplicates(["_id", "_th"])
     sums = _sums(rows, ["_id", "_th", "_doc"], "_text")
-    return sums.select(F.col("_doc").alias(doc_id), _text_form(F.col("_n"), _apart(F.col("_lanes"))).alias("fingerprint"))
+    return sums.select(F.col("_doc").alias(doc_id), _text_form(F.col("_n"), _apart(F.col("_lanes")), F.col("_whole")).alias("fingerprint"))
 
 
-def _numbers(fp: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)),
-                       lambda i: F.conv(F.substring(fp, i * 8 + 9, F.lit(8)), 16, 10).cast("long"))
+def _numbers(fp: Column, first: int = 1, size: int = LANES) -> Column:
+    return F.transform(F.sequence(F.lit(first), F.lit(first + size - 1)),
+                       lambda i: F.conv(F.substring(fp, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
 
 
 def _count(fp: Column) -> Column:
     return F.conv(F.substring(fp, 1, 8), 16, 10).cast("long")
 
 
+def _combined(fp: Column, part: Column, sign: int) -> Column:
+    """All numbers of two fingerprints added, ``sign`` times the second, modulo 2^32."""
+    size = 1 + LANES + WHOLE
+    return F.lower(F.array_join(F.transform(F.zip_with(
+        _numbers(fp, 0, size), _numbers(part, 0, size), lambda a, b: a + sign * b), _digits), ""))
+
+
 def insert(fp: Column, part: Column) -> Column:
     """Fingerprint of the document with the paragraphs of ``part`` added."""
-    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a + b).bitwiseAND(F.lit(_LANE)))
-    return _text_form(_count(fp) + _count(part), lanes)
+    return _combined(fp, part, 1)
 
 
 def remove(fp: Column, part: Column) -> Column:
     """Fingerprint of the document with the paragraphs of ``part`` taken out."""
-    lanes = F.zip_with(_numbers(fp), _numbers(part), lambda a, b: (a - b).bitwiseAND(F.lit(_LANE)))
-    return _text_form(_count(fp) - _count(part), lanes)
+    return _combined(fp, part, -1)
 
 
 def _signs(lanes: Column, n: Column) -> Column:
@@ -98,7 +124,7 @@ def _signs(lanes: Column, n: Column) -> Column:
 
 
 def likeness_of(lanes_a: Column, n_a: Column, lanes_b: Column, n_b: Column) -> Column:
-    """Estimated share of common pieces, 0 to 1; 1 exactly when count and lanes agree.
+    """Estimated share of common pieces, 0 to 1; 1 when piece count and piece lanes agree.
 
     The mean product of two signed lanes estimates the inner product of the piece counts;
     dividing by the larger squared norm bounds it. Lanes are true sums up to 2^32 pieces,
@@ -164,11 +190,11 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     sums = _sums(forms.select(*key, *along, "_sha", "_f.*"), [*key, "_sha", "_form"], "_text", along)
 
     def of(form: int) -> Column:
-        return F.max(F.when(F.col("_form") == form, F.struct("_n", "_lanes")))
+        return F.max(F.when(F.col("_form") == form, F.struct("_n", "_lanes", "_whole")))
 
     marks = cut_lineage(sums.groupBy(*key, "_sha").agg(
         *[F.first(c).alias(c) for c in along], of(0).alias("_own"), of(1).alias("_edit")))
-    after = marks.select(F.col("_id").alias("_next_id"), F.col("_th").alias("_next_th"), F.col("_own").alias("_after"))
+    after = marks.select(F.col("_id").alias("_next_id"), F.col("_th").alias("_next_th"), F.struct("_own._n", "_own._lanes").alias("_after"))
     out = marks.join(after, ["_next_id", "_next_th"])
 
     def like(a: str, b: str) -> Column:
@@ -176,7 +202,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     shown = out.select(
         F.col("_doc").alias(doc_id), F.col("_chars").cast("long").alias("n_chars"), F.col("_sha").alias("edited_sha256"),
-        _text_form(F.col("_own._n"), _apart(F.col("_own._lanes"))).alias("fingerprint"),
-        _text_form(F.col("_edit._n"), _apart(F.col("_edit._lanes"))).alias("edited_fingerprint"),
+        _text_form(F.col("_own._n"), _apart(F.col("_own._lanes")), F.col("_own._whole")).alias("fingerprint"),
+        _text_form(F.col("_edit._n"), _apart(F.col("_edit._lanes")), F.col("_edit._whole")).alias("edited_fingerprint"),
         like("_own", "_edit").alias("near_edited"), like("_own", "_after").alias("near_next"), "_copies")
     return shown.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from cellgrid.llm import (
@@ -372,3 +373,47 @@ def test_likeness_of_texts_with_very_many_pieces(spark):
     one = spark.createDataFrame([(prints[6], prints[1], prints[3], prints[4])], "a string, b string, c string, d string")
     r = one.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("alike"), fingerprints.likeness(F.col("c"), F.col("d")).alias("apart")).first()
     assert 0.99 < r.alike < 1 and r.apart < 0.5
+
+
+def plain_fingerprint(text):
+    """(piece count, piece lanes, paragraph lanes) by loops."""
+    mask, seed = 2**32 - 1, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    n, lanes, whole = 0, [0] * fingerprints.LANES, [0] * fingerprints.WHOLE
+    for line in text.split("\n") if text else []:
+        digest = hashlib.sha256(line.encode()).hexdigest()
+        whole = [(w + x) & mask for w, x in zip(whole, [1] + [int(digest[i:i + 8], 16) for i in range(0, 64, 8)])]
+        words = [m.group() for m in re.finditer(fingerprints.PIECE, line)]
+        for piece in words:
+            a, b = (xxhash.xxh64_intdigest(piece.encode(), x) for x in (42, seed))
+            bits = [h >> i & 1 for low in (0, 32) for h in (a, b) for i in range(low, low + 32)]
+            n, lanes = n + 1, [(x + y) & mask for x, y in zip(lanes, bits)]
+    return n, lanes, whole
+
+
+def plain_likeness(a, b):
+    if a[:2] == b[:2]:
+        return 1.0
+    signs = [[2 * x - n for x in lanes] for n, lanes, _ in (a, b)]
+    dots = [sum(x * y for x, y in zip(signs[i], signs[j])) for i, j in ((0, 0), (1, 1), (0, 1))]
+    return min(1.0, max(0.0, dots[2] / max(dots[:2]))) if max(dots[:2]) else 0.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    """All seven columns, over texts with nulls, blank and repeated lines, and wide characters."""
+    half, other, long = "a b c d e f g h", "i j k l m n o p", " ".join(f"w{i * i % 97}" for i in range(300))
+    texts = [f"{half} {other}", f"{other}\n{half}", f"{half}\n\n{other}", f"{half}\n{other}", None, "", "\n", "é" * 50 + "\n\u4e2d\u6587 \U0001f600",
+             "same\nsame\nother", "same\nother", "  spaced \t line \r", long.replace("3 w", "3\nw"), long]
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    shown = lambda f: "".join(f"{x:08x}" for x in (f[0], *f[1], *f[2]))
+    assert len(got) == len(rows)
+    for i, text in rows:
+        text, after = text or "", texts[i - 2] or ""
+        edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+        own, edit, follower = (plain_fingerprint(x) for x in (text, edited, after))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(edit))
+        assert (r.near_edited, r.near_next) == (plain_likeness(own, edit), plain_likeness(own, follower))
+    assert len({got[i].fingerprint for i in (1, 2, 3)}) == 3 and got[2].fingerprint == got[4].fingerprint
+    assert len({r.fingerprint for r in got.values()}) == len(texts) - 2  # null and empty agree, and so do the swapped lines
