@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellgrid.session import cut_lineage
+
 
 def bucketed_row_number(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
     """1-based row number of each row within ``keys`` ordered by ``order``.
@@ -30,6 +32,28 @@ def hash_row_number(df: DataFrame, keys: list[str], hashed: Column, tie: list, n
                                F.shiftright(F.col("_h"), 20), name).drop("_h")
 
 
+def range_row_number(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """1-based row number within ``keys`` ordered by ``order``, for values of any spread.
+
+    Rows are dealt by ranges of (keys, order), so a large group spans many parts; they are
+    written once, which fixes the part numbers, and part sizes are prefix-summed.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    return bucketed_row_number(dealt, keys, order, F.col("_part"), name).drop("_part")
+
+
+def overlapping_blocks(df: DataFrame, keys: list[str], order: list, halo: int, size: int = 4096) -> DataFrame:
+    """Rows in blocks of ``size`` consecutive ranks, with the ``halo`` rows before and after each block.
+
+    Adds ``_block`` and ``_core`` (false for the repeated rows): a window over (keys, _block)
+    sees all rows within ``halo`` ranks of a core row and never a whole group.
+    """
+    rank = F.col("_rank") - 1
+    spread = F.sequence(F.greatest(F.floor((rank - halo) / size), F.lit(0)), F.floor((rank + halo) / size))
+    return (range_row_number(df, keys, order, "_rank").withColumn("_block", F.explode(spread))
+            .withColumn("_core", F.col("_block") == F.floor(rank / size)).drop("_rank"))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float],
                       accuracy: int = 10000, rule: str = "linear") -> DataFrame:
     """Exact linear-interpolated percentiles per group, one column per entry of ``ps``.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellgrid.functions.exprs import PIXEL_UM
-from cellgrid.functions.ranking import exact_percentiles
+from cellgrid.functions.ranking import exact_percentiles, overlapping_blocks
 from cellgrid.operators import sparse
 from cellgrid.schema import SchemaMismatch
 from cellgrid.session import cut_lineage
@@ -172,47 +173,51 @@ def pc_clip_scale(pcs: DataFrame, lo: float = 10, hi: float = 90, comp: str = "c
 
 # ---- binning and gene scores ----------------------------------------------------------------------
 
-def _outlier_factors(values: np.ndarray, counts: np.ndarray, k: int = 20) -> np.ndarray:
-    """1-D local outlier factor of sorted distinct values with multiplicities."""
-    m = len(values)
-    k = int(min(k, counts.sum() - 1))
-    if k < 1:
-        return np.ones(m)
-    offs = np.arange(-k, k + 1)
-    idx = np.arange(m)[:, None] + offs[None, :]
-    ok = (idx >= 0) & (idx < m)
-    idx = np.clip(idx, 0, m - 1)
-    dist = np.where(ok, np.abs(values[idx] - values[:, None]), np.inf)
-    mult = np.where(ok, counts[idx] - (offs == 0), 0)
-    order = np.argsort(dist, axis=1, kind="stable")
-    idx, dist, mult = (np.take_along_axis(a, order, 1) for a in (idx, dist, mult))
-    before = np.cumsum(mult, axis=1) - mult
-    take = np.clip(k - before, 0, mult)
-    last = np.argmax(before + take >= k, axis=1)
-    kdist = dist[np.arange(m), last]
-    reach = np.where(take > 0, np.maximum(kdist[idx], np.where(np.isinf(dist), 0, dist)), 0)
-    density = 1.0 / ((reach * take).sum(1) / k + 1e-10)
-    return (density[idx] * take).sum(1) / k / density
+def outlier_factors(counts: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+    """counts(gene, value, c) plus ``factor``, the local outlier factor of the gene's cells with that value.
+
+    A cell's k nearest others lie within k distinct values on either side, with their
+    counts; of equally near values the lower comes first. Distances to the k-th, densities
+    and factors are three windows over overlapping blocks of ranked values, so a gene may
+    have any number of values. A gene of one cell has the factor 1.
+    """
+    totals = counts.groupBy("gene").agg(F.least(F.sum("c") - 1, F.lit(k)).alias("_k"))
+    rows = overlapping_blocks(counts.select("gene", "value", "c").join(totals, "gene"), ["gene"], [F.col("value")], 3 * k, block)
+    around = Window.partitionBy("gene", "_block").orderBy("value").rowsBetween(-k, k)
+
+    def over_nearest(start: Column, step: Callable[[Column, Column, Column], Column], *more: str) -> Column:
+        """Folds ``step(sum, neighbour, taken)`` over the neighbours, nearest first, while cells are wanted."""
+        near = F.transform(F.collect_list(F.struct("value", "c", *more)).over(around), lambda x: F.struct(
+            F.abs(x["value"] - F.col("value")).alias("dist"), x["value"].alias("value"),
+            (x["c"] - (x["value"] == F.col("value")).cast("long")).alias("mult"), *[x[m].alias(m) for m in more]))
+
+        def add(a: Column, x: Column) -> Column:
+            taken = F.greatest(F.lit(0), F.least(x["mult"], F.col("_k") - a["seen"]))
+            return F.struct((a["seen"] + taken).alias("seen"), F.when(taken > 0, step(a["sum"], x, taken)).otherwise(a["sum"]).alias("sum"))
+
+        return F.aggregate(F.array_sort(near), F.struct(F.lit(0).cast("long").alias("seen"), start.alias("sum")), add)["sum"]
+
+    far = rows.withColumn("_far", over_nearest(F.lit(0.0), lambda s, x, taken: x["dist"]))
+    reach = over_nearest(F.lit(0.0), lambda s, x, taken: s + taken * F.greatest(x["_far"], x["dist"]), "_far")
+    dense = far.withColumn("_density", 1.0 / (F.coalesce(F.try_divide(reach, F.col("_k")), F.lit(0.0)) + 1e-10))
+    beside = over_nearest(F.lit(0.0), lambda s, x, taken: s + taken * x["_density"], "_density")
+    judged = dense.withColumn("factor", F.coalesce(F.try_divide(beside, F.col("_k")) / F.col("_density"), F.lit(1.0)))
+    return judged.where("_core").select("gene", "value", "c", "factor")
 
 
 def bin_gene(expr: DataFrame, bins: int = 10, thresh: float | None = 2.0) -> DataFrame:
     """Replace values by rounded midpoints of equal-width bins over the non-outliers.
 
-    Outlier factors are computed on each gene's distinct values with their counts (count
-    data: at most 65536 of them), never on the cells. ``thresh=None`` keeps every value.
+    Outlier factors are computed on each gene's distinct values with their counts, never on
+    the cells. ``thresh=None`` keeps every value.
     """
     counts = expr.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("c"))
     if thresh is None:
         judged = counts.withColumn("outlier", F.lit(False))
     else:
-        def lof(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("value").reset_index(drop=True)
-            f = _outlier_factors(pdf["value"].to_numpy(float), pdf["c"].to_numpy())
-            return pdf.assign(outlier=f > thresh)
-        judged = counts.groupBy("gene").applyInPandas(lof, "gene string, value double, c bigint, outlier boolean")
+        judged = cut_lineage(outlier_factors(counts).withColumn("outlier", F.col("factor") > thresh).drop("factor"))
     keep = F.when(~F.col("outlier"), F.col("value"))
-    w = Window.partitionBy("gene")
-    j = judged.withColumn("_lo", F.min(keep).over(w)).withColumn("_hi", F.max(keep).over(w))
+    j = judged.join(judged.groupBy("gene").agg(F.min(keep).alias("_lo"), F.max(keep).alias("_hi")), "gene")
     step = (F.col("_hi") - F.col("_lo")) / float(bins)
 
     def middle(k: Column) -> Column:

@@ -189,15 +189,35 @@ def _(t):
     return ex.merge_corr_blocks(r, block)
 
 
-@query("bin_gene", None, d="value binned")
+#: nearest cells of each distinct value: pairs within 20 ranks, counts taken nearest first, then the factor's three sums
+FACTOR = """c as (select gene, value, count(*) c from expr group by 1, 2),
+    r as (select *, row_number() over (partition by gene order by value) r, least(20, sum(c) over (partition by gene)-1) k from c),
+    p as (select a.gene, a.r, a.k, b.r s, b.value v, abs(b.value-a.value) dist, b.c-(a.r=b.r)::int mult from r a join r b on a.gene=b.gene and b.r between a.r-20 and a.r+20),
+    t as (select *, greatest(0, least(mult, k-coalesce(sum(mult) over (partition by gene, r order by dist, v rows between unbounded preceding and 1 preceding), 0))) n from p),
+    f as (select gene, r, max(dist) filter (where n>0) far from t group by 1, 2),
+    d as (select t.gene, t.r, 1/(coalesce(sum(n*greatest(f.far, dist))/nullif(max(k),0),0)+1e-10::double) dens from t join f on t.gene=f.gene and t.s=f.r and n>0 group by 1, 2),
+    o as (select t.gene, t.r, sum(n*b.dens)/max(k)/max(a.dens)>2 outlier from t join d b on t.gene=b.gene and t.s=b.r join d a on t.gene=a.gene and t.r=a.r where n>0 group by 1, 2),
+    j as (select gene, value, coalesce(outlier, false) outlier from r left join o using (gene, r)),
+    l as (select gene, min(value) filter (where not outlier) lo, max(value) filter (where not outlier) hi from j group by 1)"""
+
+
+def middle(k: str) -> str:
+    return f"round_even(round((case when {k}=0 then lo-(hi-lo)*0.001::double else lo+{k}*((hi-lo)/10) end + lo+({k}+1)*((hi-lo)/10))/2,9),0)"
+
+
+CODE = "coalesce(greatest(ceil(round((value-lo)/nullif((hi-lo)/10,0),9))-1,0),0)"
+
+
+@query("bin_gene", f"""with {FACTOR},
+    m as (select gene, value, outlier, case when not outlier then {middle(CODE)} else
+        (select min({{'d': abs({middle('x.k')}-value), 'k': x.k, 'm': {middle('x.k')}}}).m from (select unnest(range(10)) k) x) end as binned from j join l using (gene))
+    select cell_id, gene, value, outlier, binned from expr join m using (gene, value)""", d="value binned")
 def _(t):
     return ex.bin_gene(t.expr)
 
 
-@query("bin_gene_equal_width", """with l as (select gene, min(value) lo, max(value) hi from expr group by 1),
-    k as (select cell_id, gene, value, lo, hi, greatest(ceil(round((value-lo)/((hi-lo)/10),9))-1,0) k from expr join l using (gene))
-    select cell_id, gene, value, round_even(round((case when k=0 then lo-(hi-lo)*0.001::double else lo+k*((hi-lo)/10) end + lo+(k+1)*((hi-lo)/10))/2,9),0) as binned from k""",
-       d="value binned")
+@query("bin_gene_equal_width", f"""with l as (select gene, min(value) lo, max(value) hi from expr group by 1)
+    select cell_id, gene, value, {middle(CODE)} as binned from expr join l using (gene)""", d="value binned")
 def _(t):
     return ex.bin_gene(t.expr, thresh=None).drop("outlier")
 

@@ -141,12 +141,26 @@ def test_knn_paths_agree_with_brute_force(spark):
             assert all(want[t["query_id"]][t["rank"] - 1][1] == t["ref_id"] for t in got), (metric, how)
 
 
-def test_outlier_factor_brute_force():
+def test_outlier_factor_brute_force(spark):
+    """Cell by cell, over genes with repeated values, few cells and many blocks."""
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.integers(0, 30, 200), [500]]).astype(float)
-    v, c = np.unique(x, return_counts=True)
-    f = ex._outlier_factors(v, c)
-    assert f[-1] > 2 and np.median(f) < 1.5
+    genes = {"a": [*rng.integers(0, 90, 200).astype(float).tolist(), 500.0], "b": rng.normal(0, 1, 150).round(3).tolist(), "c": [1.0, 2.0, 9.0], "d": [4.0], "e": [0.0] * 40}
+    rows = [(g, v, xs.count(v)) for g, xs in genes.items() for v in sorted(set(xs))]
+    got = {(r["gene"], r["value"]): r["factor"] for r in ex.outlier_factors(
+        spark.createDataFrame(rows, "gene string, value double, c long"), block=7).collect()}
+    assert len(got) == len(rows)
+    for g, xs in genes.items():
+        k = min(20, len(xs) - 1)
+        near = [sorted((abs(y - x), y, j) for j, y in enumerate(xs) if j != i)[:k] for i, x in enumerate(xs)]
+        density = [1 / (sum(max(d, near[j][-1][0]) for d, _, j in ns) / k + 1e-10) if k else 1 for ns in near]
+        for i, x in enumerate(xs):
+            want = sum(density[j] for _, _, j in near[i]) / k / density[i] if k else 1.0
+            assert got[g, x] == pytest.approx(want, rel=1e-9)
+    assert got["a", 500.0] > 2
+
+
+def test_bin_gene_without_rows(spark):
+    assert ex.bin_gene(spark.createDataFrame([], "cell_id long, gene string, value double")).count() == 0
 
 
 def test_partial_pointbiserial_golden(spark):
