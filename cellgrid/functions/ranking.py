@@ -42,6 +42,19 @@ def range_row_number(df: DataFrame, keys: list[str], order: list, name: str) ->
     return bucketed_row_number(dealt, keys, order, F.col("_part"), name).drop("_part")
 
 
+def range_running_sum(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to and including this one in ``order``.
+
+    Rows are dealt by ranges of the order and written once; each part's sum is carried
+    to the parts after it, so the only window without a key has one row per part.
+    """
+    dealt = cut_lineage(df.withColumn(name, value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.sum(name).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(starts, "_part").withColumn(name, F.sum(name).over(inside) + F.col("_start")).drop("_part", "_start")
+
+
 def overlapping_blocks(df: DataFrame, keys: list[str], order: list, halo: int, size: int = 4096) -> DataFrame:
     """Rows in blocks of ``size`` consecutive ranks, with the ``halo`` rows before and after each block.
 

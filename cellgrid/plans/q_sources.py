@@ -186,9 +186,27 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("sink_split_by_size", """with r as (select vec_id, row_number() over (order by vec_id) rn, count(*) over () n from embeddings)
-    select least((rn-1)//(n//7), 6) as part, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id from r group by 1""", i="part n first_id last_id")
+#: limits that cut the small tables, too
+ROWS_LIMIT, TEXT_LIMIT = 1000, 1 << 18
+
+
+@query("sink_split_by_size", f"""with b as (select vec_id, 8 + if(label is null, 0, 4) as w from embeddings),
+    r as (select vec_id, row_number() over (order by vec_id) rn, count(*) over () n, ceil(sum(w) over ()/{ROWS_LIMIT})::bigint k from b)
+    select least((rn-1)//(n//k), k-1) as part, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id from r group by 1""", i="part n first_id last_id")
 def _(t):
     path = sk.scratch_path(t.spark, "split")
-    sk.sink_split_by_size(t.embeddings.select("vec_id", "label"), "vec_id", 7 * 2147483648 - 5, 2147483648, path)
+    sk.sink_split_by_size(t.embeddings.select("vec_id", "label"), "vec_id", ROWS_LIMIT, path)
     return t.spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+
+
+@query("sink_split_by_bytes", f"""with b as (select doc_id, 8 + coalesce(strlen(lang), 0) + coalesce(strlen(text), 0) as w from documents),
+    s as (select doc_id, w, sum(w) over (order by doc_id rows unbounded preceding) upto, max(w) over () top from b)
+    select greatest((upto-1)//({TEXT_LIMIT}-top), 0) as part, count(*) as n, sum(w) as bytes, min(doc_id) as first_id, max(doc_id) as last_id
+    from s group by 1""", i="part n bytes first_id last_id")
+def _(t):
+    """Parts of texts of any length, none over the limit."""
+    path = sk.scratch_path(t.spark, "split")
+    sk.sink_split_by_bytes(t.documents.select("doc_id", "lang", "text"), "doc_id", TEXT_LIMIT, path)
+    back = t.spark.read.parquet(path)
+    return back.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(sk.row_bytes(back.drop("part"))).alias("bytes"),
+                                    F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

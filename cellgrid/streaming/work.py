@@ -34,35 +34,35 @@ def skipped_work_report(work_log: DataFrame) -> DataFrame:
     return w.select("path", "operation", reason.alias("reason"))
 
 
-def incremental_cells(stream: DataFrame, table_path: str, checkpoint: str, key: str = "cell_id", by: str = "type"):
+#: state kept on disk beside the checkpoint, not on the executors' heaps
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def incremental_cells(stream: DataFrame, table_path: str, checkpoint: str, key: str = "cell_id",
+                      time: str | None = None, delay: str = "7 days"):
     """Pick up new per-section files once and keep each cell once.
 
-    Every micro-batch drops cells already stored and appends the rest as its own batch
-    folder, written in overwrite mode so that a replayed batch replaces itself. Returns the
-    finished query; read totals with ``incremental_totals``.
+    Seen keys are state, dealt by key hash and kept in the checkpoint; a batch looks up its
+    own keys and never reads the table again, so its cost does not grow with the table. With
+    an event-time column ``time`` keys are forgotten ``delay`` after the watermark passes
+    them, which bounds the state; rows that come later than that, or carry a time before 1970, are
+    dropped as late, so leave ``time`` out where every row counts. The file sink records each batch
+    once, also when it is replayed. Null keys are one key. Returns the finished query; read totals
+    with ``incremental_totals``.
     """
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        earlier = _stored(spark, table_path, batch_id)
-        if earlier is not None:
-            fresh = fresh.join(earlier.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    once = stream.dropDuplicates([key]) if time is None else stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        q = (once.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        conf.set(STATE_STORE, before)
     return q
 
 
-def _stored(spark, table_path: str, before: int | None = None):
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table_path)
-    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-        return None
-    df = spark.read.parquet(table_path)
-    return df if before is None else df.where(F.col("batch") < before)
-
-
 def incremental_totals(spark, table_path: str, by: str = "type") -> DataFrame:
     return spark.read.parquet(table_path).groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,8 @@ from cellgrid.functions.exprs import hash32
 from cellgrid.operators import classify as cl, curves as cv, expression as ex, geometry as g, neighbours as nb
 from cellgrid.operators import sampling as sa, spots as sp, tiles, voxels as vx
 from cellgrid.schema import SchemaMismatch
-from cellgrid.sources import scans as sc
+from cellgrid.sources import scans as sc, sinks as sk
+from cellgrid.streaming import work as wk
 
 
 def test_exact_percentiles_beyond_sketch_accuracy(spark):
@@ -159,6 +160,35 @@ def test_outlier_factor_brute_force(spark):
     assert got["a", 500.0] > 2
 
 
+def test_parts_keep_to_the_limit(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "x" * int(n), None if i % 7 else [1.0, 2.0]) for i, n in enumerate(rng.integers(0, 400, 500))]
+    df = spark.createDataFrame(rows, "id long, text string, v array<double>").repartition(6)
+    bytes_of = {i: 8 + len(x) + 8 * len(v or []) for i, x, v in rows}
+    got = sorted((r["id"], r["part"]) for r in sk.split_by_bytes(df, "id", 1000).collect())
+    sizes = {}
+    for i, part in got:
+        sizes[part] = sizes.get(part, 0) + bytes_of[i]
+    assert [i for i, _ in got] == list(range(500)) and [p for _, p in got] == sorted(p for _, p in got)
+    assert max(sizes.values()) <= 1000 and len(sizes) <= 2 * sum(bytes_of.values()) / 1000
+    with pytest.raises(SchemaMismatch):
+        sk.split_by_bytes(df, "id", 500)
+    assert sk.split_by_bytes(df.limit(0), "id", 500).count() == sk.split_by_size(df.limit(0), "id", 500).count() == 0
+
+
+def test_batches_read_new_rows_only(spark, tmp_path):
+    """Four deliveries, each repeating the one before it: a batch reads its own files, and each cell is kept once."""
+    schema, root = "cell_id long, type string, at timestamp", str(tmp_path / "in")
+    for name, more in (("all", {}), ("timed", {"time": "at"})):
+        for d in range(4):
+            spark.range(max(0, 100 * d - 100), 100 * d + 100).selectExpr("id as cell_id", "if(id % 2 = 0, 'a', 'b') as type", "timestamp_seconds(1600000000 + id) as at").write.mode(
+                "append").parquet(f"{root}-{name}")
+            q = wk.incremental_cells(spark.readStream.schema(schema).parquet(f"{root}-{name}"), str(tmp_path / f"table-{name}"), str(tmp_path / f"ckpt-{name}"), **more)
+            read = sum(p["numInputRows"] for p in q.recentProgress)
+            assert read == (100 if d == 0 else 200)
+        assert {r["type"]: r["n"] for r in wk.incremental_totals(spark, str(tmp_path / f"table-{name}")).collect()} == {"a": 200, "b": 200}
+
+
 def test_bin_gene_without_rows(spark):
     assert ex.bin_gene(spark.createDataFrame([], "cell_id long, gene string, value double")).count() == 0
 
