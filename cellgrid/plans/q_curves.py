@@ -150,7 +150,26 @@ def _(t):
     return cv.curve_knee(t.curve, K)
 
 
-@query("curve_curvature", None, d="thr n slope kappa", i="z")
+#: least squares rising sequence as the largest least mean, then cubic fits of 35 points by polynomials orthogonal on the window
+CURVATURE = """ci as (select *, row_number() over w - 1 as i, count(*) over (partition by gene, z) as cnt from curve window w as (partition by gene, z order by thr)),
+gr as (select *, case when i=0 then lead(n) over w - n when i=cnt-1 then n - lag(n) over w else (lead(n) over w - lag(n) over w)/2.0 end::double as g
+  from ci window w as (partition by gene, z order by thr)),
+su as (select *, sum(g) over (partition by gene, z order by thr rows unbounded preceding) as s from gr),
+ab as (select a.gene, a.z, a.i as a, b.i as i, (b.s-a.s+a.g)/(b.i-a.i+1) as m from su a join su b on a.gene=b.gene and a.z=b.z and b.i>=a.i),
+lm as (select *, min(m) over (partition by gene, z, a order by i desc rows unbounded preceding) as least_mean from ab),
+up as (select gene, z, i, max(least_mean) as v from lm group by all),
+ed as (select *, greatest(0, least(i-17, cnt-35)) as lo, least(cnt, greatest(0, least(i-17, cnt-35))+35) - greatest(0, least(i-17, cnt-35)) as m from ci),
+wi as (select e.gene, e.z, e.i, e.thr, e.n, e.cnt, m::double as m, u.v, u.i-lo-(m-1)/2.0::double as c, e.i-lo-(m-1)/2.0::double as c0
+  from ed e join up u on e.gene=u.gene and e.z=u.z and u.i>=lo and u.i<lo+m),
+po as (select *, c*c-(m*m-1)/12 as q, c0*c0-(m*m-1)/12 as q0, c*c*c-c*(3*m*m-7)/20 as k, c0*c0*c0-c0*(3*m*m-7)/20 as k0 from wi),
+sl as (select gene, z, i, po.thr::double as thr, n, cnt, case when max(cnt)<5 then 0 else
+  avg(v) + sum(v*c)*max(c0)/sum(c*c) + sum(v*q)*max(q0)/sum(q*q) + sum(v*k)*max(k0)/sum(k*k) end as slope from po group by gene, z, i, po.thr, n, cnt),
+st as (select *, thr-lag(thr) over w as hs, lead(thr) over w-thr as hd, lag(slope) over w as f0, lead(slope) over w as f2 from sl window w as (partition by gene, z order by i)),
+be as (select *, case when hs is null then (f2-slope)/hd when hd is null then (slope-f0)/hs else (hs*hs*f2+(hd*hd-hs*hs)*slope-hd*hd*f0)/(hs*hd*(hs+hd)) end as bend from st)"""
+
+
+@query("curve_curvature", f"""with {CURVATURE} select gene, z, thr, n, slope, case when cnt<5 then 0 else abs(bend)/pow(1+slope*slope, 1.5) end as kappa from be""",
+       d="thr n slope kappa", i="z")
 def _(t):
     return cv.curve_curvature(t.curve, K)
 
