@@ -142,7 +142,18 @@ def _(t):
     return scores.select("cell_id", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x).alias("length"))
 
 
-@query("partial_corr_matrix", None, d="r")
+#: the inverse by sweeping one gene after the other: after all of them the matrix is minus the inverse
+SWEEP = f"""with recursive e as (select cell_id, gene, value, dense_rank() over (order by gene) as g from expr where gene in ({','.join(f"'{g}'" for g in PANEL)})),
+    co as (select a.g as i, b.g as j, corr(a.value, b.value) as v from e a join e b using (cell_id) group by 1, 2),
+    sw as (select 0::bigint as step, i, j, v from co union all
+      select step+1, i, j, case when i=k and j=k then -1/p when i=k or j=k then v/p else v-vik*vkj/p end from (
+        select x.step, x.i, x.j, x.v, x.step+1 as k, r.v as vik, c.v as vkj, d.v as p from sw x
+        join sw r on r.i=x.i and r.j=x.step+1 join sw c on c.j=x.j and c.i=x.step+1 join sw d on d.i=x.step+1 and d.j=x.step+1) t),
+    la as (select i, j, v from sw where step=(select max(g) from e)), na as (select distinct gene, g from e)"""
+
+
+@query("partial_corr_matrix", f"""{SWEEP} select a.gene as gene_a, b.gene as gene_b, case when la.i=la.j then 1.0 else la.v/sqrt(p.v*q.v) end as r
+    from la join la p on p.i=la.i and p.j=la.i join la q on q.i=la.j and q.j=la.j join na a on a.g=la.i join na b on b.g=la.j""", d="r")
 def _(t):
     return ex.partial_corr_matrix(t.expr.where(F.col("gene").isin(PANEL)))
 
