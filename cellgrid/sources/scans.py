@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cellgrid.functions.lines import by_merge
 from cellgrid.schema import ATLAS_META, MASK_QC, MASK_QC_HEADER, RUN_PARAMS, SchemaMismatch
 
 #: fixed values: token sets that classify files of a section, first match wins (case-insensitive)
@@ -175,7 +176,7 @@ def find_file_by_uid(files: DataFrame, uids: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1),
                                           lambda i: F.substring(F.col("_name"), i, F.col("_n"))))
     tagged = sized.select("path", F.explode(pieces).alias("uid"))
-    hit = tagged.join(uids.select("uid").distinct(), "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path"))
+    hit = by_merge(tagged).join(uids.select("uid").distinct(), "uid").groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("path"))
     return hit.where("_n = 1").drop("_n")
 
 
