@@ -49,3 +49,44 @@ def test_name_pieces_are_not_broadcast(spark):
 def test_grid_is_dealt_to_tasks(spark):
     parts = vx.grid(sections(spark).distinct()).select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
+
+
+def test_nearest_in_blocks_keeps_ties_by_id():
+    rng = np.random.default_rng(5)
+    r, q = rng.integers(0, 3, (300, 3)).astype(float), rng.integers(0, 3, (40, 3)).astype(float)
+    rid, own = rng.permutation(300), np.arange(40)
+    for metric in ("euclidean", "cosine"):
+        d = np.round(nb._distances(q, r, metric), 6)
+        d[own[:, None] == rid[None, :]] = np.inf
+        want = [rid[np.lexsort((rid, row))[:7]] for row in d]
+        got = np.concatenate([rid[at] for _, at, _ in nb._best(q, r, rid, 7, metric, own, chunk=16, width=32)])
+        assert (got == np.array(want)).all()
+    assert [at.shape for _, at, _ in nb._best(q, r[:4], rid[:4], 7, "euclidean", None, chunk=64, width=3)] == [(40, 4)]
+
+
+def test_nearest_holds_few_distances(monkeypatch):
+    held, plain = [], nb._distances
+    monkeypatch.setattr(nb, "_distances", lambda q, r, metric: held.append(len(q) * len(r)) or plain(q, r, metric))
+    list(nb._best(np.zeros((3000, 2)), np.ones((20_000, 2)), np.arange(20_000), 5, "euclidean", None))
+    assert max(held) <= 1 << 22
+
+
+def test_blocks_replace_balls_that_rule_out_nothing(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 24))
+    ref = spark.createDataFrame([(i, f"l{i % 3}", v.tolist()) for i, v in enumerate(x)], "ref_id int, label string, vec array<double>")
+    query = ref.where("ref_id % 5 = 0").select(F.col("ref_id").alias("query_id"), "vec")
+    found = nb.knn_join(query, ref, 4, "euclidean", skip_self=True, ship_rows=10, pivots=32, block=150)
+    got = {}
+    for row in found.collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["ref_id"]
+    d = np.round(nb._distances(x, x, "euclidean"), 6)
+    np.fill_diagonal(d, np.inf)
+    for i in range(0, 400, 5):
+        assert [got[i][k] for k in (1, 2, 3, 4)] == list(np.argsort(d[i], kind="stable")[:4])
+    assert "MapInPandas" not in plan(found)
+
+
+def test_small_blocks_grow_with_the_list(spark):
+    n = spark.createDataFrame([(100,), (640_000,), (64_000,)], "n int")
+    assert sorted(r[0] for r in n.select(nb._blocks(F.col("n"), 64)).collect()) == [2, 8, 32]
