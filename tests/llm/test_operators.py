@@ -106,6 +106,19 @@ def removed(texts, span=suffix_dedup.SPAN):
     return out
 
 
+def test_suffix_ranges_are_joined_before_occurrences_carry_them(spark):
+    r = [(0, 2), (2, 5), (9, 11), (3, 4)]
+    rows = [(1, 2, 300, r), (1, 3, 300, []), (2, 2, 300, [(7, 8)])]
+    table = spark.createDataFrame(rows, "key bigint, ctx bigint, m int, r array<struct<a:int,b:int>>").coalesce(1)
+    got = {(x.key, x.ctx, x.m): [tuple(y) for y in x.r] for x in suffix_dedup._joined_ranges(table).collect()}
+    assert got == {(1, 2, 300): [(0, 5), (9, 11)], (1, 3, 300): [], (2, 2, 300): [(7, 8)]}
+
+
+def test_suffix_dedup_carries_ranges_without_rows_of_their_own(odd):
+    plan = suffix_dedup.repeated_ranges(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(r" not in plan
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_suffix_dedup(odd, odd_rows, none, hot, monkeypatch):
     """With ``HOT`` at 1 every shared key goes through all finer levels."""
