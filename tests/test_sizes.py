@@ -51,6 +51,26 @@ def test_grid_is_dealt_to_tasks(spark):
     assert parts > 1
 
 
+def test_densify_joins_no_generated_grid(spark):
+    kinds = "section int, channel string, z int, y int, x int, v double"
+    # a repeated place, a null value, places outside and null ones, a volume without voxels, a volume given twice, null keys
+    found = [(0, "A", 0, 1, 2, 5.0), (0, "A", 0, 1, 2, 6.0), (0, "A", 1, 0, 0, None), (0, "A", 0, 0, 4, 9.0), (0, "A", None, 0, 0, 9.0),
+             (0, "A", 2, 0, 0, 9.0), (0, "A", 0, -1, 0, 9.0), (2, "A", 0, 2, 3, 7.0), (None, "A", 0, 0, 0, 8.0), (9, "A", 0, 0, 0, 8.0)]
+    volumes = [(0, "A"), (1, "A"), (2, "A"), (2, "A"), (None, "A")]
+    want = []
+    for s, c in volumes:
+        for place in np.ndindex(2, 3, 4):
+            values = [r[5] for r in found if None not in r[:5] and r[:5] == (s, c, *place)]
+            want += [(s, c, *place, 2, 3, 4, v or 0.0) for v in values or [0.0]]
+    made = vx.densify(spark.createDataFrame(found, kinds), spark.createDataFrame(
+        [(*v, 2, 3, 4) for v in volumes], "section int, channel string, n_z int, n_y int, n_x int"))
+    assert made.columns == ["section", "channel", "z", "y", "x", "n_z", "n_y", "n_x", "v"]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r) for r in made.collect()) == order(want)
+    joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("= x#" in line for line in joins), joins
+
+
 def test_nearest_in_blocks_keeps_ties_by_id():
     rng = np.random.default_rng(5)
     r, q = rng.integers(0, 3, (300, 3)).astype(float), rng.integers(0, 3, (40, 3)).astype(float)
