@@ -5,7 +5,7 @@ counts cover all training texts:
 
 * every word's count is kept in a table that grows with the corpus;
 * words that occur ``LEAST`` times or more, however many these are, get classes by exchange:
-  the neighbours of each are written once, one row per word; in each round half of the words
+  their neighbours are written once, as packed lists, many words to a row; in each round half of the words
   move, each to the class that raises the mutual information of adjacent classes most; rounds
   end when ``PATIENCE`` in a row have not raised it, and the best round is kept;
 * other words belong to fixed classes by their shape (length, last character), within which
@@ -46,8 +46,12 @@ LISTED = 2_000_000
 CLASSES, SHAPES = 32, 16
 #: rounds in a row without a rise of the information after which exchange ends
 PATIENCE = 2
-#: neighbours to a row of the exchange table, about; words that may have more are cut into blocks
+#: neighbours of a word that a task meets at most, about; words that may have more are cut into blocks
 BLOCK = 1 << 16
+#: tokens whose neighbours one task merges, about; tokens or neighbours held unsorted; neighbours to a row of the exchange table, about
+PART, HELD, ROW = 1 << 20, 1 << 21, 1 << 18
+#: counts up to which the gain beside a class is looked up
+FEW = 8
 #: class 0 and type 0 are the end token; shapes follow, then clustered words
 ALL_CLASSES = 1 + SHAPES + CLASSES
 
@@ -107,6 +111,35 @@ def numbered(words: DataFrame) -> DataFrame:
 
 
 def bigram_counts(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> DataFrame:
+    """The neighbours of each type with their counts, as ``Links.lists``; the two types of a pair meet in both their lists."""
+    links = lexicon.links
+    if lexicon.partial:
+        rows = open_bigrams(texts, lexicon, counts)
+        sent = rows.mapInArrow(links.of_pairs, "part int, links binary")
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = shared.value
+            index = HashIndex(here.keys[:here.clustered])
+            held, size = [], 0
+            for part in chunks(batches, "_text", 1 << 18):
+                row, keys, shape = word_keys(*text_view(part.column("_text")))
+                at = index.find(keys)
+                held.append(token_types(row, np.where(at >= 0, at + 1 + SHAPES, shape + 1), part.num_rows)[0].astype(np.int32))
+                size += len(held[-1])
+                if size > HELD:
+                    yield from links.of_tokens(np.concatenate(held))
+                    held, size = [], 0
+            if held:
+                yield from links.of_tokens(np.concatenate(held))
+
+        sent = texts.mapInArrow(run, "part int, links binary")
+    return sent.repartitionById(links.parts, F.col("part")).mapInArrow(
+        links.lists, "kind int, words binary, left binary, right binary, edge binary")
+
+
+def open_bigrams(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> DataFrame:
     """(a, b, n): counts of adjacent types; words that the broadcast list lacks are joined with ``counts``."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -130,16 +163,10 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> Data
             row, keys, shape = word_keys(*text_view(part.column("_text")))
             at = index.find(keys)
             # a word outside the list stands with its key, and its shape's type as mark
-            away = (at < 0) & here.partial
-            types = np.where(at >= 0, at + 1 + SHAPES, np.where(away, keys, shape + 1))
-            tokens, _ = token_types(row, types, part.num_rows)
+            away = at < 0
+            tokens, _ = token_types(row, np.where(away, keys, at + 1 + SHAPES), part.num_rows)
             marks, _ = token_types(row, np.where(away, shape + 1, 0), part.num_rows)
-            if here.partial:
-                held.append(table([(np.append(0, tokens[:-1]), tokens, np.append(0, marks[:-1]), marks, np.ones(len(tokens)))]))
-            else:
-                pairs, n = np.unique(np.append(0, tokens[:-1]) * here.types + tokens, return_counts=True)
-                none = np.zeros(len(pairs), np.int64)
-                held.append((pairs // here.types, pairs % here.types, none, none, n))
+            held.append(table([(np.append(0, tokens[:-1]), tokens, np.append(0, marks[:-1]), marks, np.ones(len(tokens)))]))
             size += len(held[-1][0])
             if size > 1_000_000:
                 held = [table(held)]
@@ -151,17 +178,136 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> Data
             yield batch(table(held))
 
     rows = texts.mapInArrow(run, "a bigint, b bigint, a_open bigint, b_open bigint, n bigint")
-    if lexicon.partial:
-        rows = rows.groupBy("a", "b", "a_open", "b_open").agg(F.sum("n").alias("n"))
-        names = counts.where(F.col("type").isNotNull())
-        for side in ("a", "b"):
-            found = names.select(F.col("key").alias(side), F.col("type").alias("_type"))
-            away = rows.where(F.col(f"{side}_open") > 0).join(found, side, "left").withColumn(
-                side, F.coalesce("_type", f"{side}_open")).select(rows.columns)
-            rows = rows.where(F.col(f"{side}_open") == 0).unionByName(away)
+    rows = rows.groupBy("a", "b", "a_open", "b_open").agg(F.sum("n").alias("n"))
+    names = counts.where(F.col("type").isNotNull())
+    for side in ("a", "b"):
+        found = names.select(F.col("key").alias(side), F.col("type").alias("_type"))
+        away = rows.where(F.col(f"{side}_open") > 0).join(found, side, "left").withColumn(
+            side, F.coalesce("_type", f"{side}_open")).select(rows.columns)
+        rows = rows.where(F.col(f"{side}_open") == 0).unionByName(away)
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Links:
+    """How neighbours travel: word, side (0 left, 1 right), neighbour and count share one integer.
+
+    Words of types below ``often`` are dealt by ``blocks`` blocks of neighbours, others whole, to ``parts`` parts.
+    Pairs of two fixed types stand on the left of the second one.
+    """
+    types: int
+    often: int
+    blocks: int
+    parts: int
+
+    @property
+    def bits(self) -> int:
+        """Bits of a count; larger counts stand more than once."""
+        return 63 - (2 * self.types**2).bit_length()
+
+    def packed(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        most = (1 << self.bits) - 1
+        times = -(-n // most)
+        each = np.full(times.sum(), most, np.int64)
+        each[np.cumsum(times) - 1] = n - (times - 1) * most
+        return (np.repeat(codes, times) << self.bits) | each
+
+    def summed(self, packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(code, count) of each link, in order."""
+        rows = np.sort(np.concatenate([np.zeros(0, np.int64), *packed]))
+        codes, n = rows >> self.bits, rows & ((1 << self.bits) - 1)
+        starts = _starts(codes)
+        return codes[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+    def sides(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(codes, where these come from) of pairs of types, seen from each of the two."""
+        for side, word, other in ((0, b, a), (1, a, b)):
+            of = np.flatnonzero((word > SHAPES) | (side == 0) & (other <= SHAPES))
+            yield (word[of].astype(np.int64) * 2 + side) * self.types + other[of], of
+
+    def sent(self, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        word, other = np.divmod(codes, 2 * self.types)
+        part = np.where(word < self.often, (word + other % self.blocks) % self.parts, word % self.parts)
+        order = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
+        part, codes, n = part[order], codes[order], n[order]
+        starts = _starts(part)
+        for at, to in zip(starts, np.append(starts, len(part))[1:], strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part[at]], pa.int32()), pa.array([self.packed(codes[at:to], n[at:to]).tobytes()], pa.binary())], ["part", "links"])
+
+    def of_tokens(self, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for codes, _ in self.sides(np.append(np.int32(0), tokens[:-1]), tokens):
+            codes = np.sort(codes)
+            starts = _starts(codes)
+            yield from self.sent(codes[starts], np.diff(np.append(starts, len(codes))))
+
+    def of_pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(held):
+            a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            for codes, of in self.sides(a, b):
+                yield from self.sent(codes, n[of])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(x).to_numpy() for x in ("a", "b", "n")])
+            size += batch.num_rows
+            if size > HELD:
+                yield from sent(held)
+                held, size = [], 0
+        if held:
+            yield from sent(held)
+
+    def lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (kind, words, left, right, edge): words in order with their neighbours as ``_packed``; about ``ROW`` neighbours to a row.
+
+        Kind 0 are fixed types, 2 the often words, 1 all others. Edge are the fixed types on the right, once more.
+        """
+        held, size = [], 0
+        for batch in batches:
+            for links in batch.column("links"):
+                held.append(np.frombuffer(links.as_buffer(), np.int64).copy())
+                size += len(held[-1])
+                if size > HELD:
+                    held = [self.packed(*self.summed(held))]
+                    size = 0
+        codes, n = self.summed(held)
+        word, other = np.divmod(codes, 2 * self.types)
+        starts = _starts(word)
+        first = word[starts]
+        kind = np.where(first <= SHAPES, 0, np.where(first < self.often, 2, 1))
+        cuts = starts[_starts(starts // ROW * 3 + kind)]
+        for at, to in zip(cuts, np.append(cuts, len(word))[1:], strict=True):
+            here = starts[np.searchsorted(starts, at):np.searchsorted(starts, to)] - at
+            w, o, m = word[at:to], other[at:to], n[at:to]
+            row = np.repeat(np.arange(len(here)), np.diff(np.append(here, to - at)))
+            right = o >= self.types
+            columns = [_packed(row[x], len(here), o[x] - shift, m[x]) for x, shift in (
+                (~right, 0), (right, self.types), (right & (o - self.types <= SHAPES), self.types))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind[starts == at], pa.int32()), *(pa.array([x], pa.binary()) for x in (w[here].astype(np.int32).tobytes(), *columns))],
+                ["kind", "words", "left", "right", "edge"])
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[:len(x)])
+
+
+def _packed(row: np.ndarray, rows: int, others: np.ndarray, n: np.ndarray) -> bytes:
+    """Lists of neighbours: their lengths, the neighbours, their counts in as many bytes as the largest one needs."""
+    return b"".join(x.tobytes() for x in (np.bincount(row, minlength=rows).astype(np.int32), others.astype(np.int32),
+                                          n.astype(np.min_scalar_type(n.max(initial=0)))))
+
+
+def _unpacked(links: pa.Scalar, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each list, neighbours, counts)."""
+    data = links.as_buffer()
+    lengths = np.frombuffer(data, np.int32, rows)
+    total = int(lengths.sum())
+    size = (len(data) - 4 * (rows + total)) // max(total, 1)
+    return lengths, np.frombuffer(data, np.int32, total, 4 * rows), np.frombuffer(data, f"u{size or 1}", total, 4 * (rows + total))
+
+
 @dataclass
 class Lexicon:
     """The words of the broadcast list, most frequent first; the first ``clustered`` have classes by exchange.
@@ -172,6 +318,7 @@ class Lexicon:
     counts: np.ndarray
     clustered: int
     types: int
+    links: Links
 
     @property
     def partial(self) -> bool:
@@ -187,11 +334,8 @@ def information(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum())
 
 
-def best_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, itself: np.ndarray) -> np.ndarray:
-    """The exchange class of each word, now in class ``own``, that gives the most information; ties keep the lower class.
-
-    ``left`` and ``right`` are the words' counts beside each class, ``itself`` beside themselves, one row per word.
-    """
+def _dense_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """``best_classes`` from a whole class matrix for each word."""
     best = np.zeros(len(own), np.int64)
     to = np.arange(1 + SHAPES, ALL_CLASSES)
     for at in range(0, len(own), 128):
@@ -214,127 +358,162 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: n
     return best
 
 
+def best_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """The exchange class of each word, now in class ``own``, that gives the most information; ties keep the lower class.
+
+    ``left`` and ``right`` are the words' counts beside each class, ``itself`` beside themselves, one row per word.
+    Only classes that a word stands beside are looked at. Words with two best classes nearer than rounding
+    can tell are decided from whole matrices.
+    """
+    matrix = matrix.astype(float)
+    first, to = 1 + SHAPES, slice(1 + SHAPES, ALL_CLASSES)
+    diagonal = np.diag(matrix)[to]
+    slack = 1e-13 * float(_xlogx(matrix.sum()))
+    # row c, column t: what stands between class c and exchange class t, and the rise of its term by each small count
+    sides = []
+    for base in (matrix[to].T, matrix[:, to]):
+        base = np.ascontiguousarray(base)
+        bare = _xlogx(base)
+        steps = _xlogx(base + np.arange(1, FEW + 1)[:, None, None]) - bare
+        sides.append((base, bare, steps.reshape(-1, CLASSES), matrix.sum(axis=len(sides) ^ 1)[to]))
+    best = np.zeros(len(own), np.int64)
+    for at in range(0, len(own), 128):
+        o, l, r, s = own[at:at + 128], left[at:at + 128].astype(float), right[at:at + 128].astype(float), itself[at:at + 128].astype(float)
+        i, t = np.arange(len(o)), o - first
+        corner = matrix[o, o] - r[i, o] - l[i, o] + s
+        l[i, o] -= s
+        r[i, o] -= s
+        gain = np.zeros((len(o), CLASSES))
+        for (base, bare, steps, sums), mine, other in zip(sides, (r, l), (l, r), strict=True):
+            row, c = np.nonzero(mine)
+            x, k, home = mine[row, c], t[row], c == o[row]
+            few = np.flatnonzero((x <= FEW) & ~home)
+            stands = np.zeros((len(o), FEW * ALL_CLASSES))
+            stands[row[few], (x[few].astype(np.int64) - 1) * ALL_CLASSES + c[few]] = 1
+            gain += stands @ steps
+            many = np.flatnonzero((x > FEW) & ~home)
+            if len(many):
+                starts = _starts(row[many])
+                gain[row[many[starts]]] += np.add.reduceat(_xlogx(base[c[many]] + x[many, None]) - bare[c[many]], starts, axis=0)
+            # the word has left its own class
+            of = np.flatnonzero(~home)
+            b, plain = base[c[of], k[of]], bare[c[of], k[of]]
+            gain[i, t] += np.bincount(row[of], 2 * plain - _xlogx(b - x[of]) - _xlogx(b + x[of]), len(o))
+            of = np.flatnonzero(home)
+            v = base[c[of]] - other[row[of], to]
+            v[np.arange(len(of)), k[of]] = corner[row[of]]
+            gain[row[of]] += _xlogx(v + x[of, None]) - _xlogx(v)
+            whole = (mine.sum(axis=1) + s)[:, None]
+            left_over = sums - other[:, to]
+            left_over[i, t] -= whole[:, 0]
+            gain -= _xlogx(left_over + whole) - _xlogx(left_over)
+        v = np.repeat(diagonal[None], len(o), axis=0)
+        v[i, t] = corner
+        gain += _xlogx(v) - _xlogx(v + r[:, to]) - _xlogx(v + l[:, to]) + _xlogx(v + r[:, to] + l[:, to] + s[:, None])
+        found = first + gain.argmax(axis=1)
+        top = np.partition(gain, -2, axis=1)
+        near = top[:, -1] - top[:, -2] <= slack
+        if near.any():
+            found[near] = _dense_classes(matrix, *(x[at:at + 128][near] for x in (own, left, right, itself)))
+        best[at:at + 128] = found
+    return best
+
+
 def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray, itself: float) -> int:
     """``best_classes`` of one word."""
     return int(best_classes(matrix, np.array([own]), left[None], right[None], np.array([itself]))[0])
 
 
-def neighbours(bigrams: DataFrame, often: int, blocks: int) -> DataFrame:
-    """(word, others, n): the neighbours of each clustered word with their counts, one row per word.
-
-    A neighbour is twice its type, plus 1 on the right. Words of types below ``often`` have ``blocks`` rows.
-    """
-    first = 1 + SHAPES
-    sides = bigrams.where(F.col("b") >= first).select(F.col("b").alias("word"), (F.col("a") * 2).alias("other"), "n").unionByName(
-        bigrams.where(F.col("a") >= first).select(F.col("a").alias("word"), (F.col("b") * 2 + 1).alias("other"), "n"))
-    block = F.when(F.col("word") < often, F.pmod(F.xxhash64("other"), F.lit(blocks))).otherwise(F.lit(0))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("word", "block", "other", "n")]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            starts = np.flatnonzero(np.append(True, (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))[:len(now[0])])
-            if len(starts) > 1:
-                yield lists(now, starts)
-            rest = [x[starts[-1]:] for x in now] if len(starts) else None
-        if rest is not None:
-            yield lists(rest, np.array([0, len(rest[0])]))
-
-    def lists(now, starts):
-        ends = pa.array(starts.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(now[0][starts[:-1]]), *(
-            pa.ListArray.from_arrays(ends, pa.array(x[:starts[-1]])) for x in now[2:])], ["word", "others", "n"])
-
-    dealt = sides.withColumn("block", block).repartition("word", "block").sortWithinPartitions("word", "block")
-    return cut_lineage(dealt.mapInArrow(pack, "word bigint, others array<bigint>, n array<bigint>"))
-
-
-def _opened(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word of each row, row, neighbour, on the right, its class, count) of a batch of neighbours."""
-    word, others = batch.column("word").to_numpy(), batch.column("others")
-    row = np.repeat(np.arange(len(word)), others.value_lengths().to_numpy(zero_copy_only=False))
-    other, n = others.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
-    return word, row, other >> 1, other & 1, now[other >> 1].astype(np.int64), n
-
-
-def _sides(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, counts beside each class on the left, on the right, and beside itself) of each row."""
-    word, row, other, right, classes, n = _opened(batch, now)
-    sides = np.zeros((len(word), 2 * ALL_CLASSES + 1))
-    sides[:, :-1] = np.bincount(row * 2 * ALL_CLASSES + right * ALL_CLASSES + classes, n, len(word) * 2 * ALL_CLASSES).reshape(len(word), -1)
-    twin = (right == 0) & (other == word[row])
-    sides[:, -1] = np.bincount(row[twin], n[twin], len(word))
-    return word, sides
+def _sides(row: dict, now: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Counts of the ``chosen`` words of a row beside each class on the left, on the right, and beside themselves."""
+    words = np.frombuffer(row["words"].as_buffer(), np.int32)
+    n_chosen = int(chosen.sum())
+    sides = np.zeros((n_chosen, 2 * ALL_CLASSES + 1))
+    for side, name in enumerate(("left", "right")):
+        lengths, others, n = _unpacked(row[name], len(words))
+        use = np.repeat(chosen, lengths)
+        others, n = others[use], n[use]
+        place = np.repeat(np.arange(n_chosen), lengths[chosen])
+        sides[:, side * ALL_CLASSES:(side + 1) * ALL_CLASSES] = np.bincount(
+            place * ALL_CLASSES + now[others], n, n_chosen * ALL_CLASSES).reshape(n_chosen, -1)
+        if not side:
+            twin = others == words[chosen][place]
+            sides[:, -1] = np.bincount(place[twin], n[twin], n_chosen)
+    return sides
 
 
 def _moved(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return best_classes(matrix, now[word].astype(np.int64), sides[:, :ALL_CLASSES], sides[:, ALL_CLASSES:-1], sides[:, -1])
 
 
-def exchange(bigrams: DataFrame, types: int, often: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def exchange(bigrams: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each type, class bigram matrix, information by round) of the best round.
 
-    Words of types below ``often`` may have more than ``BLOCK`` neighbours. Per round the driver
-    gets the class matrix, the class of each word that moves, and the summed counts of the often ones.
+    ``bigrams`` are lists of neighbours. Per round the driver gets the class matrix, the class of each
+    word that moves, and the summed counts of the often ones.
     """
     first = 1 + SHAPES
     classes = np.arange(types).astype(np.uint8)
     classes[first:] = first + (np.arange(types - first) % CLASSES)
+    table = cut_lineage(bigrams)
     fixed = np.zeros((ALL_CLASSES, ALL_CLASSES))
-    for r in bigrams.where((F.col("a") < first) & (F.col("b") < first)).collect():
-        fixed[r.a, r.b] = r.n
+    for row in table.where("kind = 0").select("words", "left").toArrow().to_pylist():
+        words = np.frombuffer(row["words"], np.int32)
+        lengths, others, n = _unpacked(pa.scalar(row["left"]), len(words))
+        np.add.at(fixed, (others, np.repeat(words, lengths)), n)
     if types == first:
         return classes, fixed, [information(fixed)]
-    blocks = -(-types // BLOCK)
-    often = often if blocks > 1 else 0
-    table = neighbours(bigrams, often, blocks)
-    seldom, hot = table.where(F.col("word") >= often), table.where(F.col("word") < often)
+    table = table.where("kind > 0")
+    # the often words' lists once more on their own, so that a round need not read all for them
+    seldom, hot = table.where("kind = 1"), cut_lineage(table.where("kind = 2"))
+    often = not hot.isEmpty()
 
     def matrix_of(now: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(ALL_CLASSES**2)
+            total, at = np.zeros((ALL_CLASSES, ALL_CLASSES)), now.astype(np.int64)
             for batch in batches:
-                word, row, other, right, beside, n = _opened(batch, now)
-                mine = now[word].astype(np.int64)[row]
-                # a pair of two clustered words is taken from the right one
-                use = (right == 0) | (other < first)
-                cell = np.where(right == 0, beside * ALL_CLASSES + mine, mine * ALL_CLASSES + beside)
-                total += np.bincount(cell[use], n[use], ALL_CLASSES**2)
+                for words, *links in zip(*(batch.column(x) for x in ("words", "left", "edge")), strict=True):
+                    mine = at[np.frombuffer(words.as_buffer(), np.int32)]
+                    # a pair of two clustered words is taken from the right one
+                    for side, x in enumerate(links):
+                        lengths, others, n = _unpacked(x, len(mine))
+                        got = np.bincount(np.repeat(mine * ALL_CLASSES, lengths) + at[others], n, ALL_CLASSES**2).reshape(total.shape)
+                        total += got if side else got.T
+            total = total.ravel()
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["cell", "n"])
 
         total = fixed.copy().ravel()
-        got = table.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        got = table.select("words", "left", "edge").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         total[got.column("cell").to_numpy()] += got.column("n").to_numpy()
         return total.reshape(fixed.shape)
 
     def turned(now: np.ndarray, matrix: np.ndarray, turn: int) -> np.ndarray:
-        def half(word: np.ndarray) -> np.ndarray:
-            return (mix(word.astype(np.uint64) + np.uint64((turn // 2 + 1) << 40)) & np.uint64(1)) == turn % 2
+        def half(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            at = now.astype(np.int64)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {x: batch.column(x)[i] for x in ("words", "left", "right")}
+                    word = np.frombuffer(row["words"].as_buffer(), np.int32)
+                    chosen = (mix(word.astype(np.uint64) + np.uint64((turn // 2 + 1) << 40)) & np.uint64(1)) == turn % 2
+                    if chosen.any():
+                        yield word[chosen].astype(np.int64), _sides(row, at, chosen)
 
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = batch.filter(pa.array(half(batch.column("word").to_numpy())))
-                if batch.num_rows:
-                    word, sides = _sides(batch, now)
-                    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_moved(matrix, now, word, sides))], ["word", "class"])
+            for word, sides in half(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_moved(matrix, now, word, sides))], ["word", "class"])
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = batch.filter(pa.array(half(batch.column("word").to_numpy())))
-                if batch.num_rows:
-                    word, sides = _sides(batch, now)
-                    at = np.tile(np.arange(sides.shape[1]), len(word))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, sides.shape[1])), pa.array(at), pa.array(sides.ravel().astype(np.int64))],
-                                                     ["word", "at", "n"])
+            for word, sides in half(batches):
+                row, at = np.nonzero(sides)
+                yield pa.RecordBatch.from_arrays([pa.array(word[row]), pa.array(at), pa.array(sides[row, at].astype(np.int64))], ["word", "at", "n"])
 
         out = now.copy()
-        got = seldom.mapInArrow(decide, "word bigint, class bigint").toArrow()
+        lists = ("words", "left", "right")
+        got = seldom.select(*lists).mapInArrow(decide, "word bigint, class bigint").toArrow()
         out[got.column("word").to_numpy()] = got.column("class").to_numpy()
         if often:
-            got = hot.mapInArrow(parts, "word bigint, at bigint, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()
+            got = hot.select(*lists).mapInArrow(parts, "word bigint, at bigint, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()
             word, row = np.unique(got.column("word").to_numpy(), return_inverse=True)
             sides = np.zeros((len(word), 2 * ALL_CLASSES + 1))
             sides[row, got.column("at").to_numpy()] = got.column("n").to_numpy()
@@ -386,8 +565,11 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     keys, c = common.column("key").to_numpy(), common.column("c").to_numpy()
     order = np.lexsort((keys, -c))
     keys, c = keys[order], c[order]
-    lexicon = Lexicon(keys, c, int((c >= LEAST).sum()), 1 + SHAPES + named)
-    classes, matrix, _ = exchange(cut_lineage(bigram_counts(texts, lexicon, counts)), lexicon.types, 1 + SHAPES + often)
+    types = 1 + SHAPES + named
+    blocks = -(-types // BLOCK)
+    links = Links(types, 1 + SHAPES + often if blocks > 1 else 0, blocks, max(1, -(-tokens // PART)))
+    lexicon = Lexicon(keys, c, int((c >= LEAST).sum()), types, links)
+    classes, matrix, _ = exchange(bigram_counts(texts, lexicon, counts), lexicon.types)
     column = matrix.sum(axis=0)
     base = (column + 1) / (column.sum() + ALL_CLASSES)
     kinds = (matrix > 0).sum(axis=1, keepdims=True)

@@ -236,6 +236,45 @@ def test_exchange_gain_is_the_change_of_information():
         assert values[got - first] == pytest.approx(max(values))
 
 
+def test_exchange_by_met_classes_decides_as_whole_matrices_do():
+    rng = np.random.default_rng(6)
+    types, first = 1 + class_lm.SHAPES + 300, 1 + class_lm.SHAPES
+    pairs = rng.integers(1, 40, (types, types)) * (rng.random((types, types)) < 0.03)
+    classes = np.concatenate([np.arange(first), first + rng.integers(0, class_lm.CLASSES - 2, types - first)])  # two classes are empty: ties
+    left, right = np.zeros((types, class_lm.ALL_CLASSES)), np.zeros((types, class_lm.ALL_CLASSES))
+    matrix = np.zeros((class_lm.ALL_CLASSES,) * 2)
+    np.add.at(left.T, classes, pairs)
+    np.add.at(right.T, classes, pairs.T)
+    np.add.at(matrix, classes, right)
+    of = np.arange(first, types)
+    args = matrix, classes[of], left[of], right[of], np.diag(pairs)[of]
+    assert class_lm.best_classes(*args).tolist() == class_lm._dense_classes(*args).tolist()
+
+
+@pytest.mark.parametrize("types, often, blocks, parts", [(40, 0, 1, 1), (400, 25, 5, 3), (1 << 29, 30, 7, 4)])
+def test_links_keep_every_count(types, often, blocks, parts):
+    """Also where so many types leave few bits for a count."""
+    rng = np.random.default_rng(7)
+    links = class_lm.Links(types, often, blocks, parts)
+    tokens = np.where(rng.random(5000) < 0.7, rng.integers(0, 4, 5000), rng.integers(0, 40, 5000)).astype(np.int32)
+    want = Counter(zip([0, *tokens[:-1].tolist()], tokens.tolist(), strict=True))
+    by_part = {}
+    for batch in links.of_tokens(tokens):
+        by_part.setdefault(batch.column("part")[0].as_py(), []).append(batch)
+    got, beside = Counter(), Counter()
+    for batches in by_part.values():
+        for batch in links.lists(iter(batches)):
+            row = batch.to_pylist()[0]
+            words = np.frombuffer(row["words"], np.int32)
+            assert row["kind"] == (0 if words[0] <= class_lm.SHAPES else 2 if words[0] < often else 1)
+            for name, counts in (("left", got), ("right", beside)):
+                lengths, others, n = class_lm._unpacked(pa.scalar(row[name]), len(words))
+                for w, o, k in zip(np.repeat(words, lengths).tolist(), others.tolist(), n.tolist(), strict=True):
+                    counts[(o, w) if name == "left" else (w, o)] += k
+    assert got == {p: n for p, n in want.items() if p[1] > class_lm.SHAPES or p[0] <= class_lm.SHAPES}
+    assert beside == {p: n for p, n in want.items() if p[0] > class_lm.SHAPES}
+
+
 def test_em_finds_which_labeller_is_better():
     rng = random.Random(6)
     patterns = Counter()
