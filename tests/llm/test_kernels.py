@@ -52,6 +52,19 @@ def test_word_encoder_equals_the_library():
         at += n
 
 
+def test_word_encoder_keeps_the_words_that_come_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    coder = packing.WordEncoder(path := public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(path)
+    fresh, encode = [], coder._encode_words
+    monkeypatch.setattr(coder, "_encode_words", lambda words: fresh.extend(words) or encode(words))
+    for n in range(12):
+        texts = ["Common Words, come again.\n", "", f"once{'abcdefghijkl'[n]} " + " ".join(f"é{a}{'abcdefghijkl'[n]}" for a in "qrstuv")]
+        ids, counts = coder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh.count("Common") == fresh.count("again.") == 1 and len(coder._words) <= 20 + 8
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_packing_plan_is_valid_and_tight(seed):
     rng = random.Random(seed)
