@@ -50,6 +50,8 @@ PATIENCE = 2
 BLOCK = 1 << 16
 #: tokens whose neighbours one task merges, about; tokens or neighbours held unsorted; neighbours to a row of the exchange table, about
 PART, HELD, ROW = 1 << 20, 1 << 21, 1 << 18
+#: parts written as one file of the exchange table
+FILE = 4
 #: counts up to which the gain beside a class is looked up
 FEW = 8
 #: class 0 and type 0 are the end token; shapes follow, then clustered words
@@ -135,8 +137,10 @@ def bigram_counts(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> Data
                 yield from links.of_tokens(np.concatenate(held))
 
         sent = texts.mapInArrow(run, "part int, links binary")
-    return sent.repartitionById(links.parts, F.col("part")).mapInArrow(
+    lists = sent.repartitionById(links.parts, F.col("part")).mapInArrow(
         links.lists, "kind int, words binary, left binary, right binary, edge binary")
+    # parts are merged one by one, but FILE of them are written as one file: each round starts a task or two per file
+    return lists.coalesce(max(min(links.parts, FILE), links.parts // FILE))
 
 
 def open_bigrams(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> DataFrame:
@@ -192,12 +196,12 @@ def open_bigrams(texts: DataFrame, lexicon: Lexicon, counts: DataFrame) -> DataF
 class Links:
     """How neighbours travel: word, side (0 left, 1 right), neighbour and count share one integer.
 
-    Words of types below ``often`` are dealt by ``blocks`` blocks of neighbours, others whole, to ``parts`` parts.
-    Pairs of two fixed types stand on the left of the second one.
+    Words of types below ``often`` are dealt by ``blocks`` blocks of neighbours (all alike, or as many as stand there for the type),
+    others whole, to ``parts`` parts. Pairs of two fixed types stand on the left of the second one.
     """
     types: int
     often: int
-    blocks: int
+    blocks: int | np.ndarray
     parts: int
 
     @property
@@ -227,7 +231,9 @@ class Links:
 
     def sent(self, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         word, other = np.divmod(codes, 2 * self.types)
-        part = np.where(word < self.often, (word + other % self.blocks) % self.parts, word % self.parts)
+        hot, blocks = np.flatnonzero(word < self.often), np.broadcast_to(self.blocks, self.often)
+        part = word % self.parts
+        part[hot] = (word[hot] + other[hot] % blocks[word[hot]]) % self.parts
         order = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
         part, codes, n = part[order], codes[order], n[order]
         starts = _starts(part)
@@ -308,6 +314,19 @@ def _unpacked(links: pa.Scalar, rows: int) -> tuple[np.ndarray, np.ndarray, np.n
     return lengths, np.frombuffer(data, np.int32, total, 4 * rows), np.frombuffer(data, f"u{size or 1}", total, 4 * (rows + total))
 
 
+def blocks_of(counts: np.ndarray, often: int, blocks: int) -> tuple[int, np.ndarray | int]:
+    """``Links.often`` and ``Links.blocks``: a word has at most two neighbours per occurrence, so that all blocks together grow with the tokens.
+
+    ``counts`` are those of the most frequent words, in the order of the types; of ``often`` words that it lacks, each has ``blocks``.
+    """
+    if blocks == 1:
+        return 0, 1
+    known = counts[:often]
+    few = np.minimum(blocks, -(-2 * known // BLOCK))
+    # fixed types have fixed neighbours only
+    return 1 + SHAPES + often, np.concatenate([np.ones(1 + SHAPES, np.int64), few, np.full(often - len(known), blocks)])
+
+
 @dataclass
 class Lexicon:
     """The words of the broadcast list, most frequent first; the first ``clustered`` have classes by exchange.
@@ -387,11 +406,13 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, left: np.ndarray, right: n
         for (base, bare, steps, sums), mine, other in zip(sides, (r, l), (l, r), strict=True):
             row, c = np.nonzero(mine)
             x, k, home = mine[row, c], t[row], c == o[row]
-            few = np.flatnonzero((x <= FEW) & ~home)
-            stands = np.zeros((len(o), FEW * ALL_CLASSES))
-            stands[row[few], (x[few].astype(np.int64) - 1) * ALL_CLASSES + c[few]] = 1
-            gain += stands @ steps
-            many = np.flatnonzero((x > FEW) & ~home)
+            small = x <= FEW
+            # rows are looked up and added, for a matrix product starts BLAS threads that spin between calls
+            few = np.flatnonzero(small & ~home)
+            if len(few):
+                starts = _starts(row[few])
+                gain[row[few[starts]]] += np.add.reduceat(steps.take((x[few].astype(np.int64) - 1) * ALL_CLASSES + c[few], axis=0), starts, axis=0)
+            many = np.flatnonzero(~small & ~home)
             if len(many):
                 starts = _starts(row[many])
                 gain[row[many[starts]]] += np.add.reduceat(_xlogx(base[c[many]] + x[many, None]) - bare[c[many]], starts, axis=0)
@@ -442,6 +463,15 @@ def _sides(row: dict, now: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return sides
 
 
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sides): the sums of each word's sides."""
+    words, sides = zip((np.zeros(0, np.int64), np.zeros((0, 2 * ALL_CLASSES + 1))), *parts, strict=True)
+    words, row = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.zeros((len(words), 2 * ALL_CLASSES + 1))
+    np.add.at(total, row, np.concatenate(sides))
+    return words, total
+
+
 def _moved(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return best_classes(matrix, now[word].astype(np.int64), sides[:, :ALL_CLASSES], sides[:, ALL_CLASSES:-1], sides[:, -1])
 
@@ -449,13 +479,14 @@ def _moved(matrix: np.ndarray, now: np.ndarray, word: np.ndarray, sides: np.ndar
 def exchange(bigrams: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each type, class bigram matrix, information by round) of the best round.
 
-    ``bigrams`` are lists of neighbours. Per round the driver gets the class matrix, the class of each
-    word that moves, and the summed counts of the often ones.
+    ``bigrams`` are lists of neighbours. Per round the driver gets the class matrix and the class of each
+    word that moves; the parts of an often word meet as one row of sums from each task.
     """
     first = 1 + SHAPES
     classes = np.arange(types).astype(np.uint8)
     classes[first:] = first + (np.arange(types - first) % CLASSES)
     table = cut_lineage(bigrams)
+    files = len(table.inputFiles())
     fixed = np.zeros((ALL_CLASSES, ALL_CLASSES))
     for row in table.where("kind = 0").select("words", "left").toArrow().to_pylist():
         words = np.frombuffer(row["words"], np.int32)
@@ -465,7 +496,7 @@ def exchange(bigrams: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, li
         return classes, fixed, [information(fixed)]
     table = table.where("kind > 0")
     # the often words' lists once more on their own, so that a round need not read all for them
-    seldom, hot = table.where("kind = 1"), cut_lineage(table.where("kind = 2"))
+    seldom, hot = table.where("kind = 1"), cut_lineage(table.where("kind = 2").coalesce(max(1, files // FILE)))
     often = not hot.isEmpty()
 
     def matrix_of(now: np.ndarray) -> np.ndarray:
@@ -499,25 +530,28 @@ def exchange(bigrams: DataFrame, types: int) -> tuple[np.ndarray, np.ndarray, li
                     if chosen.any():
                         yield word[chosen].astype(np.int64), _sides(row, at, chosen)
 
+        def moved(word: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(_moved(matrix, now, word, sides))], ["word", "class"])
+
         def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, sides in half(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(_moved(matrix, now, word, sides))], ["word", "class"])
+                yield moved(word, sides)
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for word, sides in half(batches):
-                row, at = np.nonzero(sides)
-                yield pa.RecordBatch.from_arrays([pa.array(word[row]), pa.array(at), pa.array(sides[row, at].astype(np.int64))], ["word", "at", "n"])
+            word, sides = _merged(half(batches))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array([x.tobytes() for x in sides], pa.binary())], ["word", "sides"])
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield moved(*_merged((batch.column("word").to_numpy(), np.frombuffer(b"".join(batch.column("sides").to_pylist())).reshape(
+                -1, 2 * ALL_CLASSES + 1)) for batch in batches))
 
         out = now.copy()
-        lists = ("words", "left", "right")
-        got = seldom.select(*lists).mapInArrow(decide, "word bigint, class bigint").toArrow()
-        out[got.column("word").to_numpy()] = got.column("class").to_numpy()
+        lists, chosen = ("words", "left", "right"), "word bigint, class bigint"
+        choices = seldom.select(*lists).mapInArrow(decide, chosen)
         if often:
-            got = hot.select(*lists).mapInArrow(parts, "word bigint, at bigint, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()
-            word, row = np.unique(got.column("word").to_numpy(), return_inverse=True)
-            sides = np.zeros((len(word), 2 * ALL_CLASSES + 1))
-            sides[row, got.column("at").to_numpy()] = got.column("n").to_numpy()
-            out[word] = _moved(matrix, now, word, sides)
+            choices = choices.unionByName(hot.select(*lists).mapInArrow(parts, "word bigint, sides binary").repartition("word").mapInArrow(whole, chosen))
+        got = choices.toArrow()
+        out[got.column("word").to_numpy()] = got.column("class").to_numpy()
         return out
 
     seen: list[float] = []
@@ -567,7 +601,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     keys, c = keys[order], c[order]
     types = 1 + SHAPES + named
     blocks = -(-types // BLOCK)
-    links = Links(types, 1 + SHAPES + often if blocks > 1 else 0, blocks, max(1, -(-tokens // PART)))
+    links = Links(types, *blocks_of(c, often, blocks), max(1, -(-tokens // PART)))
     lexicon = Lexicon(keys, c, int((c >= LEAST).sum()), types, links)
     classes, matrix, _ = exchange(bigram_counts(texts, lexicon, counts), lexicon.types)
     column = matrix.sum(axis=0)

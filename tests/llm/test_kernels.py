@@ -1,7 +1,10 @@
 """Kernels of the text operators against plain Python."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -288,6 +291,58 @@ def test_links_keep_every_count(types, often, blocks, parts):
     assert beside == {p: n for p, n in want.items() if p[0] > class_lm.SHAPES}
 
 
+def test_often_words_are_cut_by_their_counts():
+    """Blocks of all often words together grow with the tokens, not with words times types."""
+    counts = 1_000_000 // np.arange(1, 4001)
+    rows = []
+    for times in (1, 5):
+        c = counts * times
+        often, blocks = class_lm.blocks_of(c, int((c > class_lm.BLOCK // 2).sum()), 20 * times)
+        links = class_lm.Links(20 * times * class_lm.BLOCK, often, blocks, 64)
+        first = 1 + class_lm.SHAPES
+        word = np.repeat(np.arange(often), 300)
+        other = np.random.default_rng(8).integers(0, 2 * links.types, len(word))
+        sent = list(links.sent(word * 2 * links.types + other, np.ones(len(word), np.int64)))
+        got = Counter()
+        for batch in sent:
+            codes, n = links.summed([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("links")])
+            got.update(set((codes // (2 * links.types)).tolist()))
+            assert n.sum() >= len(codes)
+        assert all(got[w] <= blocks[w] for w in got) and all(got[w] == 1 for w in range(first)) and max(got.values()) > 1
+        assert blocks[first:].sum() <= 2 * 2 * c.sum() / class_lm.BLOCK
+        rows.append(sum(got.values()))
+    assert rows[1] < 8 * rows[0]
+    assert class_lm.blocks_of(counts[:10], 20, 3)[1][-10:].tolist() == [3] * 10  # words that the list lacks
+    assert class_lm.blocks_of(counts, 20, 1) == (0, 1)
+
+
+def test_merged_parts_of_words_are_their_sums():
+    sides = np.arange(4 * (2 * class_lm.ALL_CLASSES + 1.0)).reshape(4, -1)
+    words, total = class_lm._merged(iter([(np.array([9, 20]), sides[:2]), (np.array([20, 7]), sides[2:])]))
+    assert words.tolist() == [7, 9, 20] and (total == np.array([sides[3], sides[0], sides[1] + sides[2]])).all()
+    assert class_lm._merged(iter([]))[1].shape == (0, 2 * class_lm.ALL_CLASSES + 1)
+
+
+def test_decisions_start_no_other_threads():
+    """BLAS threads spin between small products and take a core each."""
+    code = """
+import time
+import numpy as np
+from cellgrid.llm import class_lm
+rng = np.random.default_rng(9)
+n, size = 4000, class_lm.ALL_CLASSES
+left, right = (rng.integers(0, 4, (n, size)) * (rng.random((n, size)) < 0.5) for _ in range(2))
+args = rng.integers(1000, 9000, (size, size)), rng.integers(1 + class_lm.SHAPES, size, n), left, right, np.zeros(n)
+whole, own = time.process_time(), time.thread_time()
+class_lm.best_classes(*args)
+print((time.process_time() - whole) / (time.thread_time() - own))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120,
+                         env={**os.environ, "OMP_NUM_THREADS": "2", "OPENBLAS_NUM_THREADS": "2", "PYTHONPATH": root})
+    assert float(got.stdout) < 1.2
+
+
 def test_em_finds_which_labeller_is_better():
     rng = random.Random(6)
     patterns = Counter()
