@@ -61,16 +61,17 @@ def split_by_size(df: DataFrame, order: str, bytes_per_file: int) -> DataFrame:
     return numbered.withColumn("part", F.least(F.floor((F.col("_rn") - 1) / size), F.lit(parts - 1)).cast("int")).drop("_rn")
 
 
-def split_by_bytes(df: DataFrame, order: str, bytes_per_file: int) -> DataFrame:
+def split_by_bytes(df: DataFrame, order: str, bytes_per_file: int, room: int = 2) -> DataFrame:
     """Add ``part``: contiguous ranges in ``order``, cut by the running sum of row bytes, none over ``bytes_per_file``.
 
     A part ends where the sum passes a multiple of the limit less the largest row, so the
-    row that lies across the cut still fits. A row that is larger than half the limit raises
-    ``SchemaMismatch``: such rows cannot be packed by a running sum. Numbers of parts may have gaps.
+    row that lies across the cut still fits. Where ``room`` rows of the largest size are over the limit,
+    ``SchemaMismatch`` is raised: at 2 parts are half full at least, at 1 each row just fits a part and parts may
+    hold little besides. Numbers of parts may have gaps.
     """
     largest = df.agg(F.max(row_bytes(df))).first()[0] or 0
-    if 2 * largest > bytes_per_file:
-        raise SchemaMismatch(f"a row of {largest} bytes needs a limit of at least twice as much")
+    if room * largest > bytes_per_file:
+        raise SchemaMismatch(f"a row of {largest} bytes needs a limit of at least {room} times as much")
     step = max(1, bytes_per_file - largest)
     summed = range_running_sum(df, [F.col(order)], row_bytes(df), "_upto")
     return summed.withColumn("part", F.greatest(F.floor((F.col("_upto") - 1) / step), F.lit(0)).cast("long")).drop("_upto")
@@ -81,5 +82,5 @@ def sink_split_by_size(df: DataFrame, order: str, bytes_per_file: int, path: str
 
 
 def sink_split_by_bytes(df: DataFrame, order: str, bytes_per_file: int, path: str) -> None:
-    """One folder per part of at most ``bytes_per_file`` bytes of values."""
-    split_by_bytes(df, order, bytes_per_file).write.mode("overwrite").partitionBy("part").parquet(path)
+    """One folder per part of at most ``bytes_per_file`` bytes of values, for rows of any size up to that."""
+    split_by_bytes(df, order, bytes_per_file, 1).write.mode("overwrite").partitionBy("part").parquet(path)
