@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellgrid.functions.exprs import EPS, gaussian_weights
+from cellgrid.operators import similarity as sm, voxels as vx
 from cellgrid.schema import SchemaMismatch
 from cellgrid.sources import sinks as sk
 
@@ -20,3 +22,39 @@ def test_split_keeps_rows_over_half_the_limit(spark, tmp_path):
     assert all(p["hi"] - p["lo"] + 1 == p["n"] for p in parts) and [p["part"] for p in parts] == sorted(p["part"] for p in parts)
     with pytest.raises(SchemaMismatch):
         sk.sink_split_by_bytes(df, "id", 999, path)
+
+
+def test_mutual_information_of_filled_bins(spark):
+    """Histograms held where they are filled score as whole ones do, at the first and last bins as well."""
+    rng = np.random.default_rng(2)
+    pairs = {0: rng.random((40, 2)), 1: rng.random((30, 2)) * 0.1 + 0.45, 2: np.array([[0.0, 1.0], [1.0, 0.0], [0.0, 0.0]]), 3: np.full((5, 2), 0.5)}
+    df = spark.createDataFrame([(k, float(v), float(u)) for k, rows in pairs.items() for v, u in rows], "section int, v double, u double")
+    got = {r["section"]: r["t"] for r in sm.mutual_information(df, 128).collect()}
+    w, half = np.array(gaussian_weights(1.0)), len(gaussian_weights(1.0)) // 2
+
+    def entropy(p):
+        for axis in range(p.ndim):
+            grown = np.pad(p, [(half, half) if a == axis else (0, 0) for a in range(p.ndim)], mode="edge")
+            p = np.apply_along_axis(lambda line: np.convolve(line, w, "valid"), axis, grown)
+        return -(p * np.log(p + EPS)).sum()
+
+    for k, rows in pairs.items():
+        p = np.zeros((128, 128))
+        for v, u in rows * 128:
+            for a, wa in ((0, 1 - v % 1), (1, v % 1)):
+                for b, wb in ((0, 1 - u % 1), (1, u % 1)):
+                    p[min(int(v) + a, 127), min(int(u) + b, 127)] += wa * wb
+        p /= p.sum()
+        assert got[k] == pytest.approx(-(entropy(p.sum(1)) + entropy(p.sum(0))) / entropy(p), rel=1e-9)
+
+
+def test_sim_mip_is_registered_whole(spark, monkeypatch):
+    """The registered query scores 8 x 8 x 8 blocks by 128 bins, the reference's numbers."""
+    from cellgrid.plans import load_all, q_similarity
+    seen = {}
+    monkeypatch.setattr(sm, "mutual_information", lambda p, bins, keys: seen.update(bins=bins, keys=keys) or p.groupBy(*keys).agg(F.lit(1.0).alias("t")))
+    monkeypatch.setattr(sm, "_unit_pairs", lambda a, b, mask: a)
+    image = vx.grid(spark.createDataFrame([(0, 7, 32, 32)], "section int, n_z int, n_y int, n_x int")).withColumn("v", F.rand(1))
+    monkeypatch.setattr(q_similarity, "pair", lambda t: (image, image))
+    out = load_all()[0]["sim_mip"](spark, "/nowhere")
+    assert seen["bins"] == 128 and seen["keys"] == ["section", "bz", "by", "bx"] and out.first()["t"] == 1.0
